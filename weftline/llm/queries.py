@@ -26,7 +26,16 @@ FROM (SELECT doc_id, {LOWERED} AS t FROM documents)
 WINDOW same AS (PARTITION BY t)
 """
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over all documents."""
+    from weftline.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
