@@ -12,6 +12,51 @@ from weftline.llm._common import ROW_KEY, table
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over all documents."""
+    from weftline.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).drop(*ROW_KEY)
+
+
+OP1_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, {WORDS} AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight
+  FROM d GROUP BY source
+), c AS (  -- sources by the level at which they reach their cap
+  SELECT *, sum(source_size) OVER () AS total,
+         coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+         sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM s
+), l AS (SELECT max((total - held) / free) FILTER (WHERE (total - held) / free <= 3.0 * source_size / weight) AS level, max(total) AS total FROM c),
+t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, least(weight * coalesce(level, 'inf'::DOUBLE), 3.0::DOUBLE * source_size) AS target FROM s, l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id) - d.size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + least(size, greatest(0, budget % source_size - before)) END AS BIGINT) AS taken
+FROM p
+"""
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over all documents."""
+    import public_tokenizers
+
+    from weftline.llm.bpe import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents."""
     from weftline.llm.exact_dedup import exact_duplicates
@@ -34,8 +79,31 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over all embeddings."""
+    from weftline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_topk": OP10_SQL}
