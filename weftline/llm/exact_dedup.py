@@ -11,7 +11,7 @@ bytes. A name is bucket * 2**40 + rank in the sorted bucket, so there is no glob
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,13 +29,6 @@ def _named(items: DataFrame, order: list[str]) -> DataFrame:
     return ranked.select(*items.columns, (F.col("bucket") * F.lit(1 << 40) + F.col("rank")).alias("name"))
 
 
-def _blocks(text: Column, size: int) -> Column:
-    """Blocks of the text's bytes; the empty text has one empty block."""
-    raw = ascii_lower(F.coalesce(text, F.lit(""))).cast("binary")
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
-
-
 def _name_blocks(blocks: DataFrame) -> DataFrame:
     """Rows of blocks with name in place of block and digest."""
     spark = blocks.sparkSession
@@ -72,14 +65,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep_id is null then). Empty tables give no rows; other columns of docs are not read.
     """
     keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    raw = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    cut = keyed.select(
-        *ROW_KEY, "doc_id", F.greatest(F.lit(1), F.ceil(raw / F.lit(block_bytes)).cast("long")).alias("blocks"),
-        F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256).alias("text_sha256"),
-        F.posexplode(_blocks(F.col("text"), block_bytes)).alias("pos", "block"),
-    )
-    first = F.col("pos") == 0
-    cut = cut.select(*ROW_KEY, "blocks", F.col("pos").cast("long").alias("pos"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("text_sha256")).alias("text_sha256"), F.xxhash64("block").alias("digest"), "block")
+    raw = keyed.select(*ROW_KEY, "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).cast("binary").alias("raw"))
+    # lower-cased and digested once for each document, below the generator: an expression in a lambda runs for each element
+    raw = raw.withColumns({"text_sha256": F.sha2("raw", 256), "blocks": F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / F.lit(block_bytes)).cast("long"))})
+    cut = raw.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("pos"))
+    first, block = F.col("pos") == 0, F.substring("raw", (F.col("pos") * block_bytes + 1).cast("int"), F.lit(block_bytes))
+    cut = cut.select(*ROW_KEY, "blocks", "pos", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("text_sha256")).alias("text_sha256"), block.alias("block"))
+    cut = cut.withColumn("digest", F.xxhash64("block"))
     level = materialise(_name_blocks(cut), "named_blocks")
     facts = level.where("pos = 0").select(*ROW_KEY, "doc_id", "text_sha256")
     most = level.agg(F.max("blocks")).first()[0] or 1
