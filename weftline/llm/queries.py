@@ -79,6 +79,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over all documents."""
+    from weftline.llm.secrets import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over all documents."""
+    from weftline.llm.pii import personal_data_digests
+
+    return personal_data_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over all embeddings."""
     from weftline.llm.topk import top_k
@@ -103,7 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_topk": OP10_SQL}
