@@ -68,3 +68,22 @@ def crc_of(key: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def elect(rows: DataFrame, keys: list[str], order_col: str) -> DataFrame:
+    """Adds to rows (with ROW_KEY) leader, the largest order_col among rows of equal keys, group_size, and elected: true for one row of a group.
+
+    Elected is the row with the leader's value, of several the first stored; nulls lose to any value. Groups are summed before the
+    shuffle and written before the join back, so that a hot group's rows can be split.
+    """
+    groups = rows.groupBy(*keys).agg(F.max(order_col).alias("leader"), F.count(F.lit(1)).alias("group_size"))
+    sized = rows.join(materialise(groups, "groups"), keys)
+    leads = F.col(order_col).eqNullSafe(F.col("leader"))
+    # values are unique as a rule; only where they are not, the first of the leading rows is looked for
+    tied = materialise(sized.where(leads).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), "tied")
+    if tied.isEmpty():
+        return sized.withColumn("elected", leads)
+    ordinal = F.struct(*ROW_KEY)
+    firsts = sized.where(leads).join(tied, keys, "left_semi").groupBy(*keys).agg(F.min(ordinal).alias("first"))
+    marked = sized.join(materialise(firsts, "firsts"), keys, "left")
+    return marked.withColumn("elected", leads & (F.col("first").isNull() | (F.col("first") == ordinal))).drop("first")

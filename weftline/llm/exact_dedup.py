@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm._common import ROW_KEY, ascii_lower, materialise, with_row_key
+from weftline.llm._common import ROW_KEY, ascii_lower, elect, materialise, with_row_key
 
 BLOCK_BYTES = 4096
 #: Buckets in which distinct items are sorted for their names; a bucket holds items, never copies of one.
@@ -87,19 +87,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for more in done[1:]:
         identity = identity.unionByName(more)
     identity = materialise(identity.select(*ROW_KEY, "blocks", "name").join(facts, ROW_KEY), "identities")
-    ordinal = F.struct(*ROW_KEY)
-    groups = identity.groupBy("blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    sized = identity.join(materialise(groups, "groups"), ["blocks", "name"])
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # ids are unique as a rule; where they are not, the first stored row of the largest id stays
-    tied = sized.where(stays).groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("ties"), F.min(ROW_KEY[0]).alias("f"))
-    tied = tied.where("ties > 1").select("blocks", "name")
-    if tied.isEmpty():
-        kept = sized.withColumn("kept", stays)
-    else:
-        winners = sized.where(stays).join(tied, ["blocks", "name"], "left_semi").groupBy("blocks", "name").agg(F.min(ordinal).alias("first"))
-        kept = sized.join(materialise(winners, "winners"), ["blocks", "name"], "left").withColumn("kept", stays & (F.col("first").isNull() | (F.col("first") == ordinal))).drop("first")
-    return kept.select(*ROW_KEY, "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    chosen = elect(identity, ["blocks", "name"], "doc_id")
+    return chosen.select(*ROW_KEY, "doc_id", F.col("leader").alias("keep_id"), "group_size", F.col("elected").alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,6 +57,30 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over all pages."""
+    from weftline.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex, coalesce(html, '') AS payload FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS leader FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       -- the i-th of 32 characters stands for the bits 5i to 5i + 4, which lie in two neighbouring hexadecimal digits
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+         ((((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) * 16
+         + (strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1)) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> leader THEN leader END AS refers_to
+FROM r
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents."""
     from weftline.llm.exact_dedup import exact_duplicates
@@ -116,10 +140,11 @@ WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_topk": OP10_SQL}
