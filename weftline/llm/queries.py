@@ -47,6 +47,13 @@ FROM p
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over all documents."""
+    from weftline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop(*ROW_KEY)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over all documents."""
     import public_tokenizers
@@ -139,6 +146,7 @@ WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
