@@ -47,6 +47,13 @@ FROM p
 """
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over all documents."""
+    from weftline.llm.lm import scores
+
+    return scores(table(spark, sf_dir, "documents")).drop(*ROW_KEY)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over all documents."""
     from weftline.llm.toxicity import toxicity
@@ -146,6 +153,7 @@ WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_lm": op2_lm,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
