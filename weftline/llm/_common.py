@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import logging
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of the two columns that tell one stored row from every other.
 ROW_KEY = ["__wl_f", "__wl_i"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts of a batch that are in Python at the same time.
+TEXTS_AT_ONCE = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,6 +71,27 @@ def crc_of(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")))
 
 
+def map_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], list[pa.Array]], made: list[T.StructField], keep_text: bool = False) -> DataFrame:
+    """df with columns made from its texts in Python, a few rows at a time; the text itself goes unless keep_text.
+
+    Columns may have any names (with dots, or like those that are made, which replace them).
+    """
+    new = [f.name for f in made]
+    text_at = df.columns.index(text_col)
+    rest = [i for i, c in enumerate(df.columns) if (i != text_at or keep_text) and c not in new]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                columns = work(some.column(text_at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in rest), *columns], names=[*(f"c{i}" for i in rest), *(f"m{i}" for i in range(len(made)))])
+
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[i].dataType) for i in rest] + [T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made)])
+    return plain.mapInArrow(run, schema).toDF(*[df.columns[i] for i in rest], *new)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,8 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-MATRIX_BYTES, CACHE_PIECES, CHUNK_CHARS, CHUNK_PIECES = 128, 400_000, 1 << 20, 1 << 18
+from weftline.llm._common import map_texts
+
+MATRIX_BYTES, CACHE_PIECES, CHUNK_CHARS, CHUNK_PIECES = 128, 150_000, 1 << 20, 1 << 18
 NONE = np.int32(2**31 - 1)
 
 
@@ -203,10 +206,6 @@ def _vocabulary(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _schema(df: DataFrame, drop: str, more: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != drop] + [more])
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: bool = False) -> DataFrame:
     """docs without the text, with n_tokens, ids_sha256, decoded_sha256 and, on request, token_ids (array of int).
 
@@ -215,31 +214,25 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     through unless one is named like a column of the result, which then replaces it. Texts of any length are taken in
     chunks.
     """
-    made = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids]
-    docs = docs.drop(*[c for c in docs.columns if c in made and c != text_col]).withColumnRenamed(text_col, "__wl_text")
     vocabulary = _vocabulary(docs.sparkSession, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: list[str | None]) -> list[pa.Array]:
         c = codec(vocabulary.value, pattern)
-        for batch in batches:
-            texts = [x or "" for x in batch.column("__wl_text").to_pylist()]
-            count, digest, back, tokens = [], [], [], []
-            for parts in c.encoded(texts):
-                a, b = hashlib.sha256(), hashlib.sha256()
-                for part in parts:
-                    a.update(part)
-                    b.update(c.decoded(part))
-                count.append(sum(map(len, parts)) // 4)
-                digest.append(a.hexdigest())
-                back.append(b.hexdigest())
-                if ids:
-                    tokens.append(np.frombuffer(b"".join(parts), "<i4"))
-            rest = [n for n in batch.schema.names if n != "__wl_text"]
-            arrays = [batch.column(n) for n in rest] + [pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(tokens, pa.list_(pa.int32()))] * ids, names=rest + made)
-
-    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return docs.mapInArrow(run, _schema(docs, "__wl_text", more))
+        count, digest, back, tokens = [], [], [], []
+        for parts in c.encoded([t or "" for t in texts]):
+            a, b = hashlib.sha256(), hashlib.sha256()
+            for part in parts:
+                a.update(part)
+                b.update(c.decoded(part))
+            count.append(sum(map(len, parts)) // 4)
+            digest.append(a.hexdigest())
+            back.append(b.hexdigest())
+            if ids:
+                tokens.append(np.frombuffer(b"".join(parts), "<i4"))
+        return [pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())] + [pa.array(tokens, pa.list_(pa.int32()))] * ids
+
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return map_texts(docs, text_col, work, made + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
@@ -253,7 +246,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
             texts = [None if x is None else c.decoded(np.array(x, "<u4").tobytes()).decode(errors="replace") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts, pa.string())], names=[*rest, text_col])
 
-    return tokens.mapInArrow(run, _schema(tokens, ids_col, f"`{text_col}` string"))
+    schema = T.StructType([f for f in tokens.schema if f.name != ids_col] + [T.StructField(text_col, T.StringType())])
+    return tokens.mapInArrow(run, schema)
 
 
 __all__ = ["Codec", "codec", "decode", "encode", "read_ranks"]

@@ -12,14 +12,14 @@ labelled rows of each label (the bound is a parameter).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm._common import ROW_KEY, crc_of, materialise, with_row_key
+from weftline.llm._common import ROW_KEY, crc_of, map_texts, materialise, with_row_key
 from weftline.llm.transducers import Transducer, window
 
 #: The lexicon.
@@ -130,20 +130,15 @@ def learn_stems(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return tuple(sorted(x for x in kept if not any(y != x and x.startswith(y) for y in kept)))
 
 
-def _features(batches: Iterator[pa.RecordBatch], stems: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def features(docs: DataFrame, stems: tuple[str, ...] = (), text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with a column __wl_<sort> for each sort, its count up to LEVELS; without the text unless keep_text."""
     pattern = trigger(stems)
-    for batch in batches:
-        rest = [n for n in batch.schema.names if n != "__wl_text"]
-        found = [matched(x, stems, pattern) for x in batch.column("__wl_text").to_pylist()]
-        columns = [pa.array([min(LEVELS, f[s]) for f in found], pa.int32()) for s in SORTS]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *columns], names=[*rest, *[f"__wl_{s}" for s in SORTS]])
 
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        found = [matched(t, stems, pattern) for t in texts]
+        return [pa.array([min(LEVELS, f[s]) for f in found], pa.int32()) for s in SORTS]
 
-def features(docs: DataFrame, stems: tuple[str, ...] = (), text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with a column __wl_<sort> for each sort, its count up to LEVELS; without the text unless keep_text."""
-    given = docs.withColumn("__wl_text", F.col(text_col)) if keep_text else docs.withColumnRenamed(text_col, "__wl_text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__wl_text"] + [f"__wl_{s} int" for s in SORTS])
-    return given.mapInArrow(lambda batches: _features(batches, stems), schema)
+    return map_texts(docs, text_col, work, [T.StructField(f"__wl_{s}", T.IntegerType()) for s in SORTS], keep_text)
 
 
 def _learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
