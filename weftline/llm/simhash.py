@@ -187,6 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each component: the one with the smallest id (the first stored, of several); same columns."""
     keyed = with_row_key(docs)
-    found = _grouped(keyed.drop(*ROW_KEY), id_col, text_col, words, seed, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialise(found.groupBy("label").agg(F.min(F.struct(*ROW_KEY)).alias("row")).select("row.*"), "stays")
-    return keyed.join(stays, ROW_KEY, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = materialise(_grouped(keyed.drop(*ROW_KEY), id_col, text_col, words, seed, max_bits), "grouped")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct(*ROW_KEY)).alias("row")).select("row.*")
+    # those that go are few where those that stay are most: only their keys are matched with the texts
+    lost = materialise(found.select(*ROW_KEY).join(stays, ROW_KEY, "left_anti"), "lost")
+    return keyed.join(lost, ROW_KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
