@@ -182,13 +182,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
             for at in range(batch.num_rows):
                 row = {n: batch.column(j)[at].as_py() for j, n in enumerate(batch.schema.names)}
                 _, keys, q = _matrix(row, "q")
-                reach = np.minimum(np.sqrt((q**2).sum(axis=1)) * longest * (1 + 1e-9) + 1, float(1 << 62))
-                reach = reach.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([row["q_keys"]] * row["q_n"], pa.binary()), pa.array(keys[0]), pa.array(keys[1]), pa.array(-reach), pa.array(2 * (reach // BINS) + 2)], names=["q_keys", "f", "i", "low", "width"])
-
-    state = queries_state = q_side.mapInArrow(rows_of, "q_keys binary, f long, i long, low long, width long")
-    state = materialise(queries_state.select("*", F.lit(k).cast("long").alias("need")), "state")
-    located = []
+                reach = np.sqrt((q**2).sum(axis=1)) * longest * (1 + 1e-9) + 1
+                # where scores may near the ends of 64 bits there is no interval (width 0): each block sends its k best
+                far = ~(reach < float(1 << 61))
+                reach = np.where(far, 0, reach).astype(np.int64)
+                low, width = np.where(far, -INT64_MAX - 1, -reach), np.where(far, 0, 2 * (reach // BINS) + 2)
+                yield pa.RecordBatch.from_arrays([pa.array([row["q_keys"]] * row["q_n"], pa.binary()), pa.array(keys[0]), pa.array(keys[1]), pa.array(low), pa.array(width)], names=["q_keys", "f", "i", "low", "width"])
+
+    first = materialise(q_side.mapInArrow(rows_of, "q_keys binary, f long, i long, low long, width long"), "state")
+    state, located = first.where("width > 0"), [first.where("width = 0")]
     while not state.isEmpty():
         counts = paired(state).mapInArrow(lambda b: _histograms(b, k), _COUNTS).groupBy("f", "i", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("f", "i").orderBy(F.desc("bin"))
@@ -202,8 +204,6 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
         narrowed = materialise(narrowed, "narrowed")
         located.append(narrowed.where("ends").drop("ends"))
         state = narrowed.where("not ends").drop("ends")
-    if not located:
-        return empty
     thresholds = located[0]
     for more in located[1:]:
         thresholds = thresholds.unionByName(more)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import re
 import uuid
@@ -54,7 +53,7 @@ def record(record_type: str, record_id: str, target_uri: str | None, refers_to:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if record_type == "revisit" else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {_plain(record_id)}", f"WARC-Date: {EPOCH}"]
-    lines += [f"WARC-Target-URI: {_plain(target_uri)}"] * (target_uri is not None)
+    lines += [f"WARC-Target-URI: {_plain(target_uri or '')}"] * (target_uri is not None)
     lines += [f"WARC-Profile: {PROFILE}"] * (record_type == "revisit") + [f"WARC-Refers-To: {_plain(refers_to or '')}"] * bool(refers_to)
     lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -97,14 +96,41 @@ class _Inflated:
 
 
 class _Seeking:
-    """A plain file; unwanted bytes are skipped by seeking."""
+    """A plain file, read ahead in parts; unwanted bytes beyond what is read are skipped by seeking."""
 
     def __init__(self, raw):
-        self.raw = io.BufferedReader(raw, READ_BYTES) if isinstance(raw, io.RawIOBase) else raw
-        self.read, self.readline = self.raw.read, self.raw.readline
+        self.raw, self.ready, self.at = raw, b"", 0
+
+    def _fill(self, size: int) -> None:
+        parts = [self.ready[self.at :]]
+        have = len(parts[0])
+        while have < size and (data := self.raw.read(max(READ_BYTES, size - have))):
+            parts.append(data)
+            have += len(data)
+        self.ready, self.at = b"".join(parts), 0
+
+    def read(self, size: int) -> bytes:
+        if len(self.ready) - self.at < size:
+            self._fill(size)
+        out = self.ready[self.at : self.at + size]
+        self.at += len(out)
+        return out
 
     def skip(self, size: int) -> None:
-        self.raw.seek(size, 1)
+        ahead = len(self.ready) - self.at
+        if size <= ahead:
+            self.at += size
+        else:
+            self.ready, self.at = b"", 0
+            self.raw.seek(size - ahead, 1)
+
+    def readline(self) -> bytes:
+        while (end := self.ready.find(b"\n", self.at)) < 0:
+            have = len(self.ready) - self.at
+            self._fill(have + 1)
+            if len(self.ready) == have:
+                return self.read(have)
+        return self.read(end + 1 - self.at)
 
 
 def records(stream, wanted, payload: bool = True, verify: bool = False) -> Iterator[tuple[dict[str, str], bytes | None]]:
