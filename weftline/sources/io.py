@@ -57,7 +57,10 @@ def find_stage(spark: SparkSession, name: str, roots: Sequence[str]) -> str | No
 
 def first_of_each(paths: Sequence[str]) -> list[str]:
     """Shards by their last path element; of several the first one counts."""
-    return list({p.rstrip("/").rpartition("/")[2]: p for p in reversed(paths)}.values())[::-1]
+    first: dict[str, str] = {}
+    for p in paths:
+        first.setdefault(p.rstrip("/").rpartition("/")[2], p)
+    return list(first.values())
 
 
 def line_check(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
