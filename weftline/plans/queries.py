@@ -214,7 +214,7 @@ def native_dict_apply(spark, sf_dir):
 _MARKED = [("vela culture", "Old Shop formerly Vela Culture"), ("vela culture", "Nexbelo dba Vela Culture"), ("nexbelo", "Nexbelo dba Psv"), ("nexbelo psv", "Nexbelo aka Qrs")]
 
 
-@query("SELECT * FROM (VALUES ('aka', CAST(1 AS BIGINT), 0.5, 0.0, 'before'), ('dba', 2, 0.5, 0.5, 'after'), ('formerly', 1, 0.0, 1.0, 'after')) t(marker, n, before, after, side)")
+@query(rounded("SELECT * FROM (VALUES ('aka', CAST(1 AS BIGINT), 0.5, 0.0, 'before'), ('dba', 2, 0.5, 0.5, 'after'), ('formerly', 1, 0.0, 1.0, 'after')) t(marker, n, before, after, side)", "before", "after"))
 def marker_sides(spark, sf_dir):
     """NRM-08: which side of a marker holds the name."""
     return learn.marker_sides(spark.createDataFrame(_MARKED, "s1_name string, name string"), ["formerly", "dba", "aka"])
