@@ -151,6 +151,44 @@ WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank
 """
 
 
+def _spans_sql(kinds: list[tuple[str, str, int, str, bool]]) -> str:
+    """SQL of a span query from (kind, pattern, group, condition on the value v, base) in order.
+
+    Positions are sums of the lengths of the gaps between matches and of the matches, as code points.
+    """
+    each = " UNION ALL ".join(
+        f"SELECT rid, {n} AS ord, '{kind}' AS kind, {base} AS base, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS whole, regexp_extract_all(text, '{pattern}', {group}) AS vals FROM t WHERE regexp_matches(text, '{pattern}')"
+        for n, (kind, pattern, group, _, base) in enumerate(kinds)
+    )
+    keep = " OR ".join(f"(ord = {n} AND ({condition}))" for n, (_, _, _, condition, _) in enumerate(kinds))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind, *_, base in kinds if base)
+    outer = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_, base in kinds if base)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), m AS ({each}),
+u AS (SELECT rid, ord, kind, base, unnest(range(1, len(whole) + 1)) AS i, unnest(list_slice(list_transform(gaps, lambda x: length(x)), 1, len(whole))) AS gap, unnest(list_transform(whole, lambda x: length(x))) AS size, unnest(vals) AS v FROM m),
+p AS (SELECT rid, ord, kind, base, v, size, sum(gap + size) OVER (PARTITION BY rid, ord ORDER BY i) AS stop FROM u),
+s AS (SELECT rid, ord, kind, base, CAST(stop - size AS BIGINT) AS start, kind || ':' || CAST(stop - size AS BIGINT) || ':' || CAST(stop AS BIGINT) AS w FROM p WHERE {keep}),
+g AS (SELECT rid, {counts}, string_agg(w, ',' ORDER BY start, ord) FILTER (WHERE base) AS b, string_agg(w, ',' ORDER BY start, ord) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {outer}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (rid)
+"""
+
+
+def _secrets_sql() -> str:
+    from weftline.llm.secrets import RULES
+
+    return _spans_sql([(r.kind, r.pattern.replace("'", "''"), r.group, f"length(v) >= {r.least}", r.base) for r in RULES])
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INTEGER) WHEN CAST(d AS INTEGER) < 5 THEN 2 * CAST(d AS INTEGER) ELSE 2 * CAST(d AS INTEGER) - 9 END)) % 10 = 0"
+#: The base kinds; the tables' documents hold no account or security numbers, which the operator adds.
+OP9_SQL = _spans_sql([
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true", True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0", True),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 0, f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END", True),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS}) BETWEEN 9 AND 15", True),
+])
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm": op2_lm,
@@ -163,4 +201,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_secrets": _secrets_sql(), "op9_pii": OP9_SQL, "op10_topk": OP10_SQL}

@@ -36,11 +36,11 @@ BASE_RULES = (
 )
 #: Published formats of further credentials.
 MORE_RULES = (
-    Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,250}"),
+    Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
