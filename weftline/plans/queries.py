@@ -12,7 +12,7 @@ from weftline.functions import text as X
 from weftline.functions.address import with_address
 from weftline.functions.arrays import containment, jaccard, with_short_numbers
 from weftline.functions.fuzzy import scored
-from weftline.operators import blocking, decide, features, learn, metrics, profile, records, tfidf, validate
+from weftline.operators import blocking, decide, eda, features, learn, metrics, profile, records, tfidf, validate
 from weftline.plans.fixtures import ADDRESSES, ADDRESSES_SQL, NAMES, NAMES_SQL, NATIVE, NATIVE_SQL, rows
 from weftline.plans.registry import ORACLES, QUERIES, query, rounded
 from weftline.plans.sql import DROP_SQL, OWNED, PRED, REC, SUMMARY, SUMMARY_DOUBLES, TRUTH, cleaned, entities, expected, ints, key_ctes, pass_pairs, rare, short
@@ -555,6 +555,46 @@ def set_similarities(spark, sf_dir):
     return d.join(b, "doc_id").select("doc_id", jaccard(F.col("w"), F.col("v")).alias("jaccard"), containment(F.col("w"), F.col("v")).alias("containment"))
 
 
+@query(rounded(f"""WITH {REC}, {TRUTH} SELECT b.country, b.src, count(*) AS pairs, 1.0 AS name_jaccard, avg(CAST(a.k1 = b.k1 AS INTEGER)) AS same_key, avg(CAST(coalesce(list_has_any(a.num, b.num), false) AS INTEGER)) AS shared_number, avg(CAST(b.address IS NULL AS INTEGER)) AS no_address
+FROM truth t JOIN keyed a ON a.id = t.s1 JOIN keyed b ON b.id = t.c GROUP BY ALL""", "name_jaccard", "same_key", "shared_number", "no_address"))
+def true_pair_statistics(spark, sf_dir):
+    """EDA-03."""
+    return eda.pair_statistics(_records(spark, sf_dir), part_truth(spark, sf_dir))
+
+
+@query(rounded(f"WITH {REC} SELECT country, count(*) AS n, 0.0 AS with_state, CAST(0 AS BIGINT) AS states FROM raw GROUP BY 1", "with_state"))
+def state_coverage(spark, sf_dir):
+    """PRF-03: parts have no states."""
+    return eda.state_coverage(_records(spark, sf_dir))
+
+
+@query(f"WITH {REC}, {PRED}, d AS (SELECT s1, c FROM pred WHERE p >= 0.4 QUALIFY row_number() OVER (PARTITION BY c ORDER BY p DESC, s1) = 1), z AS (SELECT s1, count(*) + 1 AS size FROM d GROUP BY 1) SELECT size, count(*) AS clusters FROM z GROUP BY 1")
+def cluster_sizes(spark, sf_dir):
+    """EDA-06."""
+    return eda.cluster_sizes(decide.decide(_name_pairs(spark, sf_dir), 0.4))
+
+
+@query(f"WITH {REC}, {TRUTH}, s AS (SELECT t.s1, string_agg(b.p_name, ',' ORDER BY t.c) AS members FROM truth t JOIN raw b ON b.id = t.c GROUP BY 1) SELECT s.s1, s.members, a.p_name AS business_name FROM s JOIN raw a ON a.id = s.s1")
+def true_clusters(spark, sf_dir):
+    """EDA-02, AGG-11: every S1 with true matches and its members' names."""
+    return eda.clusters(_records(spark, sf_dir), part_truth(spark, sf_dir)).select("s1", F.array_join("members", ",").alias("members"), "business_name")
+
+
+@query(rounded(f"""WITH {REC}, {TRUTH}, ks AS (SELECT 'k1' AS key, id, src, country, k1 AS v FROM keyed UNION ALL SELECT 'k2', id, src, country, k2 FROM keyed),
+v AS (SELECT key, sum(a * b) AS pairs FROM (SELECT key, country, v, count(*) FILTER (WHERE src = 1) AS a, count(*) FILTER (WHERE src <> 1) AS b FROM ks GROUP BY ALL) GROUP BY 1),
+h AS (SELECT a.key, count(*) AS n, count(*) FILTER (WHERE a.v = b.v) AS hits FROM truth t JOIN ks a ON a.id = t.s1 JOIN ks b ON b.id = t.c AND b.key = a.key GROUP BY 1)
+SELECT v.key, CAST(pairs AS BIGINT) AS pairs, hits, hits / n AS recall FROM v JOIN h USING (key)""", "recall"))
+def key_configurations(spark, sf_dir):
+    """EDA-08, AGG-23: normalisations side by side."""
+    return eda.configurations(_records(spark, sf_dir), part_truth(spark, sf_dir), ["k1", "k2"])
+
+
+@query(rounded(f"WITH {REC}, {TRUTH}, {_TF}, h AS (SELECT tf_rank FROM truth t LEFT JOIN nn ON nn.s1 = t.s1 AND nn.c = t.c) SELECT CAST(d AS INTEGER) AS depth, count(*) FILTER (WHERE tf_rank <= d) AS found, count(*) FILTER (WHERE tf_rank <= d) / count(*) AS recall FROM h, (SELECT unnest([5, 10, 20]) AS d) GROUP BY d", "recall"))
+def tfidf_reach(spark, sf_dir):
+    """EDA-09: true pairs among the nearest 5, 10 and 20 candidates."""
+    return eda.reach(_tfidf(spark, sf_dir), part_truth(spark, sf_dir), (5, 10, 20))
+
+
 @cache
 def names() -> list[str]:
     return sorted(QUERIES)
