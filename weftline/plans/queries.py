@@ -25,6 +25,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.prepare(records.finalize(records.build_base(part_records(spark, sf_dir))))
 
 
+def _stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that several passes of one plan read: normalised once, kept in memory and on disk."""
+    return _records(spark, sf_dir).persist()
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).where("src = 1").select(F.col("id").alias("s1"), "country")
 
@@ -254,7 +259,7 @@ _UNION = " UNION ALL ".join(f"(SELECT *, {p.bit} AS bit FROM ({pass_pairs(p.name
 @query(f"SELECT country, s1, c, CAST(bit_or(bit) AS INTEGER) AS mask FROM ({_UNION}) GROUP BY ALL")
 def block_union_mask(spark, sf_dir):
     """BLK-10, AGG-07."""
-    return blocking.candidates(_records(spark, sf_dir))
+    return blocking.candidates(_stage(spark, sf_dir))
 
 
 _RECALL = f"""WITH {REC}, {TRUTH}, u AS (SELECT s1, c, bit_or(bit) AS mask FROM ({_UNION}) GROUP BY ALL), h AS (SELECT u.*, t.c IS NOT NULL AS hit FROM u LEFT JOIN truth t ON t.s1 = u.s1 AND t.c = u.c), n AS (SELECT count(*) AS n FROM truth)
@@ -264,7 +269,7 @@ _RECALL = f"""WITH {REC}, {TRUTH}, u AS (SELECT s1, c, bit_or(bit) AS mask FROM
 @query(rounded(_RECALL, "recall", "cum_recall"))
 def pass_recall(spark, sf_dir):
     """MET-05: what each pass finds alone and with those before it."""
-    return metrics.pass_recall(blocking.candidates(_records(spark, sf_dir)), part_truth(spark, sf_dir))
+    return metrics.pass_recall(blocking.candidates(_stage(spark, sf_dir)), part_truth(spark, sf_dir))
 
 
 @query(rounded(f"""WITH {REC}, {TRUTH}, f AS ({pass_pairs('num_name', 50).replace('WITH ' + REC + ',', 'WITH ' + REC.replace('raw AS', 'raw2 AS').replace('FROM raw', 'FROM raw2') + ',')}), e AS (SELECT t.s1, count(*) AS t, count(f.c) AS h FROM truth t LEFT JOIN f ON f.s1 = t.s1 AND f.c = t.c GROUP BY 1)
@@ -301,7 +306,7 @@ SELECT coalesce(k.country, nn.country) AS country, coalesce(k.s1, nn.s1) AS s1,
 FROM k FULL JOIN nn ON k.s1 = nn.s1 AND k.c = nn.c""", "tf_cos"))
 def candidates_merged(spark, sf_dir):
     """BLK-12, JOIN-04, PRJ-12."""
-    return blocking.merged(blocking.candidates(_records(spark, sf_dir)), _tfidf(spark, sf_dir))
+    return blocking.merged(blocking.candidates(_stage(spark, sf_dir)), _tfidf(spark, sf_dir))
 
 
 @query(f"""WITH {REC}, {PRED}, sure AS (SELECT s1, c FROM pred WHERE p >= 0.8), ks AS (SELECT country, id, k1 AS key FROM keyed), sm AS (SELECT country, key FROM ks GROUP BY ALL HAVING count(*) <= 50)
@@ -369,7 +374,7 @@ def competition_context(spark, sf_dir):
 @query()
 def pair_features_full(spark, sf_dir):
     """FTR-01 to 04, UDF-01: all 45 columns for the best candidates by the fuzzy cheap score."""
-    r = _records(spark, sf_dir)
+    r = _stage(spark, sf_dir)
     pairs = blocking.candidates(r).select("s1", "c", "mask")
     rated = features.cheap(features.sides(pairs, r, ["k1", "name_str", "addr_str"]))
     return features.full_features(features.competition(features.best_candidates(rated)), r)
