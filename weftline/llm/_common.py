@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import logging
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,10 +47,32 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives sizes to the planner."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are done: its cleaner acts on what the driver's garbage collections find."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def trimmed(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator function that gives a Python worker's free memory back to the system when it ends; workers live on between tasks."""
+
+    @functools.wraps(work)
+    def run(*args):
+        yield from work(*args)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Adds ROW_KEY, (hash of the file's path, row number in the file): the same in every job, however files are split.
 

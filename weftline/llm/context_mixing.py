@@ -94,16 +94,14 @@ def counts(words: list[bytes], into: np.ndarray) -> None:
     for a, b in chunks(words):
         s = spell(words[a:b])
         for k in range(ORDERS):
-            for bit in (0, 1):
-                slots, n = np.unique(s.slots[k][s.bits == bit], return_counts=True)
-                into[k, bit, slots] += n
+            into[k] += np.bincount(s.slots[k] + s.bits * np.int32(SLOTS), minlength=2 * SLOTS).reshape(2, SLOTS)
 
 
 class Model:
     """Tables of counts, weights of the gates, and the refining map."""
 
     def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
-        self.tables = tables
+        self.tables, self.known = tables, None
         self.weights = np.full((GATES, ORDERS), 0.3) if weights is None else weights
         #: ones and all of (partial byte, bin), as if each bin had seen a few decisions of its own probability
         self.seen = np.zeros((256, BINS, 2)) if seen is None else seen
@@ -147,16 +145,58 @@ class Model:
                 self.weights += RATE * step / size[:, None]
                 np.add.at(self.seen, (node, bins), np.stack([bits, np.ones_like(bits)], axis=1))
 
+    def _known(self) -> np.ndarray:
+        """The stretched prediction of each slot, once for a model; exactly 0 only where nothing was counted."""
+        if self.known is None:
+            self.known = np.empty((ORDERS, SLOTS), np.float32)
+            for k in range(ORDERS):
+                zeros, ones = self.tables[k, 0].astype(np.float32), self.tables[k, 1].astype(np.float32)
+                some = _stretch((ones + np.float32(PRIOR)) / (zeros + ones + np.float32(2 * PRIOR)))
+                some[some == 0] = 1e-9
+                some[zeros + ones == 0] = 0
+                self.known[k] = some
+        return self.known
+
     def log10(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each word's spelling."""
-        out = np.empty(len(words))
-        for a, b in chunks(words):
-            s = spell(words[a:b])
-            logs = np.empty(len(s.bits))
-            for at in range(0, len(s.bits), BATCH_BITS * 4):
-                part = slice(at, at + BATCH_BITS * 4)
-                x, gate = self._inputs(s, part, own=False)
-                p, _ = self._refined((self.weights[gate].T * x).sum(axis=0), s.node[part])
-                logs[part] = np.log10(np.where(s.bits[part] == 1, p, 1 - p))
-            out[a:b] = np.add.reduceat(logs, s.starts)
+        """The log10 probability of each word's spelling.
+
+        Words are taken in order, and decisions that a word shares with the one before (the same beginning) are computed once.
+        """
+        order = sorted(range(len(words)), key=words.__getitem__)
+        out, known, weights = np.empty(len(words)), self._known(), self.weights.astype(np.float32)
+        ordered = [words[j] for j in order]
+        sums = np.zeros(1)
+        before = b""
+        for a, b in chunks(ordered):
+            some = ordered[a:b]
+            s = spell(some)
+            shared = np.zeros(len(some), np.int64)
+            for j, w in enumerate(some):
+                n = 0
+                if w != END and before != END:
+                    most = min(len(w), len(before))
+                    while n < most and w[n] == before[n]:
+                        n += 1
+                shared[j], before = n, w
+            ends = np.append(s.starts[1:], len(s.bits))
+            fresh = np.flatnonzero(np.arange(len(s.bits)) >= np.repeat(s.starts + 8 * shared, ends - s.starts))
+            logs = np.empty(len(fresh), np.float32)
+            for at in range(0, len(fresh), BATCH_BITS * 4):
+                part = fresh[at : at + BATCH_BITS * 4]
+                x = np.stack([known[k][s.slots[k, part]] for k in range(ORDERS)])
+                longest = np.zeros(len(part), np.int64)
+                for k in range(ORDERS):
+                    longest[x[k] != 0] = k + 1
+                mixed = (weights[longest * 8 + s.place[part]].T * x).sum(axis=0)
+                p, _ = self._refined(mixed, s.node[part])
+                logs[at : at + BATCH_BITS * 4] = np.log10(np.where(s.bits[part] == 1, p, 1 - p))
+            # bytes' logs, then running sums along each word; the shared beginning's sum is the last word's
+            steps = logs.reshape(-1, 8).sum(axis=1, dtype=float)
+            lengths = ((ends - s.starts) // 8 - shared).tolist()
+            at = 0
+            for j, n in enumerate(lengths):
+                start = sums[shared[j]] if len(sums) > shared[j] else 0.0
+                sums = np.concatenate((sums[: shared[j] + 1], start + np.cumsum(steps[at : at + n])))
+                out[order[a + j]] = sums[-1]
+                at += n
         return out

@@ -19,27 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import ROW_KEY, crc_of, materialise, with_row_key
+from weftline.llm._common import ROW_KEY, crc_of, materialise, release, trimmed, with_row_key
 from weftline.llm.context_mixing import END, GATES, ORDERS, SLOTS, Model, counts
 
 #: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 7, 2
 #: A chunk closes at so many tokens or distinct words; longer texts are read in segments of so many bytes.
-CHUNK_TOKENS, CHUNK_WORDS, SEGMENT_BYTES = 1 << 20, 1 << 17, 1 << 22
-#: Distinct words for each task that learns, and such tasks at most.
-TASK_WORDS, MAX_TASKS = 150_000, 64
+CHUNK_TOKENS, CHUNK_WORDS, SEGMENT_BYTES, PART_TOKENS = 5 << 19, 400_000, 1 << 22, 1 << 18
+#: Distinct words for each task that fills the tables, such tasks at most, and words (a bounded sample) that fit the weights of the gates.
+TASK_WORDS, MAX_TASKS, FIT_WORDS = 250_000, 64, 100_000
 BLOCK = 1 << 17
-#: Latent classes, the frequent words they are found by, the texts they are fitted on (a bounded sample), and rounds of fitting.
-CLASSES, FREQUENT, FIT_TEXTS, FIT_ROUNDS = 8, 256, 4000, 30
+#: Latent classes, the frequent words they are found by, the texts they are fitted on (a bounded sample from FIT_CHUNKS chunks), and rounds of fitting.
+CLASSES, FREQUENT, FIT_TEXTS, FIT_CHUNKS, FIT_ROUNDS = 4, 256, 4000, 8, 30
 #: Weights of the text's own words, and of its own pairs after no, one and more pairs that came again just before.
 OWN_WORDS, OWN_PAIRS = 0.05, np.array([0.02, 0.15, 0.7])
 
-_CHUNKS = "chunk long, words array<binary>, learned array<long>, docs binary, tokens binary, sizes binary, trained binary"
+_CHUNKS = "chunk long, words array<binary>, docs binary, tokens binary, sizes binary, trained binary, lengths binary"
 _LOGS = [f"s{z}" for z in range(CLASSES)]
+_COUNTS = [f"c{z}" for z in range(CLASSES)]
 _SCORED = "f long, i long, n_tokens long, n_known long, base double, bytes long, " + ", ".join(f"s{z} double" for z in range(CLASSES))
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -77,12 +78,11 @@ class _Chunk:
         return self.total >= CHUNK_TOKENS or len(self.number) >= CHUNK_WORDS
 
     def row(self, name: int) -> pa.RecordBatch:
-        learned = [t for t, ok in zip(self.tokens, self.learned, strict=True) if ok]
-        n = np.bincount(np.concatenate(learned), minlength=len(self.number)) if learned else np.zeros(len(self.number), np.int64)
         flat = np.concatenate(self.tokens).astype("<i4")
         values = [
-            (name, pa.int64()), (list(self.number), pa.list_(pa.binary())), (n.astype(np.int64), pa.list_(pa.int64())), (np.array(self.docs, np.int64).tobytes(), pa.binary()),
+            (name, pa.int64()), (list(self.number), pa.list_(pa.binary())), (np.array(self.docs, np.int64).tobytes(), pa.binary()),
             (pa.compress(flat.tobytes(), "zstd", asbytes=True), pa.binary()), (np.array([len(t) for t in self.tokens], np.int64).tobytes(), pa.binary()), (np.array(self.learned, bool).tobytes(), pa.binary()),
+            (pa.compress(np.fromiter(map(len, self.number), "<i4", len(self.number)).tobytes(), "zstd", asbytes=True), pa.binary()),
         ]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=[c.split()[0] for c in _CHUNKS.split(", ")])
 
@@ -129,32 +129,40 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "data": pa.array([pa.compress(capped.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
 
-def spelling_model(words: DataFrame) -> Model:
-    """The spelling model of distinct words (column word). Its size is fixed: ORDERS * 2 * SLOTS counts, GATES * ORDERS weights, and a map."""
+def spelling_model(words: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
+    """The spelling model of distinct words (column word): packed tables, weights, map. Its size is fixed: ORDERS * 2 * SLOTS counts, GATES * ORDERS weights."""
     spark = words.sparkSession
-    tasks = max(1, min(MAX_TASKS, words.count() // TASK_WORDS))
-    words = materialise(words.select("word").repartition(tasks), "types")
-    parts = materialise(words.mapInArrow(_tables, "block int, data binary"), "table_parts")
+    total = words.count()
+    tasks = max(1, min(MAX_TASKS, total // TASK_WORDS))
+    words = words.select("word")
+    parts = materialise(words.coalesce(tasks).mapInArrow(trimmed(_tables), "block int, data binary"), "table_parts")
     blocks = parts.groupBy("block").applyInArrow(_summed, "block int, data binary").collect()
     tables = np.zeros(ORDERS * 2 * SLOTS, np.int32)
     for b in blocks:
         tables[b["block"] * BLOCK : (b["block"] + 1) * BLOCK] = _unpacked(b["data"])
+    # counts as 16 bits, both of a slot scaled alike where one is larger; packed, since the broadcast is stored on every executor
     tables = tables.reshape(ORDERS, 2, SLOTS)
-    shared = spark.sparkContext.broadcast(tables)
+    scale = np.minimum(1.0, 65535 / np.maximum(1, tables.max(axis=1, keepdims=True)))
+    shared = spark.sparkContext.broadcast(pa.compress((tables * scale).astype("<u2").tobytes(), "zstd", asbytes=True))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = Model(shared.value), 0
+        model, n = Model(_unpacked_tables(shared.value)), 0
         for batch in batches:
             model.learn(batch.column("word").to_pylist())
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([model.weights.tobytes()]), pa.array([model.seen.tobytes()])], names=["n", "weights", "seen"])
 
-    learned = [r for r in words.mapInArrow(learn, "n long, weights binary, seen binary").collect() if r["n"]]  # as many as tasks
+    fitted = words.where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_WORDS / max(1, total))))
+    learned = [r for r in fitted.coalesce(tasks).mapInArrow(trimmed(learn), "n long, weights binary, seen binary").collect() if r["n"]]
     weights, seen = None, None
     if learned:
         weights = np.average([np.frombuffer(r["weights"]).reshape(GATES, ORDERS) for r in learned], axis=0, weights=[r["n"] for r in learned])
         seen = np.sum([np.frombuffer(r["seen"]).reshape(256, -1, 2) for r in learned], axis=0)
-    return Model(tables, weights, seen)
+    return shared, weights, seen
+
+
+def _unpacked_tables(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 2 * ORDERS * 2 * SLOTS, "zstd"), "<u2").reshape(ORDERS, 2, SLOTS)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,22 +174,20 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark = docs.sparkSession
     keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("held_out", crc_of(F.col("doc_id")) % FOLDS == HELD_OUT)
-    chunked = materialise(keyed.select(*ROW_KEY, "held_out", "text").mapInArrow(_chunked, _CHUNKS), "chunks")
-    words = chunked.select("chunk", F.posexplode(F.arrays_zip("words", "learned")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.learned").alias("learned"))
-    vocabulary = materialise(words.groupBy("word").agg(F.sum("learned").alias("c")), "vocabulary")
-    n, v, once, twice = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    chunked = materialise(keyed.select(*ROW_KEY, "held_out", "text").mapInArrow(trimmed(_chunked), _CHUNKS), "chunks")
+    share, rates, frequent = _classes(chunked)
+    by_class = chunked.mapInArrow(trimmed(lambda b: _class_counts(b, frequent, share, rates)), "word binary, " + ", ".join(f"{c} int" for c in _COUNTS))
+    vocabulary = materialise(by_class.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).withColumn("c", sum((F.col(c) for c in _COUNTS[1:]), F.col("c0"))), "vocabulary")
+    release(spark)  # the words' first shuffle, before the second
+    whole = [F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))]
+    sums = vocabulary.agg(*[x.alias(f"w{j}") for j, x in enumerate(whole)], *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in _COUNTS], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"t_{c}") for c in _COUNTS]).first()
+    n, v, once, twice = sums[:4]
+    of_class, types = np.array(sums[4 : 4 + CLASSES], float), np.array(sums[4 + CLASSES :], float)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    model = spelling_model(vocabulary.where("c > 0"))
-    frequent = [bytes(r["word"]) for r in vocabulary.where("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
-    share, rates = _classes(chunked, frequent)
-    by_class = chunked.select("words", "docs", "tokens", "sizes", "trained").mapInArrow(lambda b: _class_counts(b, frequent, share, rates), "word binary, z int, n long")
-    per_class = materialise(by_class.groupBy("word").agg(*[F.sum(F.when(F.col("z") == z, F.col("n")).otherwise(0)).alias(f"c{z}") for z in range(CLASSES)]), "class_counts")
-    totals = per_class.agg(*[F.coalesce(F.sum(f"c{z}"), F.lit(0)) for z in range(CLASSES)], *[F.count(F.when(F.col(f"c{z}") > 0, 1)) for z in range(CLASSES)]).first()
-    of_class, types = np.array(totals[:CLASSES], float), np.array(totals[CLASSES:], float)
-    shared = spark.sparkContext.broadcast((model.tables, model.weights, model.seen))
+    packed, weights, seen = spelling_model(vocabulary.where("c > 0"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = Model(_unpacked_tables(packed.value), weights, seen)
         for batch in batches:
             c = batch.column("c").to_numpy().astype(float)
             spelled = m.log10(batch.column("word").to_pylist()) * math.log(10)
@@ -190,19 +196,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 p = np.logaddexp(np.log(by_count), spelled + math.log(discount * v / n if n else 1.0))
                 columns = []
                 for z in range(CLASSES):
-                    cz = batch.column(f"c{z}").to_numpy(zero_copy_only=False).astype(float)
+                    cz = batch.column(f"c{z}").to_numpy().astype(float)
                     if of_class[z]:
                         columns.append(np.logaddexp(np.log(np.where(cz > 0, cz - discount, 0.0) / of_class[z]), p + math.log(discount * types[z] / of_class[z])))
                     else:
                         columns.append(p)
-            base = np.log10((c + 1) / (n + v + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), *map(pa.array, columns)], names=["word", "c", "base", *_LOGS])
+            logs = np.stack(columns, axis=1).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array([x.tobytes() for x in logs], pa.binary())], names=["word", "c", "logs"])
 
-    counted = vocabulary.join(per_class, "word", "left").fillna(0)
-    scored = materialise(counted.mapInArrow(score, "word binary, c long, base double, " + ", ".join(f"{x} double" for x in _LOGS)), "scored_words")
+    scored = materialise(vocabulary.mapInArrow(trimmed(score), "word binary, c long, logs binary"), "scored_words")
     # a chunk holds a word once, so a frequent word has a row for each chunk, not for each time it occurs
-    found = words.drop("learned").join(scored, "word").select("chunk", "at", "c", "base", *_LOGS, F.octet_length("word").alias("size"))
-    parts = found.groupBy("chunk").cogroup(chunked.select(F.col("chunk").alias("of"), "docs", "tokens", "sizes").groupBy("of")).applyInArrow(_sum_chunk, _SCORED)
+    words = chunked.select("chunk", F.posexplode("words").alias("at", "word"))
+    found = words.join(scored, "word").select("chunk", "at", "c", "logs")
+    parts = found.groupBy("chunk").cogroup(chunked.select(F.col("chunk").alias("of"), "docs", "tokens", "sizes", "lengths").groupBy("of")).applyInArrow(lambda w, c: _sum_chunk(w, c, n, v), _SCORED)
     # a text that was read in segments has a row for each
     sums = parts.groupBy(F.col("f").alias(ROW_KEY[0]), F.col("i").alias(ROW_KEY[1])).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "bytes", *_LOGS)])
     logs = [F.col(x) + F.lit(math.log(w)) for x, w in zip(_LOGS, share, strict=True)]
@@ -231,24 +237,38 @@ def _frequencies(words: list[bytes], sizes: np.ndarray, tokens: np.ndarray, freq
     return np.bincount(rows * len(frequent) + of[of >= 0], minlength=len(sizes) * len(frequent)).reshape(len(sizes), -1)
 
 
-def _classes(chunked: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the latent classes, and the log rates of the frequent words in each, from at most FIT_TEXTS training texts."""
+def _classes(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Shares of the latent classes, the log rates of frequent words in each, and those words, from at most FIT_TEXTS training texts of FIT_CHUNKS chunks."""
+    picked = [r["chunk"] for r in chunked.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(FIT_CHUNKS).collect()]
+    some = chunked.where(F.col("chunk").isin(picked)).select("words", "docs", "tokens", "sizes", "trained")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(j, 1).to_pylist()[0] for j in range(batch.num_rows)):
+                _, sizes, tokens = _unpack(row)
+                n = np.bincount(tokens[np.repeat(np.frombuffer(row["trained"], bool), sizes)], minlength=len(row["words"]))
+                top = np.argsort(-n, kind="stable")[: 4 * FREQUENT]
+                yield pa.RecordBatch.from_arrays([pa.array([row["words"][j] for j in top], pa.binary()), pa.array(n[top])], names=["word", "n"])
+
+    most = some.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent = [bytes(r["word"]) for r in most]
+    even = np.full(CLASSES, 1 / CLASSES)
     if not frequent:
-        return np.full(CLASSES, 1 / CLASSES), np.zeros((CLASSES, 1))
+        return even, np.zeros((CLASSES, 1)), frequent
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(j, 1).to_pylist()[0] for j in range(batch.num_rows)):
                 keys, sizes, tokens = _unpack(row)
                 x = _frequencies(row["words"], sizes, tokens, frequent)
                 ok = np.flatnonzero(np.frombuffer(row["trained"], bool) & (x.sum(axis=1) > 0))
                 order = (keys[ok, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[ok, 0].view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(order), pa.array([x[j].astype("<i4").tobytes() for j in ok], pa.binary())], names=["at", "x"])
 
-    rows = chunked.select("words", "docs", "tokens", "sizes", "trained").mapInArrow(sampled, "at long, x binary").orderBy("at", "x").limit(FIT_TEXTS).collect()
+    rows = some.mapInArrow(sampled, "at long, x binary").orderBy("at", "x").limit(FIT_TEXTS).collect()
     x = np.array([np.frombuffer(r["x"], "<i4") for r in rows], float)
     if not len(x):
-        return np.full(CLASSES, 1 / CLASSES), np.zeros((CLASSES, len(frequent)))
+        return even, np.zeros((CLASSES, len(frequent))), frequent
     # start from texts far from each other, so that runs agree
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     starts = [0]
@@ -263,23 +283,24 @@ def _classes(chunked: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.
         log = x @ rates.T + np.log(share)
         belongs = np.exp(log - log.max(axis=1, keepdims=True))
         belongs /= belongs.sum(axis=1, keepdims=True)
-    return share, rates
+    return share, rates, frequent
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch], frequent: list[bytes], share: np.ndarray, rates: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(word, class, times) of a chunk's training texts, each text in its likeliest class."""
+    """A chunk's words with their counts in training texts, by the texts' likeliest classes."""
     for batch in batches:
         for j in range(batch.num_rows):
-            row = batch.slice(j, 1).to_pylist()[0]
+            one = batch.slice(j, 1)
+            row = {k: one.column(k)[0].as_py() for k in ("docs", "tokens", "sizes", "trained")}
+            words = one.column("words").flatten()
             _, sizes, tokens = _unpack(row)
-            if not frequent:
-                continue
-            z = (_frequencies(row["words"], sizes, tokens, frequent) @ rates.T + np.log(share)).argmax(axis=1)
+            z = np.zeros(len(sizes), np.int64)
+            if frequent:
+                z = (_frequencies(words.to_pylist(), sizes, tokens, frequent) @ rates.T + np.log(share)).argmax(axis=1)
             use = np.repeat(np.frombuffer(row["trained"], bool), sizes)
-            pair, n = np.unique(np.repeat(z, sizes)[use] * len(row["words"]) + tokens[use], return_counts=True)
-            words = batch.column("words").slice(j, 1).flatten().take(pa.array(pair % len(row["words"])))
-            for at in range(0, len(pair), 10_000):
-                yield pa.RecordBatch.from_arrays([words[at : at + 10_000], pa.array((pair // len(row["words"])).astype(np.int32)[at : at + 10_000]), pa.array(n.astype(np.int64)[at : at + 10_000])], names=["word", "z", "n"])
+            n = np.bincount(np.repeat(z, sizes)[use] * len(words) + tokens[use], minlength=CLASSES * len(words)).reshape(CLASSES, -1).astype(np.int32)
+            for at in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([words[at : at + 20_000], *[pa.array(x[at : at + 20_000]) for x in n]], names=["word", *_COUNTS])
 
 
 def _times_before(keys: np.ndarray) -> np.ndarray:
@@ -296,15 +317,12 @@ def _times_before(keys: np.ndarray) -> np.ndarray:
 def _own(rows: np.ndarray, starts: np.ndarray, tokens: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each token: the probability that the text's own words and pairs give it, and the weight that is left for the model."""
     at = np.arange(len(tokens)) - starts[rows]
-    word = rows * (words + 1) + tokens
-    p = OWN_WORDS * _times_before(word) / np.maximum(at, 1)
+    p = OWN_WORDS * _times_before(rows * (words + 1) + tokens) / np.maximum(at, 1)
     left = np.where(at > 0, 1 - OWN_WORDS, 1.0)
     before = np.where(at > 0, np.concatenate(([words], tokens[:-1])), words).astype(np.int64)
     has = rows * (words + 1) + before
     times = _times_before(has)
-    # pairs are numbered first: text, word and word together may not fit 64 bits
-    _, number = np.unique(has, return_inverse=True)
-    pair = _times_before(number.astype(np.int64) * (words + 1) + tokens)
+    pair = _times_before(has * (words + 1) + tokens)  # fits 64 bits: a part has at most PART_TOKENS rows or one text, a chunk CHUNK_WORDS words and those of one segment
     hit = (pair > 0) & (at > 0)
     one = np.concatenate(([False], hit[:-1])) & (at > 0)
     two = one & np.concatenate(([False], one[:-1])) & (at > 1)
@@ -312,18 +330,28 @@ def _own(rows: np.ndarray, starts: np.ndarray, tokens: np.ndarray, words: int) -
     return p * (1 - weight) + weight * pair / np.maximum(times, 1), left * (1 - weight)
 
 
-def _sum_chunk(words: pa.Table, chunk: pa.Table) -> pa.Table:
+def _sum_chunk(words: pa.Table, chunk: pa.Table, n: int, v: int) -> pa.Table:
     """The sums of each text of a chunk; both sides are bounded by the size of a chunk."""
     at = words.column("at").to_numpy()
-    value = {}
-    for name in ("c", "base", "size", *_LOGS):
-        value[name] = np.empty(len(at))
-        value[name][at] = words.column(name).to_numpy()
+    c, logs = np.empty(len(at)), np.empty((len(at), CLASSES))
+    c[at] = words.column("c").to_numpy()
+    logs[at] = np.frombuffer(b"".join(words.column("logs").to_pylist()), "<f4").reshape(-1, CLASSES)
+    base = np.log10((c + 1) / (n + v + 1))
     docs, sizes, tokens = _unpack({k: chunk.column(k)[0].as_py() for k in ("docs", "sizes", "tokens")})
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    own, left = _own(rows, np.cumsum(sizes) - sizes, tokens, len(at))
-    with np.errstate(divide="ignore"):
-        own, left = np.log(own), np.log(left)
-    known, base, size = (np.bincount(rows, x[tokens], len(sizes)) for x in ((value["c"] > 0).astype(float), value["base"], value["size"] + 1))
-    logs = {x: np.bincount(rows, np.logaddexp(value[x][tokens] + left, own), len(sizes)) for x in _LOGS}
-    return pa.table({"f": docs[:, 0], "i": docs[:, 1], "n_tokens": sizes, "n_known": known.astype(np.int64), "base": base, "bytes": size.astype(np.int64), **logs})
+    size = np.frombuffer(pa.decompress(chunk.column("lengths")[0].as_py(), 4 * len(at), "zstd"), "<i4") + 1
+    out = np.empty((3 + CLASSES, len(sizes)))
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):  # some texts at a time
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PART_TOKENS, "right")))
+        some, part = tokens[(ends[first - 1] if first else 0) : ends[last - 1]], sizes[first:last]
+        rows = np.repeat(np.arange(len(part)), part)
+        own, left = _own(rows, np.cumsum(part) - part, some, len(at))
+        with np.errstate(divide="ignore"):
+            own, left = np.log(own), np.log(left)
+        for j, x in enumerate(((c > 0).astype(float), base, size)):
+            out[j, first:last] = np.bincount(rows, x[some], len(part))
+        for z in range(CLASSES):
+            out[3 + z, first:last] = np.bincount(rows, np.logaddexp(logs[:, z][some] + left, own), len(part))
+        first = last
+    return pa.table({"f": docs[:, 0], "i": docs[:, 1], "n_tokens": sizes, "n_known": out[0].astype(np.int64), "base": out[1], "bytes": out[2].astype(np.int64), **{x: out[3 + z] for z, x in enumerate(_LOGS)}})
