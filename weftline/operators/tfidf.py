@@ -1,8 +1,8 @@
-"""Nearest neighbours by TF-IDF cosine over letter trigrams of words, as a join of postings."""
+"""Nearest neighbours by TF-IDF cosine over letter trigrams of words: a join of the rare grams' postings, then exact cosines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,14 +17,28 @@ def grams(records: DataFrame, text: str, n: int = 3) -> DataFrame:
 
 
 def weighted(records: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """country, id, gram, w: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each record of length 1; N and df by country."""
+    """country, id, gram, df, w: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each record of length 1; N and df by country."""
     tf = grams(records, text, n)
     df = tf.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
     size = records.groupBy("country").agg(F.count(F.lit(1)).alias("size"))
     idf = F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1
-    raw = tf.join(df, ["country", "gram"]).join(size, "country").select("country", "id", "gram", ((1 + F.log("tf")) * idf).alias("w"))
+    raw = tf.join(df, ["country", "gram"]).join(size, "country").select("country", "id", "gram", "df", ((1 + F.log("tf")) * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("country", "id")))
-    return raw.select("country", "id", "gram", (F.col("w") / norm).alias("w"))
+    return raw.select("country", "id", "gram", "df", (F.col("w") / norm).alias("w"))
+
+
+def rare_prefix(vectors: DataFrame, least: float) -> DataFrame:
+    """The rarest grams of each vector, without the most frequent ones whose weights together can't reach a cosine of `least`.
+
+    Two vectors that reach it share a gram of both prefixes: the rarest that they share. Frequent grams, whose postings are long, drop out.
+    """
+    upto = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("country", "id").orderBy(F.desc("df"), "gram").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return vectors.withColumn("_upto", upto).where(F.col("_upto") >= (least - 1e-6) ** 2).drop("_upto")
+
+
+def _dot(a: str, b: str) -> Column:
+    """The inner product of two vectors given as maps from gram to weight."""
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at(F.col(b), e["key"]), F.lit(0.0)))
 
 
 def nearest(records: DataFrame, text: str = "doc", top: int = DEFAULT.tfidf_top, least: float = DEFAULT.tfidf_cosine, n: int = 3, digits: int = 9) -> DataFrame:
@@ -37,13 +51,15 @@ def nearest(records: DataFrame, text: str = "doc", top: int = DEFAULT.tfidf_top,
     named = records.select("country", "id", "src", "state", text)
     one = named.groupBy("country", text).agg(F.min("id").alias("of"))
     postings = vectors.join(one.select("country", F.col("of").alias("id")), ["country", "id"], "left_semi")
-    left = postings.select("country", "gram", F.col("id").alias("a"), F.col("w").alias("wa"))
-    right = postings.select("country", "gram", F.col("id").alias("b"), F.col("w").alias("wb"))
+    whole = postings.groupBy("country", "id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))  # as long as the text
+    prefix = rare_prefix(postings, least).select("country", "gram", "id")
     asked = named.where("src = 1").select("country", text, "id", "state").join(one, ["country", text])
     held = named.where("src <> 1").select("country", text, "id", "state").join(one, ["country", text])
-    left = left.join(asked.select("country", F.col("of").alias("a")).distinct(), ["country", "a"], "left_semi")
-    right = right.join(held.select("country", F.col("of").alias("b")).distinct(), ["country", "b"], "left_semi")
-    close = left.join(right, ["country", "gram"]).groupBy("country", "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), digits).alias("tf_cos")).where(F.col("tf_cos") >= least)
+    left = prefix.withColumnRenamed("id", "a").join(asked.select("country", F.col("of").alias("a")).distinct(), ["country", "a"], "left_semi")
+    right = prefix.withColumnRenamed("id", "b").join(held.select("country", F.col("of").alias("b")).distinct(), ["country", "b"], "left_semi")
+    met = left.join(right, ["country", "gram"]).select("country", "a", "b").distinct()
+    both = met.join(whole.select("country", F.col("id").alias("a"), F.col("v").alias("va")), ["country", "a"]).join(whole.select("country", F.col("id").alias("b"), F.col("v").alias("vb")), ["country", "b"])
+    close = both.select("country", "a", "b", F.round(_dot("va", "vb"), digits).alias("tf_cos")).where(F.col("tf_cos") >= least)
     s1 = asked.select("country", F.col("of").alias("a"), F.col("id").alias("s1"), F.col("state").alias("s1_state"))
     # of each text no more than `top` records per state can be wanted, those with the smallest ids
     first = F.row_number().over(W.partitionBy("country", "of", "state").orderBy("id"))
