@@ -233,6 +233,35 @@ def test_lm_reads_long_texts_in_segments(spark, monkeypatch):
     assert len(parts) > 5 and [w for p in parts for w in p] == raw.split()
 
 
+def test_lm_classes_see_all_chunks(spark):
+    from weftline.llm import lm
+
+    # 20 chunks, one for each of 20 sources; the words of the last are frequent in it alone
+    rows = [(p, k, False, " ".join(f"s{p}w{(k * 7 + j) % 12}" for j in range(30 + p))) for p in range(20) for k in range(40)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), "__wl_f long, __wl_i long, held_out boolean, text string")
+    chunked = lm.materialise(df.mapInArrow(lm._chunked, lm._CHUNKS), "test_chunks")
+    assert chunked.count() == 20
+    share, rates, frequent = lm._classes(chunked)
+    counted = Counter(w.encode() for r in rows for w in [*r[3].split(), "\n"])
+    assert frequent == sorted(counted, key=lambda w: (-counted[w], w))[: lm.FREQUENT]
+    texts = np.array([[r[3].encode().split().count(w) + (w == b"\n") for w in frequent] for r in rows], float)
+    # a pass over all texts changes nothing any more
+    log = texts @ rates.T + np.log(share)
+    of = np.exp(log - log.max(axis=1, keepdims=True))
+    of /= of.sum(axis=1, keepdims=True)
+    assert share == pytest.approx((of.sum(axis=0) + 1) / (len(rows) + lm.CLASSES), abs=1e-3)
+    # every text counts: the rates of the words of all sources stand above those of unseen words
+    assert len({w.split(b"w")[0] for w in frequent if w != b"\n"}) == 20
+
+
+def test_lm_gates_see_all_words(spark):
+    from weftline.llm.lm import spelling_model
+
+    n = 110_000
+    _, weights, seen = spelling_model(spark.range(n).selectExpr("cast(lpad(conv(id, 10, 36), 4, '0') as binary) as word"))
+    assert seen[..., 1].sum() == n * 5 * 8 and np.isfinite(weights).all()
+
+
 def test_lm_spelling_sums_to_one():
     from weftline.llm.context_mixing import ORDERS, SLOTS, Model, counts
 

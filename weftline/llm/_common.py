@@ -51,6 +51,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(df: DataFrame) -> None:
+    """Deletes what materialise() wrote and nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for file in df.inputFiles()[:1]:
+        where = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        where.getFileSystem(conf).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of plans that are done: its cleaner acts on what the driver's garbage collections find."""
     for _ in range(2):

@@ -143,7 +143,8 @@ class Model:
                 size = np.maximum(np.bincount(gate, minlength=GATES), 1)
                 step = np.stack([np.bincount(gate, error * x[k], GATES) for k in range(ORDERS)], axis=1)
                 self.weights += RATE * step / size[:, None]
-                np.add.at(self.seen, (node, bins), np.stack([bits, np.ones_like(bits)], axis=1))
+                cell = node.astype(np.int64) * BINS + bins
+                self.seen += np.stack([np.bincount(cell, bits, 256 * BINS), np.bincount(cell, minlength=256 * BINS)], axis=1).reshape(256, BINS, 2)
 
     def _known(self) -> np.ndarray:
         """The stretched prediction of each slot, once for a model; exactly 0 only where nothing was counted."""

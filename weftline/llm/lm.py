@@ -8,7 +8,7 @@ of words, that it has held before are predicted again, with weights gated by how
 
 Texts are read once. Each task numbers the words of a bounded chunk of texts, so what is shuffled is one row for each distinct word of a
 chunk, never one for each token. Counts of words are exact and grow with the corpus; the tables of the spelling model have a fixed size, are filled from all
-distinct training words, and are all that is broadcast. Weights are learned online by each task over its own words and averaged.
+distinct training words, and are all that is broadcast. Classes are fitted in passes over all training texts; weights are learned online by each task over its own words, all of them, and averaged.
 """
 
 from __future__ import annotations
@@ -19,22 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import ROW_KEY, crc_of, materialise, release, trimmed, with_row_key
+from weftline.llm._common import ROW_KEY, crc_of, delete, materialise, release, trimmed, with_row_key
 from weftline.llm.context_mixing import END, GATES, ORDERS, SLOTS, Model, counts
 
 #: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 7, 2
 #: A chunk closes at so many tokens or distinct words; longer texts are read in segments of so many bytes.
 CHUNK_TOKENS, CHUNK_WORDS, SEGMENT_BYTES, PART_TOKENS = 5 << 19, 400_000, 1 << 22, 1 << 18
-#: Distinct words for each task that fills the tables, such tasks at most, and words (a bounded sample) that fit the weights of the gates.
-TASK_WORDS, MAX_TASKS, FIT_WORDS = 250_000, 64, 100_000
+#: Distinct words for each task that fills the tables and fits the weights of the gates, and such tasks at most.
+TASK_WORDS, MAX_TASKS = 250_000, 64
 BLOCK = 1 << 17
-#: Latent classes, the frequent words they are found by, the texts they are fitted on (a bounded sample from FIT_CHUNKS chunks), and rounds of fitting.
-CLASSES, FREQUENT, FIT_TEXTS, FIT_CHUNKS, FIT_ROUNDS = 4, 256, 4000, 8, 30
+#: Latent classes, the frequent words they are found by, rounds of fitting, and texts whose features are unpacked at once.
+CLASSES, FREQUENT, FIT_ROUNDS, TEXTS = 4, 256, 30, 4096
 #: Weights of the text's own words, and of its own pairs after no, one and more pairs that came again just before.
 OWN_WORDS, OWN_PAIRS = 0.05, np.array([0.02, 0.15, 0.7])
 
@@ -152,8 +153,7 @@ def spelling_model(words: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.n
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([model.weights.tobytes()]), pa.array([model.seen.tobytes()])], names=["n", "weights", "seen"])
 
-    fitted = words.where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_WORDS / max(1, total))))
-    learned = [r for r in fitted.coalesce(tasks).mapInArrow(trimmed(learn), "n long, weights binary, seen binary").collect() if r["n"]]
+    learned = [r for r in words.coalesce(tasks).mapInArrow(trimmed(learn), "n long, weights binary, seen binary").collect() if r["n"]]
     weights, seen = None, None
     if learned:
         weights = np.average([np.frombuffer(r["weights"]).reshape(GATES, ORDERS) for r in learned], axis=0, weights=[r["n"] for r in learned])
@@ -237,55 +237,134 @@ def _frequencies(words: list[bytes], sizes: np.ndarray, tokens: np.ndarray, freq
     return np.bincount(rows * len(frequent) + of[of >= 0], minlength=len(sizes) * len(frequent)).reshape(len(sizes), -1)
 
 
-def _classes(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Shares of the latent classes, the log rates of frequent words in each, and those words, from at most FIT_TEXTS training texts of FIT_CHUNKS chunks."""
-    picked = [r["chunk"] for r in chunked.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(FIT_CHUNKS).collect()]
-    some = chunked.where(F.col("chunk").isin(picked)).select("words", "docs", "tokens", "sizes", "trained")
+def _training_counts(row: dict, words: int) -> np.ndarray:
+    """How often a chunk's training texts hold each of its words."""
+    _, sizes, tokens = _unpack(row)
+    return np.bincount(tokens[np.repeat(np.frombuffer(row["trained"], bool), sizes)], minlength=words)
+
+
+def _frequent(chunked: DataFrame) -> list[bytes]:
+    """The FREQUENT words that all training texts hold most often, by exact counts.
+
+    The sums of each chunk's own top words bound the last one's count from below. A word that reaches the bound has an even share of it in one chunk at
+    least, so words with such a share are all that is counted in full.
+    """
+    some, number = chunked.select("words", "docs", "tokens", "sizes", "trained"), chunked.count()
+
+    def listed(choose) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for j in range(batch.num_rows):
+                    one = batch.slice(j, 1)
+                    words = one.column("words").flatten()
+                    n = _training_counts({k: one.column(k)[0].as_py() for k in ("docs", "tokens", "sizes", "trained")}, len(words))
+                    at = choose(words, n)
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(at, pa.int64())), pa.array(n[at], pa.int64())], names=["word", "n"])
+
+        return some.mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = [r["n"] for r in listed(lambda _, n: np.argsort(-n, kind="stable")[:FREQUENT]).orderBy(F.desc("n")).limit(FREQUENT).collect()]
+    least = -(-first[-1] // number) if len(first) == FREQUENT else 1
+    wanted = pa.array([bytes(r["word"]) for r in listed(lambda _, n: np.flatnonzero(n >= least)).select("word").collect()], pa.binary())
+    exact = listed(lambda words, _: np.flatnonzero(pa.compute.is_in(words, value_set=wanted).to_numpy(zero_copy_only=False)))
+    return [bytes(r["word"]) for r in exact.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+
+
+def _features(chunked: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """The frequent words' counts (x, packed) in every training text that has some, with a name that orders the texts (at): a row for TEXTS texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (batch.slice(j, 1).to_pylist()[0] for j in range(batch.num_rows)):
-                _, sizes, tokens = _unpack(row)
-                n = np.bincount(tokens[np.repeat(np.frombuffer(row["trained"], bool), sizes)], minlength=len(row["words"]))
-                top = np.argsort(-n, kind="stable")[: 4 * FREQUENT]
-                yield pa.RecordBatch.from_arrays([pa.array([row["words"][j] for j in top], pa.binary()), pa.array(n[top])], names=["word", "n"])
-
-    most = some.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = [bytes(r["word"]) for r in most]
-    even = np.full(CLASSES, 1 / CLASSES)
+            for j in range(batch.num_rows):
+                one = batch.slice(j, 1)
+                row = {k: one.column(k)[0].as_py() for k in ("docs", "tokens", "sizes", "trained")}
+                keys, sizes, tokens = _unpack(row)
+                words, trained, ends = one.column("words").flatten().to_pylist(), np.frombuffer(row["trained"], bool), np.append(0, np.cumsum(sizes))
+                for first in range(0, len(sizes), TEXTS):
+                    last = min(first + TEXTS, len(sizes))
+                    x = _frequencies(words, sizes[first:last], tokens[ends[first] : ends[last]], frequent)
+                    ok = np.flatnonzero(trained[first:last] & (x.sum(axis=1) > 0))
+                    at = (keys[first + ok, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[first + ok, 0].view(np.uint64)).view(np.int64)
+                    if len(ok):
+                        packed = pa.compress(x[ok].astype("<i4").tobytes(), "zstd", asbytes=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["at", "x"])
+
+    some = chunked.select("words", "docs", "tokens", "sizes", "trained")
+    return materialise(some.mapInArrow(trimmed(run), "at binary, x binary"), "features")
+
+
+def _classes(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Shares of the latent classes, the log rates of frequent words in each, and those words, from all training texts: each round is a pass that sums over them."""
+    frequent = _frequent(chunked)
+    even, wide = np.full(CLASSES, 1 / CLASSES), len(frequent)
     if not frequent:
         return even, np.zeros((CLASSES, 1)), frequent
+    features = _features(chunked, frequent)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            for row in (batch.slice(j, 1).to_pylist()[0] for j in range(batch.num_rows)):
-                keys, sizes, tokens = _unpack(row)
-                x = _frequencies(row["words"], sizes, tokens, frequent)
-                ok = np.flatnonzero(np.frombuffer(row["trained"], bool) & (x.sum(axis=1) > 0))
-                order = (keys[ok, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[ok, 0].view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(order), pa.array([x[j].astype("<i4").tobytes() for j in ok], pa.binary())], names=["at", "x"])
-
-    rows = some.mapInArrow(sampled, "at long, x binary").orderBy("at", "x").limit(FIT_TEXTS).collect()
-    x = np.array([np.frombuffer(r["x"], "<i4") for r in rows], float)
-    if not len(x):
-        return even, np.zeros((CLASSES, len(frequent))), frequent
+            for at, x in zip(batch.column("at").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                at = np.frombuffer(at, np.int64)
+                yield at, np.frombuffer(pa.decompress(x, 4 * wide * len(at), "zstd"), "<i4").reshape(-1, wide).astype(float)
+
+    def near(x: np.ndarray, starts: list[np.ndarray]) -> np.ndarray:
+        return (x @ np.array([y / np.linalg.norm(y) for y in starts]).T) / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def farthest(starts: list[np.ndarray]) -> np.ndarray | None:
+        """The text whose likeness to the starts is least, of several the first by name."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = []
+            for at, x in each(batches):
+                like = near(x, starts).max(axis=1) if starts else np.zeros(len(at))
+                j = np.lexsort((at, like))[0]
+                best = [min([*best, (float(like[j]), int(at[j]), x[j].tobytes())])]
+            for like, at, x in best:
+                yield pa.RecordBatch.from_arrays([pa.array([like]), pa.array([at]), pa.array([x], pa.binary())], names=["like", "at", "x"])
+
+        found = features.mapInArrow(run, "like double, at long, x binary").orderBy("like", "at", "x").first()
+        return None if found is None else np.frombuffer(found["x"])
+
+    def summed(belongs) -> np.ndarray:
+        """Of each class: its texts, and their counts of each frequent word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((CLASSES, 1 + wide))
+            for _, x in each(batches):
+                of = belongs(x)
+                total += np.column_stack([of.sum(axis=0), of.T @ x])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())], names=["task", "total"])
+
+        rows = features.mapInArrow(run, "task long, total binary").collect()
+        return np.sum([np.frombuffer(r["total"]).reshape(CLASSES, -1) for r in sorted(rows, key=lambda r: r["task"])], axis=0)
+
     # start from texts far from each other, so that runs agree
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    starts = [0]
-    for _ in range(CLASSES - 1):
-        starts.append(int((unit @ unit[starts].T).max(axis=1).argmin()))
-    near = np.argmax(unit @ unit[starts].T, axis=1)
-    belongs = np.eye(CLASSES)[near]
-    for _ in range(FIT_ROUNDS):
-        share = (belongs.sum(axis=0) + 1) / (len(x) + CLASSES)
-        counts_ = belongs.T @ x + 0.1
-        rates = np.log(counts_ / counts_.sum(axis=1, keepdims=True))
-        log = x @ rates.T + np.log(share)
-        belongs = np.exp(log - log.max(axis=1, keepdims=True))
-        belongs /= belongs.sum(axis=1, keepdims=True)
+    starts: list[np.ndarray] = []
+    for _ in range(CLASSES):
+        found = farthest(starts)
+        if found is None:
+            return even, np.zeros((CLASSES, wide)), frequent
+        starts.append(found)
+    sums = summed(lambda x: np.eye(CLASSES)[np.argmax(near(x, starts), axis=1)])
+    share, rates = _fitted(sums)
+    for _ in range(FIT_ROUNDS - 1):
+
+        def belongs(x: np.ndarray, share: np.ndarray = share, rates: np.ndarray = rates) -> np.ndarray:
+            log = x @ rates.T + np.log(share)
+            likely = np.exp(log - log.max(axis=1, keepdims=True))
+            return likely / likely.sum(axis=1, keepdims=True)
+
+        share, rates = _fitted(summed(belongs))
+    delete(features)
     return share, rates, frequent
 
 
+def _fitted(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and log rates from a pass's sums."""
+    counts_ = sums[:, 1:] + 0.1
+    return (sums[:, 0] + 1) / (sums[:, 0].sum() + CLASSES), np.log(counts_ / counts_.sum(axis=1, keepdims=True))
+
+
 def _class_counts(batches: Iterator[pa.RecordBatch], frequent: list[bytes], share: np.ndarray, rates: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A chunk's words with their counts in training texts, by the texts' likeliest classes."""
     for batch in batches:
