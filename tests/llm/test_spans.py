@@ -80,6 +80,22 @@ def test_further_kinds_and_context(spark):
     assert [s.kind for s in spans] == ["github", "pem"]
 
 
+def test_account_numbers_before_upper_case_and_digits(spark):
+    from weftline.llm.pii import IBAN_LENGTHS, find_personal_data
+
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"IBAN: {de} BIC COBADEFFXXX", [de]), ("DE89 3704 0044 0532 0130 00 EUR", ["DE89 3704 0044 0532 0130 00"]), (f"{gb} I will pay", [gb]),
+        (f"{gb} AND {de} 5 TIMES", [gb, de]), (f"{de} {gb}", [de, gb]), (f"AT12 {de}", [de]), (f"é {de}. {de}", [de, de]), (f"{de}EUR", []), (f"X{de}", []),
+        ("GB83 WEST 1234 5698 7654 32 I", []), ("ZZ82 WEST 1234 5698 7654 32", []), ("FR14 2004 1010 0505 0001 3M02 606 EUR 7", ["FR14 2004 1010 0505 0001 3M02 606"]),
+    ]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert [t[s.start : s.end] for s in got[i] if s.kind == "iban"] == want, t
+    codes = " ".join(IBAN_LENGTHS.values()).split()
+    assert len(codes) == len(set(codes))
+
+
 def test_trigram_queries_never_lose_a_match():
     from weftline.llm.secrets import RULES
     from weftline.llm.trigrams import ALWAYS, trigram_query
