@@ -224,66 +224,141 @@ def test_lm_base_is_exact_and_scores_are_probabilities(awkward, empty, docs):
     assert scores(empty).count() == 0
 
 
-def test_lm_reads_long_texts_in_segments(spark, monkeypatch):
+class PlainMixer:
+    """The model in plain Python: dictionaries of counts, one decision at a time."""
+
+    def __init__(self, texts, kinds):
+        from weftline.llm import context_mixing as cm
+
+        self.cm, self.texts, self.kinds = cm, texts, kinds
+        histogram = Counter(b for t, k in zip(texts, kinds) if k == cm.COUNTED for b in t)
+        self.code = cm.Code(np.array([histogram[b] for b in range(256)]))
+        self.counts = Counter()
+        for t, k in zip(texts, kinds, strict=True):
+            for at in range(len(t)) if k == cm.COUNTED else ():
+                for context in self.contexts(t, at):
+                    self.counts.update((context, node, bit) for node, bit in self.decisions(t[at]))
+
+    def contexts(self, t, at):
+        seen = self.cm.BEFORE + t[:at]
+        word = re.split(rb"[ \n]", seen)[-1]
+        return [(n, seen[-n:]) for n in self.cm.ORDERS] + [("word", word)]
+
+    def decisions(self, byte):
+        r = int(self.code.rank[byte])
+        return [(int(self.code.node[r, d]), bool(self.code.bit[r, d])) for d in range(int(self.code.length[r]))]
+
+    def inputs(self, t, at, own):
+        for node, bit in self.decisions(t[at]):
+            codes = []
+            for c in self.contexts(t, at):
+                code = int(self.cm.level(np.array([self.counts[c, node, bit]]))[0]) * 256 + int(self.cm.level(np.array([self.counts[c, node, not bit]]))[0])
+                codes.append(int(self.cm.LEFT_OUT[code]) if own else code)
+            grades = [int(self.cm.KNOWN[c]) for c in codes]
+            gate = sum((g > 0) << k for k, g in enumerate(grades))
+            yield node, bit, [(gate, k, g) for k, g in enumerate(grades)], [float(self.cm.STRETCH[c]) for c in codes]
+
+    def probability(self, node, bit, index, x):
+        cm = self.cm
+        total = min(max(sum(self.weights[i] * v for i, v in zip(index, x)), 0.01 - cm.REACH), cm.REACH - 0.01)
+        p, place = 1 / (1 + math.exp(-total)), (total if bit else -total) * cm.CELLS
+        low = math.floor(place)
+        share, cell = place - low, [self.map[node, low + j] for j in (0, 1)]
+        one = cell[0][0] / cell[0][1] * (1 - share) + cell[1][0] / cell[1][1] * share
+        return p, (p + (one if bit else 1 - one)) / 2, low + (share > 0.5)
+
+    def scores(self, order):
+        """order: (text, place) of the bytes that are learned from, in turn, as batches."""
+        from collections import defaultdict
+
+        cm = self.cm
+        self.weights, taught = defaultdict(lambda: cm.FIRST), Counter()
+        self.map = {(n, j): [cm.PRIOR / (1 + math.exp(-j / cm.CELLS)), cm.PRIOR] for n in range(255) for j in range(-cm.REACH * cm.CELLS, cm.REACH * cm.CELLS + 1)}
+        for batch in order:
+            steps, cells = Counter(), []
+            for t, at, times in batch:
+                for node, bit, index, x in self.inputs(self.texts[t], at, False):
+                    p, _, near = self.probability(node, bit, index, x)
+                    for i, v in zip(index, x):
+                        steps[i] += (1 - p) * times * v
+                        taught[i] += times
+                    cells.append((node, near, bit, times))
+            for i, s in steps.items():
+                self.weights[i] += cm.RATE * s / math.sqrt(taught[i] + 1)
+            for node, near, bit, times in cells:
+                self.map[node, near][0] += times * bit
+                self.map[node, near][1] += times
+        return [sum(math.log(self.probability(*d)[1]) for at in range(len(t)) for d in self.inputs(t, at, k == cm.COUNTED)) for t, k in zip(self.texts, self.kinds)]
+
+
+def chunk_of(cm, texts, kinds):
+    data = b"".join(cm.BEFORE + t for t in texts)
+    return cm.Stream(data, np.array([len(t) + len(cm.BEFORE) for t in texts]), np.array(kinds, np.uint8))
+
+
+def chunk_scores(cm, stream, code):
+    found, tokens = cm.census(stream, code)
+    return cm.score(stream, code, [cm.Known(k, cm.paths(k, n, k, code)[0], code) for k, n in found], tokens), found, tokens
+
+
+def test_lm_mixes_like_plain_python(docs):
+    from weftline.llm import context_mixing as cm
+
+    texts = [cm.lowered((r.text or "")[:150].encode()) for r in docs.orderBy("doc_id").limit(24).collect()] + [b"\n", cm.lowered("É é 日本 x x x".encode())]
+    kinds = [cm.HELD if i % 7 == 2 else cm.TAUGHT if i % 3 == 1 else cm.COUNTED for i in range(len(texts))]
+    plain, stream = PlainMixer(texts, kinds), chunk_of(cm, texts, kinds)
+    sums, _, tokens = chunk_scores(cm, stream, plain.code)
+    places = [(t, at) for t, x in enumerate(texts) for at in range(-len(cm.BEFORE), len(x))][len(cm.BEFORE) :]
+    ((at, keys),) = stream.keys(plain.code)
+    order, starts = cm.distinct(keys, stream.of(0, len(keys[0]))[0])
+    taught = [(*places[order[a]], z - a) for a, z in zip(starts, [*starts[1:], len(order)]) if kinds[places[order[a]][0]] == cm.TAUGHT and places[order[a]][1] >= 0]
+    want = plain.scores([taught[i : i + cm.BATCH] for i in range(0, len(taught), cm.BATCH)])
+    assert len(taught) > cm.BATCH
+    assert sums["score"] == pytest.approx(want, rel=1e-6)
+    counted = Counter(w for t, k in zip(texts, kinds) if k != cm.HELD for w in t.split())
+    assert sums["words"].tolist() == [len(t.split()) for t in texts] and tokens.sum() == sum(counted.values())
+
+
+def test_lm_decisions_are_a_distribution():
+    from weftline.llm import context_mixing as cm
+
+    texts, kinds = [b"the cat sat\n", b"the dog sat\n", b"a cat\n", b"the cow\n"], [cm.COUNTED, cm.COUNTED, cm.TAUGHT, cm.HELD]
+    plain = PlainMixer(texts, kinds)
+    ends = [b"the c" + bytes([b]) for b in range(256)]
+    plain.texts, plain.kinds = ends, [cm.HELD] * 256
+    total = plain.scores([])
+    plain.texts, plain.kinds = [b"the c"], [cm.HELD]
+    (before,) = plain.scores([])
+    assert sum(math.exp(x - before) for x in total) == pytest.approx(1)
+
+
+def test_lm_blocks_and_segments_change_no_context(monkeypatch):
+    from weftline.llm import context_mixing as cm
+    from weftline.llm.lm import _segments
+
+    random.seed(3)
+    body = cm.lowered(" ".join("".join(random.choice("abc") for _ in range(random.choice((1, 3, 400)))) for _ in range(200)).encode())
+    code = cm.Code(np.bincount(np.frombuffer(body, np.uint8), minlength=256))
+    whole = next(chunk_of(cm, [body], [0]).keys(code))[1]
+    monkeypatch.setattr(cm, "BLOCK", 512)
+    blocks = [k for _, k in chunk_of(cm, [body], [0]).keys(code)]
+    for i, k in enumerate(whole):
+        assert (np.concatenate([b[i] for b in blocks]) == k).all()
+    parts = list(_segments(body, 1000))
+    assert len(parts) > 5 and b"".join(b for _, b in parts) == body
+    cut = [next(cm.Stream(a + b, np.array([len(a + b)]), np.zeros(1, np.uint8)).keys(code))[1] for a, b in parts if len(b) <= 512]
+    assert all((c[0] == whole[0][len(body) - len(c[0]) :]).all() and (c[3] == whole[3][len(body) - len(c[3]) :]).all() for c in cut[-1:])
+
+
+def test_lm_chunks_share_counts(spark, docs, monkeypatch):
     from weftline.llm import lm
 
-    raw = b" ".join(b"w%d" % i for i in range(3000))
-    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1000)
-    parts = list(lm._segments(raw))
-    assert len(parts) > 5 and [w for p in parts for w in p] == raw.split()
-
-
-def test_lm_classes_see_all_chunks(spark):
-    from weftline.llm import lm
-
-    # 20 chunks, one for each of 20 sources; the words of the last are frequent in it alone
-    rows = [(p, k, False, " ".join(f"s{p}w{(k * 7 + j) % 12}" for j in range(30 + p))) for p in range(20) for k in range(40)]
-    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), "__wl_f long, __wl_i long, held_out boolean, text string")
-    chunked = lm.materialise(df.mapInArrow(lm._chunked, lm._CHUNKS), "test_chunks")
-    assert chunked.count() == 20
-    share, rates, frequent = lm._classes(chunked)
-    counted = Counter(w.encode() for r in rows for w in [*r[3].split(), "\n"])
-    assert frequent == sorted(counted, key=lambda w: (-counted[w], w))[: lm.FREQUENT]
-    texts = np.array([[r[3].encode().split().count(w) + (w == b"\n") for w in frequent] for r in rows], float)
-    # a pass over all texts changes nothing any more
-    log = texts @ rates.T + np.log(share)
-    of = np.exp(log - log.max(axis=1, keepdims=True))
-    of /= of.sum(axis=1, keepdims=True)
-    assert share == pytest.approx((of.sum(axis=0) + 1) / (len(rows) + lm.CLASSES), abs=1e-3)
-    # every text counts: the rates of the words of all sources stand above those of unseen words
-    assert len({w.split(b"w")[0] for w in frequent if w != b"\n"}) == 20
-
-
-def test_lm_gates_see_all_words(spark):
-    from weftline.llm.lm import spelling_model
-
-    n = 110_000
-    _, weights, seen = spelling_model(spark.range(n).selectExpr("cast(lpad(conv(id, 10, 36), 4, '0') as binary) as word"))
-    assert seen[..., 1].sum() == n * 5 * 8 and np.isfinite(weights).all()
-
-
-def test_lm_spelling_sums_to_one():
-    from weftline.llm.context_mixing import ORDERS, SLOTS, Model, counts
-
-    words = [b"the", b"then", b"they", b"\n", b"a", b""]
-    tables = np.zeros((ORDERS, 2, SLOTS), np.int32)
-    counts(words, tables)
-    model = Model(tables.astype(np.uint16))
-    model.learn(words)
-    one = [bytes([b]) for b in range(256) if b not in (0x20, *range(9, 14))]
-    shorter = model.log10([b""])[0]
-    assert 0 < 10**shorter < 1
-    assert (10 ** model.log10(one)).sum() + 10**shorter < 1
-    assert model.log10([b"the"])[0] > model.log10([b"xqz"])[0]
-
-
-def test_lm_own_words():
-    from weftline.llm.lm import OWN_WORDS, _own
-
-    rows, tokens = np.array([0, 0, 0, 0, 1, 1]), np.array([5, 6, 5, 6, 5, 5], np.int32)
-    p, left = _own(rows, np.array([0, 4]), tokens, 10)
-    assert p[0] == p[1] == 0 and left[0] == 1 and left[1] == 1 - OWN_WORDS
-    assert p[3] > p[2] > 0 and p[4] == 0 and p[5] > 0
+    one = {r.doc_id: r for r in lm.scores(docs).collect()}
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 16)
+    monkeypatch.setattr(lm, "LEAST_BYTES", 1 << 16)
+    for r in lm.scores(docs).collect():
+        a = one[r.doc_id]
+        assert a[:7] == r[:7] and a.base_score == pytest.approx(r.base_score) and r.score == pytest.approx(a.score, rel=0.5)
 
 
 def test_toxicity(spark, sf, awkward, empty, docs):

@@ -1,203 +1,404 @@
-"""Logistic mixing of hashed-context bit predictors, over many words at once in numpy.
+"""Online logistic context mixing over running text, in blocks of numpy arrays.
 
-Words are spelled as bytes and an ending byte, each byte as eight binary decisions. For every decision each context (the last one to five
-bytes, the word so far, the position) names a slot of its own hashed table; the slot's counts of zeros and ones give a prediction in the
-logistic domain. The predictions are added with weights that a gate selects (the longest context that is known, and the bit's place), and
-the sum is refined by an adaptive map from (partial byte, prediction) to what was seen there. All tables have a fixed size.
+A byte is spelled by the binary decisions of a Huffman tree over all training bytes, so that a common byte takes few of them. Each of four contexts
+(the last two, four and six bytes, and the word so far, all of which cross the borders of words) predicts each decision
+from how often the corpus went either way there. The predictions are stretched and added with weights that are gated by which contexts are known, and how well; a map
+from the sum, by decision, refines the probability. Weights and map learn online, from training bytes only: a batch is
+predicted, then learned from.
+
+Places of a block that have the same contexts and byte get the same prediction, so they are computed once. A training byte
+is predicted from all other training bytes: its own occurrence is left out of its counts.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 
-SLOT_BITS, ORDERS = 20, 7
-SLOTS = 1 << SLOT_BITS
-#: Words are ended by a space; the end of a text is a word of its own. Neither byte occurs in words.
-ENDING, END = b" ", b"\n"
-PRIOR, STRETCH_MAX, BINS = 0.1, 8.0, 33
-GATES = (ORDERS + 1) * 8
-RATE, BATCH_BITS, CHUNK_BYTES = 0.2, 1 << 14, 1 << 17
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_NODES = np.array([[(1 << k) | (b >> (8 - k)) for k in range(8)] for b in range(256)], np.uint64)
-_BITS = np.array([[(b >> (7 - k)) & 1 for k in range(8)] for b in range(256)], np.uint8)
-
-
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.log(p / (1 - p)), -STRETCH_MAX, STRETCH_MAX)
-
-
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
-
-
-@dataclass
-class Spelled:
-    """The decisions of some words, word after word: slots of each context, bits, places in the byte, partial bytes, words' first decisions."""
-
-    slots: np.ndarray
-    bits: np.ndarray
-    place: np.ndarray
-    node: np.ndarray
-    starts: np.ndarray
-
-
-def spell(words: list[bytes]) -> Spelled:
-    ended = [w if w == END else w + ENDING for w in words]
-    flat = np.frombuffer(b"".join(ended), np.uint8)
-    lengths = np.fromiter(map(len, ended), np.int64, len(ended))
-    starts = np.cumsum(lengths) - lengths
-    first = np.repeat(starts, lengths)
-    at = np.arange(len(flat)) - first
-    contexts = [np.minimum(at, 15).astype(np.uint64)]
-    value = np.zeros(len(flat), np.uint64)
-    for order in range(1, 6):
-        before = np.zeros(len(flat), np.uint64)
-        before[order:] = flat[:-order] + np.uint64(1) if len(flat) > order else before[order:]
-        before[at < order] = 0
-        value = value * np.uint64(257) + before
-        contexts.append(value)
-    # the word so far: a polynomial of its bytes modulo 2**64, from sums over the whole array; the multiplier is odd and has an inverse
-    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(0, len(flat) - 1), _MULTIPLIER))))
-    inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
-    sums = np.cumsum((flat + np.uint64(1)) * power, dtype=np.uint64)
-    sums = np.concatenate(([np.uint64(0)], sums))
-    unpower = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(0, len(flat) - 1), inverse))))
-    contexts.append((sums[:-1] - sums[first]) * unpower[first])
-    node = _NODES[flat]
-    slots = np.empty((ORDERS, len(flat) * 8), np.int32)
-    for k, context in enumerate(contexts):
-        mixed = (context + np.uint64(k + 1)) * _MULTIPLIER
-        mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed[:, None] * np.uint64(0xBF58476D1CE4E5B9)) + node * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(32)
-        slots[k] = ((mixed * _MULTIPLIER) >> np.uint64(64 - SLOT_BITS)).astype(np.int32).ravel()
-    return Spelled(slots, _BITS[flat].ravel(), np.tile(np.arange(8), len(flat)), node.ravel().astype(np.int16), starts * 8)
-
-
-def chunks(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of words of about CHUNK_BYTES bytes."""
-    at = size = 0
-    for i, w in enumerate(words):
-        size += len(w) + 1
-        if size >= CHUNK_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(words):
-        yield at, len(words)
-
-
-def counts(words: list[bytes], into: np.ndarray) -> None:
-    """Adds each word's decisions once to the tables: into[order, bit, slot]."""
-    for a, b in chunks(words):
-        s = spell(words[a:b])
-        for k in range(ORDERS):
-            into[k] += np.bincount(s.slots[k] + s.bits * np.int32(SLOTS), minlength=2 * SLOTS).reshape(2, SLOTS)
-
-
-class Model:
-    """Tables of counts, weights of the gates, and the refining map."""
-
-    def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
-        self.tables, self.known = tables, None
-        self.weights = np.full((GATES, ORDERS), 0.3) if weights is None else weights
-        #: ones and all of (partial byte, bin), as if each bin had seen a few decisions of its own probability
-        self.seen = np.zeros((256, BINS, 2)) if seen is None else seen
-
-    def _inputs(self, s: Spelled, at: slice, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions, and gates. own: each word's own decision is taken out of the counts (it is in them)."""
-        bits = s.bits[at]
-        x, longest = np.empty((ORDERS, len(bits))), np.zeros(len(bits), np.int64)
-        for k in range(ORDERS):
-            slots = s.slots[k, at]
-            zeros, ones = self.tables[k, 0, slots].astype(float), self.tables[k, 1, slots].astype(float)
-            if own:
-                zeros, ones = np.maximum(zeros - (bits == 0), 0), np.maximum(ones - bits, 0)
-            total = zeros + ones
-            x[k] = _stretch((ones + PRIOR) / (total + 2 * PRIOR))
-            longest[total > 0] = k + 1
-        return x, longest * 8 + s.place[at]
-
-    def _refined(self, mixed: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where = (np.clip(mixed, -STRETCH_MAX, STRETCH_MAX) + STRETCH_MAX) * (BINS - 1) / (2 * STRETCH_MAX)
-        low = np.minimum(where.astype(np.int64), BINS - 2)
-        part = where - low
-        centre = _squash((np.arange(BINS) * 2 * STRETCH_MAX / (BINS - 1)) - STRETCH_MAX)
-        table = (self.seen[..., 0] + 20 * centre) / (self.seen[..., 1] + 20)
-        p = table[node, low] * (1 - part) + table[node, low + 1] * part
-        return np.clip((p + _squash(mixed)) / 2, 1e-6, 1 - 1e-6), np.rint(where).astype(np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """One pass over words that are in the tables: weights by online gradient steps, the map by counting, both without the words' own counts."""
-        for a, b in chunks(words):
-            s = spell(words[a:b])
-            for at in range(0, len(s.bits), BATCH_BITS):
-                part = slice(at, at + BATCH_BITS)
-                x, gate = self._inputs(s, part, own=True)
-                bits, node = s.bits[part].astype(float), s.node[part]
-                mixed = (self.weights[gate].T * x).sum(axis=0)
-                _, bins = self._refined(mixed, node)
-                error = bits - _squash(mixed)
-                size = np.maximum(np.bincount(gate, minlength=GATES), 1)
-                step = np.stack([np.bincount(gate, error * x[k], GATES) for k in range(ORDERS)], axis=1)
-                self.weights += RATE * step / size[:, None]
-                cell = node.astype(np.int64) * BINS + bins
-                self.seen += np.stack([np.bincount(cell, bits, 256 * BINS), np.bincount(cell, minlength=256 * BINS)], axis=1).reshape(256, BINS, 2)
-
-    def _known(self) -> np.ndarray:
-        """The stretched prediction of each slot, once for a model; exactly 0 only where nothing was counted."""
-        if self.known is None:
-            self.known = np.empty((ORDERS, SLOTS), np.float32)
-            for k in range(ORDERS):
-                zeros, ones = self.tables[k, 0].astype(np.float32), self.tables[k, 1].astype(np.float32)
-                some = _stretch((ones + np.float32(PRIOR)) / (zeros + ones + np.float32(2 * PRIOR)))
-                some[some == 0] = 1e-9
-                some[zeros + ones == 0] = 0
-                self.known[k] = some
-        return self.known
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each word's spelling.
-
-        Words are taken in order, and decisions that a word shares with the one before (the same beginning) are computed once.
-        """
-        order = sorted(range(len(words)), key=words.__getitem__)
-        out, known, weights = np.empty(len(words)), self._known(), self.weights.astype(np.float32)
-        ordered = [words[j] for j in order]
-        sums = np.zeros(1)
-        before = b""
-        for a, b in chunks(ordered):
-            some = ordered[a:b]
-            s = spell(some)
-            shared = np.zeros(len(some), np.int64)
-            for j, w in enumerate(some):
-                n = 0
-                if w != END and before != END:
-                    most = min(len(w), len(before))
-                    while n < most and w[n] == before[n]:
-                        n += 1
-                shared[j], before = n, w
-            ends = np.append(s.starts[1:], len(s.bits))
-            fresh = np.flatnonzero(np.arange(len(s.bits)) >= np.repeat(s.starts + 8 * shared, ends - s.starts))
-            logs = np.empty(len(fresh), np.float32)
-            for at in range(0, len(fresh), BATCH_BITS * 4):
-                part = fresh[at : at + BATCH_BITS * 4]
-                x = np.stack([known[k][s.slots[k, part]] for k in range(ORDERS)])
-                longest = np.zeros(len(part), np.int64)
-                for k in range(ORDERS):
-                    longest[x[k] != 0] = k + 1
-                mixed = (weights[longest * 8 + s.place[part]].T * x).sum(axis=0)
-                p, _ = self._refined(mixed, s.node[part])
-                logs[at : at + BATCH_BITS * 4] = np.log10(np.where(s.bits[part] == 1, p, 1 - p))
-            # bytes' logs, then running sums along each word; the shared beginning's sum is the last word's
-            steps = logs.reshape(-1, 8).sum(axis=1, dtype=float)
-            lengths = ((ends - s.starts) // 8 - shared).tolist()
-            at = 0
-            for j, n in enumerate(lengths):
-                start = sums[shared[j]] if len(sums) > shared[j] else 0.0
-                sums = np.concatenate((sums[: shared[j] + 1], start + np.cumsum(steps[at : at + n])))
-                out[order[a + j]] = sums[-1]
-                at += n
+#: Byte contexts, by length; the context of the word so far comes after them.
+ORDERS = (2, 4, 6)
+CONTEXTS = len(ORDERS) + 1
+#: Bytes before the first of a text, as all contexts see them.
+BEFORE = b"\n" * 8
+#: What a byte's text is to the model: counted, learned from by weights and map, or held out.
+COUNTED, TAUGHT, HELD = 0, 1, 2
+#: Places that are looked at together, bytes between two steps of learning, bytes whose decisions are laid out at once.
+BLOCK, BATCH, LAID_OUT = 1 << 21, 512, 1 << 14
+#: What is added to counts; first weight; rates of the weights and of the map; what a cell of the map counts for at first.
+ADDED, FIRST, RATE, PRIOR = 0.02, 0.3, 0.06, 20.0
+#: Cells of the map on each side of zero, and cells for one unit of the stretched probability.
+REACH, CELLS = 16, 2
+#: Counts are told apart up to this one, then by so many steps for a factor of two.
+EXACT, STEPS = 64, 6
+
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_INVERSE = np.uint64(pow(int(_MIX), -1, 1 << 64))
+_EIGHT = np.uint64(8)
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """A count in one byte."""
+    n = np.asarray(n, np.int64)
+    high = EXACT + np.floor(STEPS * np.log2(np.maximum(n, EXACT) / EXACT) + 1e-9)
+    return np.where(n < EXACT, n, np.minimum(high, 255)).astype(np.uint8)
+
+
+_VALUE = np.where(np.arange(256) < EXACT, np.arange(256.0), EXACT * 2 ** ((np.arange(256.0) - EXACT + 0.5) / STEPS))
+_SAME, _OTHER = np.divmod(np.arange(1 << 16), 256)
+#: Of a code (level of the count of what came, level of the count of the other way): the stretched probability, and how well the context is known.
+STRETCH = np.log((_VALUE[_SAME] + ADDED) / (_VALUE[_OTHER] + ADDED)).astype(np.float32)
+_TOTAL = _VALUE[_SAME] + _VALUE[_OTHER]
+_GRADE = np.where(_TOTAL > 0, np.minimum(12, np.floor(np.log2(np.maximum(_TOTAL, 1)) + 1e-9) + 1), 0)
+KNOWN = np.where((_SAME == 0) | (_OTHER == 0), _GRADE, _GRADE + 12).astype(np.uint8)
+GRADES = 25
+#: The code without the occurrence itself.
+LEFT_OUT = (np.where((_SAME > 0) & (_SAME <= EXACT), _SAME - 1, _SAME) * 256 + _OTHER).astype(np.uint16)
+GATES = 1 << CONTEXTS
+
+
+class Code:
+    """A Huffman tree of bytes. Bytes are ranked from left to right, so that a node holds a range of ranks."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: of each of 256 bytes; bytes that don't occur have a place in the tree, too."""
+        heap = [(int(n) + 1, b, (b,)) for b, n in enumerate(counts)]
+        heapq.heapify(heap)
+        name, children = 256, {}
+        while len(heap) > 1:
+            (m, _, a), (n, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            children[name] = (a, b)
+            heapq.heappush(heap, (m + n, name, (name,)))
+            name += 1
+        paths, todo, order = {}, [(heap[0][2][0], ())], []
+        while todo:
+            at, path = todo.pop()
+            if at < 256:
+                paths[at] = path
+                order.append(at)
+                continue
+            (left,), (right,) = children[at]
+            todo += [(right, (*path, (at, 1))), (left, (*path, (at, 0)))]
+        self.rank = np.zeros(256, np.uint8)
+        self.rank[order] = np.arange(256)
+        self.length = np.array([len(paths[b]) for b in order], np.int64)
+        deep = int(self.length.max())
+        self.node, self.bit = np.zeros((256, deep), np.int64), np.zeros((256, deep), bool)
+        self.low, self.high = np.zeros((256, deep + 1), np.uint64), np.zeros((256, deep + 1), np.uint64)
+        spans: dict[int, tuple[int, int]] = {}
+        for r, b in enumerate(order):
+            for at, _ in paths[b]:
+                a, z = spans.get(at, (r, r))
+                spans[at] = (min(a, r), max(z, r))
+        for r, b in enumerate(order):
+            for d, (at, bit) in enumerate(paths[b]):
+                self.node[r, d], self.bit[r, d] = at - 256, bit
+                self.low[r, d], self.high[r, d] = spans[at][0], spans[at][1] + 1
+            self.low[r, len(paths[b])], self.high[r, len(paths[b])] = r, r + 1
+
+
+def lowered(raw: bytes) -> bytes:
+    """A text as it is scored: A-Z lower-cased, its words with a blank between, and its end."""
+    return b" ".join(raw.lower().split()) + b"\n"
+
+
+def contexts(raw: np.ndarray, code: Code) -> list[np.ndarray]:
+    """For each place from len(BEFORE) on and each context: context and rank of the byte there, in 64 bits.
+
+    raw: bytes, the first len(BEFORE) of which are context only and end with a word's end, as far as words are concerned.
+    """
+    first, n = len(BEFORE), len(raw)
+    byte, rank = raw.astype(np.uint64), code.rank[raw].astype(np.uint64)
+    keys = []
+    for order in ORDERS:
+        k = byte[first - order : n - order].copy()
+        for j in range(order - 1, 0, -1):
+            k <<= _EIGHT
+            k |= byte[first - j : n - j]
+        k <<= _EIGHT
+        k |= rank[first:]
+        keys.append(k)
+    # the word so far: a polynomial of its bytes, from sums up to each place
+    power, back = np.full(n, _MIX), np.full(n, _INVERSE)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(back, out=back)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum((byte[:-1] + np.uint64(1)) * (byte[:-1] + np.uint64(257)) * power[:-1], out=sums[1:])
+    ends = (raw == 32) | (raw == 10)
+    starts = np.maximum.accumulate(np.where(np.concatenate(([True], ends[:-1])), np.arange(n), 0))[first:]
+    word = sums[first:] - sums[starts]
+    word *= back[starts]  # as if each word began at place 0
+    word ^= word >> np.uint64(31)
+    word *= _MIX2
+    word ^= word >> np.uint64(29)
+    word += (np.arange(first, n) - starts).astype(np.uint64) * _MIX
+    word <<= _EIGHT
+    word |= rank[first:]
+    return [*keys, word]
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
+def counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with how often learned is true there."""
+    out, n = [], []
+    for use in (True, False):
+        some = np.sort(keys[learned == use])
+        starts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
+        out.append(some[starts])
+        n.append(np.diff(np.append(starts, len(some))) if use else np.zeros(len(starts), np.int64))
+    return summed(np.concatenate(out), np.concatenate(n))
+
+
+def paths(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted key the codes of its byte's decisions, one key's after another's, and the number of codes up to each key.
+
+    keys: distinct, in order, with all keys of each context that is wanted; counts: how often each occurs in training texts.
+    """
+    before = np.append(0, np.cumsum(counts))
+    rank = (wanted & np.uint64(255)).astype(np.int64)
+    context = wanted - rank.astype(np.uint64)
+    lengths = code.length[rank]
+    ends = np.cumsum(lengths)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
+
+    def total(at: np.ndarray, d: int) -> np.ndarray:
+        # the last context's end may lie beyond 64 bits, so ranges are closed
+        low, high = context[at] | code.low[rank[at], d], context[at] | (code.high[rank[at], d] - np.uint64(1))
+        return before[np.searchsorted(keys, high, "right")] - before[np.searchsorted(keys, low)]
+
+    at = np.arange(len(wanted))
+    whole = total(at, 0) if len(at) else None
+    for d in range(int(lengths.max()) if len(lengths) else 0):
+        deep = lengths[at] > d
+        at, whole = at[deep], whole[deep]
+        same = total(at, d + 1)
+        out[ends[at] - lengths[at] + d] = level(same).astype(np.uint16) * 256 + level(whole - same)
+        whole = same
+    return out, ends
+
+
+class Slots:
+    """Places of distinct 64-bit keys, by open addressing, for many keys at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(32))) * _MIX
+        return (mixed >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Their places, -1 where there is none."""
+        out, slot = np.full(len(keys), -1, np.int64), self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            at = self.table[slot]
+            good = at >= 0
+            if not good.all():
+                left, slot, at = left[good], slot[good], at[good]
+            same = self.keys[at] == keys[left]
+            out[left[same]] = at[same]
+            left, slot = left[~same], (slot[~same] + 1) & self.mask
+        return out
+
+
+class Known:
+    """What the corpus says about the keys of one context: where the codes of a key's decisions start, the last for keys that are not there."""
+
+    def __init__(self, keys: np.ndarray, codes: np.ndarray, code: Code):
+        length = code.length[(keys & np.uint64(255)).astype(np.int64)]
+        self.slots, self.start = Slots(keys), np.append(np.cumsum(length) - length, len(codes))
+        self.codes = np.append(codes, np.zeros(code.node.shape[1], np.uint16))
+
+
+class Mixer:
+    """Gated weights and the refining map, as far as they have learned."""
+
+    def __init__(self, code: Code):
+        self.code = code
+        self.weights = np.full(GATES * CONTEXTS * GRADES, FIRST, np.float32)
+        self.taught = np.zeros(len(self.weights))
+        self.cells = 2 * REACH * CELLS + 1
+        start = 1 / (1 + np.exp(-(np.arange(self.cells) - REACH * CELLS) / CELLS))
+        self.seen = np.full(255 * self.cells, PRIOR)
+        self.ones = np.tile(start * PRIOR, 255)
+
+    def _laid_out(self, starts: list[np.ndarray], known: list[Known], rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the decisions of some bytes: places of weights and stretched probabilities (CONTEXTS, decisions), the middle of the map's row, the bit; where each byte's decisions begin."""
+        code = self.code
+        lengths = code.length[rank]
+        ends = np.cumsum(lengths)
+        first = ends - lengths
+        deep = np.arange(ends[-1]) - np.repeat(first, lengths)
+        codes = np.empty((CONTEXTS, len(deep)), np.uint16)
+        for k, row in enumerate(codes):
+            np.take(known[k].codes, np.repeat(starts[k], lengths) + deep, out=row, mode="clip")
+        if own.any():
+            np.copyto(codes, np.take(LEFT_OUT, codes), where=np.repeat(own, lengths))
+        index = np.take(KNOWN, codes).astype(np.int32)
+        gate = np.zeros(len(deep), np.int32)
+        for k in range(CONTEXTS):
+            gate |= (index[k] > 0).astype(np.int32) << k
+        gate *= CONTEXTS * GRADES
+        for k in range(CONTEXTS):
+            index[k] += gate + k * GRADES
+        flat = np.repeat(rank * code.node.shape[1], lengths) + deep
+        return index, np.take(STRETCH, codes), np.take(code.node, flat) * self.cells + REACH * CELLS, np.take(code.bit, flat), first
+
+    def _mixed(self, index: np.ndarray, x: np.ndarray, cell: np.ndarray, bit: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The probability of what came as mixed and as refined, and for each decision the map's cell below and how far it is from there."""
+        total = np.einsum("kn,kn->n", np.take(self.weights, index, mode="clip"), x)
+        np.clip(total, -REACH + 0.01, REACH - 0.01, out=total)
+        p = 1 / (1 + np.exp(-total))
+        place = np.where(bit, total, -total) * np.float32(CELLS)
+        low = np.floor(place)
+        share = place - low
+        cell = cell + low.astype(np.int64)
+        one = np.take(one, cell) * (1 - share) + np.take(one, cell + 1) * share
+        return p, (p + np.where(bit, one, 1 - one)) * np.float32(0.5), cell, share
+
+    def _map(self) -> np.ndarray:
+        return (self.ones / self.seen).astype(np.float32)
+
+    def learn(self, starts: list[np.ndarray], known: list[Known], rank: np.ndarray, times: np.ndarray) -> None:
+        """Learns from bytes that no count holds, each as often as `times` says: a batch is predicted first, then learned from."""
+        for at in range(0, len(rank), BATCH):
+            some = slice(at, at + BATCH)
+            r = rank[some]
+            index, x, cell, bit, _ = self._laid_out([s[some] for s in starts], known, r, np.zeros(len(r), bool))
+            p, _, cell, share = self._mixed(index, x, cell, bit, self._map())
+            use = np.repeat(times[some].astype(float), self.code.length[r])
+            flat = index.ravel()
+            steps = np.bincount(flat, ((1 - p) * use * x).ravel(), len(self.weights))
+            self.taught += np.bincount(flat, np.tile(use, CONTEXTS), len(self.weights))
+            self.weights += (RATE * steps / np.sqrt(self.taught + 1)).astype(np.float32)
+            near = cell + (share > 0.5)
+            self.ones += np.bincount(near, use * bit, len(self.ones))
+            self.seen += np.bincount(near, use, len(self.seen))
+
+    def scores(self, starts: list[np.ndarray], known: list[Known], rank: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The natural logarithm of each byte's probability; own: whether the counts hold the byte itself. starts: of each context's codes."""
+        out, one = np.empty(len(rank)), self._map()
+        for at in range(0, len(rank), LAID_OUT):
+            some = slice(at, at + LAID_OUT)
+            index, x, cell, bit, first = self._laid_out([s[some] for s in starts], known, rank[some], own[some])
+            _, refined, _, _ = self._mixed(index, x, cell, bit, one)
+            out[some] = np.add.reduceat(np.log(refined), first, dtype=float)
         return out
+
+
+class Stream:
+    """Texts one after another, each with the bytes before it. Places are those of bytes after the first len(BEFORE)."""
+
+    def __init__(self, data: bytes, lengths: np.ndarray, kinds: np.ndarray):
+        """lengths: of the texts with the bytes before them; kinds: COUNTED, TAUGHT or HELD."""
+        self.raw, self.kinds = np.frombuffer(data, np.uint8), kinds
+        self.starts = np.cumsum(lengths) - lengths - len(BEFORE)
+        self.data = data
+
+    def keys(self, code: Code) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The keys of all contexts, for BLOCK places at a time, with the first place."""
+        first = len(BEFORE)
+        for at in range(0, len(self.raw) - first, BLOCK):
+            begin = max(self.data.rfind(b" ", 0, at), self.data.rfind(b"\n", 0, at)) + 1  # words are whole
+            keys = contexts(self.raw[begin : at + first + BLOCK], code)
+            yield at, [k[at - begin :] for k in keys]
+
+    def of(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n places from `at` on: the kind (bytes before a text are HELD), whether the byte belongs to a text, and which text."""
+        a, z = np.searchsorted(self.starts, [at, at + n - 1], "right")
+        some = slice(a - 1, z)
+        sizes = np.diff(np.clip(np.append(self.starts[some], at + n), at, at + n))
+        inside = np.ones(n, bool)
+        before = (self.starts[some][:, None] + np.arange(len(BEFORE))).ravel() - at
+        inside[before[(before >= 0) & (before < n)]] = False
+        return np.where(inside, np.repeat(self.kinds[some], sizes), HELD).astype(np.uint8), inside, np.repeat(np.arange(a - 1, z), sizes)
+
+    def words(self, at: int, n: int) -> np.ndarray:
+        """Whether a word ends before each of n places from `at` on."""
+        ends = np.isin(self.raw[at + len(BEFORE) - 1 : at + len(BEFORE) + n], (32, 10))
+        return ends[1:] & ~ends[:-1]
+
+
+def census(stream: Stream, code: Code) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each context its distinct keys, in order, and how often each occurs in COUNTED texts; for keys of ends of words, how often in texts that aren't HELD."""
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
+    words = []
+    for at, keys in stream.keys(code):
+        kind, inside, _ = stream.of(at, len(keys[0]))
+        for of, k in zip(parts, keys, strict=True):
+            of.append(counted(k[inside], kind[inside] == COUNTED))
+        ended = stream.words(at, len(kind)) & inside & (kind != HELD)
+        words.append(counted(keys[-1][ended], np.ones(int(ended.sum()), bool)))
+    out = [summed(np.concatenate([k for k, _ in of]), np.concatenate([n for _, n in of])) for of in parts]
+    tokens = np.zeros(len(out[-1][0]), np.int64)
+    k, n = summed(np.concatenate([k for k, _ in words]), np.concatenate([n for _, n in words]))
+    tokens[np.searchsorted(out[-1][0], k)] = n
+    return out, tokens
+
+
+def distinct(keys: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): order sorts a block's places by what is predicted there, and for what kind of text; starts says where something new begins."""
+    bits = np.uint64(BLOCK.bit_length() - 1)
+    mixed, salt = (keys[-1] ^ (keys[-2] * _MIX2)) * np.uint64(3) + kind, _MIX
+    while True:
+        ordered = (mixed ^ (mixed >> np.uint64(30))) * salt
+        ordered = np.sort((ordered >> bits) << bits | np.arange(len(mixed), dtype=np.uint64))
+        order = (ordered & np.uint64(BLOCK - 1)).astype(np.int64)
+        ordered >>= bits
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        same = ~new[1:]
+        if not any((k[order][1:] != k[order][:-1])[same].any() for k in (keys[-1], keys[-2], kind)):
+            return order, np.flatnonzero(new)
+        salt = salt * _MIX2 + np.uint64(2)  # two of them met in one hash
+
+
+def score(stream: Stream, code: Code, known: list[Known], tokens: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums of each text: score (natural logarithms of its bytes' probabilities), words, known (words that are no HELD text's alone) and logs (of their counts and one, to base 10).
+
+    tokens: of each key that known[-1] was made of, how often its word occurs. A block's TAUGHT bytes are learned from, then the block is scored.
+    """
+    mixer, n = Mixer(code), len(stream.kinds)
+    out = {k: np.zeros(n) for k in ("score", "words", "known", "logs")}
+    tokens = np.append(tokens, 0)
+    for at, keys in stream.keys(code):
+        kind, inside, text = stream.of(at, len(keys[0]))
+        order, starts = distinct(keys, kind)
+        heads = order[starts]
+        times, kinds, keys = np.diff(np.append(starts, len(order))), kind[heads], [k[heads] for k in keys]
+        found = [k.slots.find(x) for k, x in zip(known, keys, strict=True)]
+        begin = [k.start[f] for k, f in zip(known, found, strict=True)]
+        rank = (keys[0] & np.uint64(255)).astype(np.int64)
+        some = kinds == TAUGHT
+        if some.any():
+            mixer.learn([b[some] for b in begin], known, rank[some], times[some])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.repeat(np.arange(len(starts), dtype=np.int32), times)
+        logs = mixer.scores(begin, known, rank, kinds == COUNTED)[place]
+        first, last = int(text[0]), int(text[-1]) + 1
+        out["score"][first:last] += np.bincount(text[inside] - first, logs[inside], last - first)
+        ended = np.flatnonzero(stream.words(at, len(kind)) & inside)
+        c, of = tokens[found[-1][place[ended]]], text[ended] - first
+        out["words"][first:last] += np.bincount(of, minlength=last - first)
+        out["known"][first:last] += np.bincount(of, c > 0, last - first)
+        out["logs"][first:last] += np.bincount(of, np.log10(c + 1), last - first)
+    return out

@@ -1,436 +1,228 @@
-"""Language-model scores of texts by logistic context mixing, against an add-one base.
+"""Language-model scores of texts by online logistic context mixing over their bytes, against an add-one base of words.
 
-Texts are sequences of words and one end. A text is a mixture over CLASSES latent classes (languages, mostly), found by expectation maximisation
-on the most frequent words. In a class a word's probability is what its count there leaves after an absolute discount; the
-discounted mass goes to the word's count in all training texts, and what is discounted there to the spelling model of
-weftline.llm.context_mixing, so that unknown words are scored by their letters. The text itself adapts the result: words, and pairs
-of words, that it has held before are predicted again, with weights gated by how well such predictions just did.
+Counts of contexts come from all training texts and are exact: each task reads a bounded chunk of texts and lists its distinct (context, byte)
+keys with their counts, packed by parts of the key space; a part sums what all chunks list and answers each chunk with what the
+corpus says about the chunk's own keys. A chunk then meets its answers and is scored by weftline.llm.context_mixing. So
+the statistics grow with the corpus, nothing of them is broadcast or collected (the Huffman tree of 256 byte counts is), and what is
+shuffled is each chunk's distinct keys, not its bytes.
 
-Texts are read once. Each task numbers the words of a bounded chunk of texts, so what is shuffled is one row for each distinct word of a
-chunk, never one for each token. Counts of words are exact and grow with the corpus; the tables of the spelling model have a fixed size, are filled from all
-distinct training words, and are all that is broadcast. Classes are fitted in passes over all training texts; weights are learned online by each task over its own words, all of them, and averaged.
+Weights and map learn from TAUGHT_OF training texts in so many, whose bytes the contexts' counts leave out, so that they see such texts as held-out ones are
+seen. Each chunk starts from the same weights and learns as it reads.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import ROW_KEY, crc_of, delete, materialise, release, trimmed, with_row_key
-from weftline.llm.context_mixing import END, GATES, ORDERS, SLOTS, Model, counts
-
-#: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from.
-FOLDS, HELD_OUT = 7, 2
-#: A chunk closes at so many tokens or distinct words; longer texts are read in segments of so many bytes.
-CHUNK_TOKENS, CHUNK_WORDS, SEGMENT_BYTES, PART_TOKENS = 5 << 19, 400_000, 1 << 22, 1 << 18
-#: Distinct words for each task that fills the tables and fits the weights of the gates, and such tasks at most.
-TASK_WORDS, MAX_TASKS = 250_000, 64
-BLOCK = 1 << 17
-#: Latent classes, the frequent words they are found by, rounds of fitting, and texts whose features are unpacked at once.
-CLASSES, FREQUENT, FIT_ROUNDS, TEXTS = 4, 256, 30, 4096
-#: Weights of the text's own words, and of its own pairs after no, one and more pairs that came again just before.
-OWN_WORDS, OWN_PAIRS = 0.05, np.array([0.02, 0.15, 0.7])
-
-_CHUNKS = "chunk long, words array<binary>, docs binary, tokens binary, sizes binary, trained binary, lengths binary"
-_LOGS = [f"s{z}" for z in range(CLASSES)]
-_COUNTS = [f"c{z}" for z in range(CLASSES)]
-_SCORED = "f long, i long, n_tokens long, n_known long, base double, bytes long, " + ", ".join(f"s{z} double" for z in range(CLASSES))
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
-
-
-def _segments(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of bounded size."""
-    at = 0
-    while len(raw) - at > SEGMENT_BYTES:
-        cut = _SPACE.search(raw, at + SEGMENT_BYTES)
-        if cut is None:
-            break
-        yield raw[at : cut.start()].split()
-        at = cut.end()
-    yield raw[at:].split()
+from weftline.llm._common import ROW_KEY, crc_of, delete, materialise, with_row_key
+from weftline.llm.context_mixing import BEFORE, CONTEXTS, COUNTED, HELD, TAUGHT, Code, Known, Stream, census, lowered, paths, score, summed
+
+#: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from; of the others, those with crc32(id) mod TAUGHT_OF == 1 teach the weights.
+FOLDS, HELD_OUT, TAUGHT_OF = 7, 2, 13
+#: A chunk closes at so many bytes of text, at most and at least, between them at what makes about CHUNKS of them; parts of the key space for each chunk.
+CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 40 << 20, 4 << 20, 16, 4
+
+_CHUNKS = "chunk long, docs binary, lengths binary, kinds binary, bytes long, text binary, histogram array<long>"
+_LISTED = "part int, chunk long, context int, size int, keys binary, counts binary, tokens binary"
+_ANSWERS = "chunk long, context int, size int, keys binary, decisions int, codes binary, tokens binary, words long, total long"
+_SCORED = "f long, i long, words long, known long, logs double, score double, bytes long, ends int, vocabulary long, total long"
+
+
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    """An array, its bytes sorted by significance and compressed."""
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, width * size, "zstd"), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def _unpack_keys(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, size, "<u8"), dtype=np.uint64)
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a schema as Spark writes it."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], types[t]) for j, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
 class _Chunk:
-    """Numbers of words, and the texts' words as numbers."""
+    """Texts, or segments of long ones."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
         self.docs: list[tuple[int, int]] = []
-        self.tokens: list[np.ndarray] = []
-        self.learned: list[bool] = []
-        self.total = 0
+        self.pieces: list[bytes] = []
+        self.kinds: list[int] = []
+        self.bytes, self.histogram = 0, np.zeros(256, np.int64)
 
-    def add(self, key: tuple[int, int], held: bool, words: list[bytes]) -> None:
-        number = self.number
-        self.tokens.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+    def add(self, key: tuple[int, int], kind: int, before: bytes, body: bytes) -> None:
         self.docs.append(key)
-        self.learned.append(not held)
-        self.total += len(words)
-
-    def full(self) -> bool:
-        return self.total >= CHUNK_TOKENS or len(self.number) >= CHUNK_WORDS
+        self.pieces += [before, body]
+        self.kinds.append(kind)
+        self.bytes += len(body)
+        if kind == COUNTED:
+            self.histogram += np.bincount(np.frombuffer(body, np.uint8), minlength=256)
 
     def row(self, name: int) -> pa.RecordBatch:
-        flat = np.concatenate(self.tokens).astype("<i4")
-        values = [
-            (name, pa.int64()), (list(self.number), pa.list_(pa.binary())), (np.array(self.docs, np.int64).tobytes(), pa.binary()),
-            (pa.compress(flat.tobytes(), "zstd", asbytes=True), pa.binary()), (np.array([len(t) for t in self.tokens], np.int64).tobytes(), pa.binary()), (np.array(self.learned, bool).tobytes(), pa.binary()),
-            (pa.compress(np.fromiter(map(len, self.number), "<i4", len(self.number)).tobytes(), "zstd", asbytes=True), pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=[c.split()[0] for c in _CHUNKS.split(", ")])
+        text = b"".join(self.pieces)
+        lengths = np.array([len(b) + len(BEFORE) for b in self.pieces[1::2]], np.int64)
+        return _batch(_CHUNKS, [(name, np.array(self.docs, np.int64).tobytes(), lengths.tobytes(), bytes(self.kinds), len(text), pa.compress(text, "zstd", asbytes=True), self.histogram.tolist())])
+
 
+def _segments(body: bytes, most: int) -> Iterator[tuple[bytes, bytes]]:
+    """A text with the bytes before it; one of over `most` bytes in segments that begin after a blank and go on in the contexts of the one before."""
+    at, before = 0, BEFORE
+    while at < len(body):
+        cut = body.find(b" ", at + most) + 1 if len(body) - at > most else 0
+        stop = cut or len(body)
+        yield before, body[at:stop]
+        before, at = (before + body[max(0, stop - len(BEFORE)) : stop])[-len(BEFORE) :], stop
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     task, n, chunk = TaskContext.get().partitionId(), 0, _Chunk()
     for batch in batches:
-        f, i, held = (batch.column(c).to_pylist() for c in (*ROW_KEY, "held_out"))
+        f, i, kind = (batch.column(c).to_pylist() for c in (*ROW_KEY, "kind"))
         for j in range(batch.num_rows):
-            segments = _segments((batch.column("text")[j].as_py() or "").encode().lower())
-            words = next(segments)
-            while words is not None:
-                after = next(segments, None)
-                chunk.add((f[j], i[j]), held[j], words if after is not None else [*words, END])
-                words = after
-                if chunk.full():
+            for before, body in _segments(lowered((batch.column("text")[j].as_py() or "").encode()), most):
+                chunk.add((f[j], i[j]), kind[j], before, body)
+                if chunk.bytes >= most:
                     yield chunk.row(task << 32 | n)
                     n, chunk = n + 1, _Chunk()
     if chunk.docs:
         yield chunk.row(task << 32 | n)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's counts, in blocks of the tables."""
-    into = np.zeros((ORDERS, 2, SLOTS), np.int32)
-    for batch in batches:
-        counts(batch.column("word").to_pylist(), into)
-    flat = into.reshape(-1)
-    for block in range(len(flat) // BLOCK):
-        part = flat[block * BLOCK : (block + 1) * BLOCK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pa.compress(part.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "data"])
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 4 * BLOCK, "zstd"), "<i4")
-
-
-def _summed(group: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for data in group.column("data"):
-        total += _unpacked(data.as_py())
-    capped = np.minimum(total, 2**31 - 1).astype("<i4")
-    return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "data": pa.array([pa.compress(capped.tobytes(), "zstd", asbytes=True)], pa.binary())})
-
-
-def spelling_model(words: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
-    """The spelling model of distinct words (column word): packed tables, weights, map. Its size is fixed: ORDERS * 2 * SLOTS counts, GATES * ORDERS weights."""
-    spark = words.sparkSession
-    total = words.count()
-    tasks = max(1, min(MAX_TASKS, total // TASK_WORDS))
-    words = words.select("word")
-    parts = materialise(words.coalesce(tasks).mapInArrow(trimmed(_tables), "block int, data binary"), "table_parts")
-    blocks = parts.groupBy("block").applyInArrow(_summed, "block int, data binary").collect()
-    tables = np.zeros(ORDERS * 2 * SLOTS, np.int32)
-    for b in blocks:
-        tables[b["block"] * BLOCK : (b["block"] + 1) * BLOCK] = _unpacked(b["data"])
-    # counts as 16 bits, both of a slot scaled alike where one is larger; packed, since the broadcast is stored on every executor
-    tables = tables.reshape(ORDERS, 2, SLOTS)
-    scale = np.minimum(1.0, 65535 / np.maximum(1, tables.max(axis=1, keepdims=True)))
-    shared = spark.sparkContext.broadcast(pa.compress((tables * scale).astype("<u2").tobytes(), "zstd", asbytes=True))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = Model(_unpacked_tables(shared.value)), 0
-        for batch in batches:
-            model.learn(batch.column("word").to_pylist())
-            n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([model.weights.tobytes()]), pa.array([model.seen.tobytes()])], names=["n", "weights", "seen"])
-
-    learned = [r for r in words.coalesce(tasks).mapInArrow(trimmed(learn), "n long, weights binary, seen binary").collect() if r["n"]]
-    weights, seen = None, None
-    if learned:
-        weights = np.average([np.frombuffer(r["weights"]).reshape(GATES, ORDERS) for r in learned], axis=0, weights=[r["n"] for r in learned])
-        seen = np.sum([np.frombuffer(r["seen"]).reshape(256, -1, 2) for r in learned], axis=0)
-    return shared, weights, seen
-
-
-def _unpacked_tables(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 2 * ORDERS * 2 * SLOTS, "zstd"), "<u2").reshape(ORDERS, 2, SLOTS)
+def _stream(text: bytes, size: int, lengths: bytes, kinds: bytes) -> Stream:
+    return Stream(pa.decompress(text, size, "zstd", asbytes=True), np.frombuffer(lengths, np.int64), np.frombuffer(kinds, np.uint8))
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: ROW_KEY, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
-
-    Scores are log10 probabilities of the lower-cased (A-Z) words and the end. Null texts count as empty: the end alone. Null ids are learned from. If nothing is
-    learned from, no token is known and words are scored by an untrained spelling. An empty table gives no rows; other columns are
-    not read.
-    """
-    spark = docs.sparkSession
-    keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("held_out", crc_of(F.col("doc_id")) % FOLDS == HELD_OUT)
-    chunked = materialise(keyed.select(*ROW_KEY, "held_out", "text").mapInArrow(trimmed(_chunked), _CHUNKS), "chunks")
-    share, rates, frequent = _classes(chunked)
-    by_class = chunked.mapInArrow(trimmed(lambda b: _class_counts(b, frequent, share, rates)), "word binary, " + ", ".join(f"{c} int" for c in _COUNTS))
-    vocabulary = materialise(by_class.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).withColumn("c", sum((F.col(c) for c in _COUNTS[1:]), F.col("c0"))), "vocabulary")
-    release(spark)  # the words' first shuffle, before the second
-    whole = [F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))]
-    sums = vocabulary.agg(*[x.alias(f"w{j}") for j, x in enumerate(whole)], *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in _COUNTS], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"t_{c}") for c in _COUNTS]).first()
-    n, v, once, twice = sums[:4]
-    of_class, types = np.array(sums[4 : 4 + CLASSES], float), np.array(sums[4 + CLASSES :], float)
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    packed, weights, seen = spelling_model(vocabulary.where("c > 0"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(_unpacked_tables(packed.value), weights, seen)
-        for batch in batches:
-            c = batch.column("c").to_numpy().astype(float)
-            spelled = m.log10(batch.column("word").to_pylist()) * math.log(10)
-            by_count = np.where(c > 0, c - discount, 0.0) / n if n else np.zeros(len(c))
-            with np.errstate(divide="ignore"):
-                p = np.logaddexp(np.log(by_count), spelled + math.log(discount * v / n if n else 1.0))
-                columns = []
-                for z in range(CLASSES):
-                    cz = batch.column(f"c{z}").to_numpy().astype(float)
-                    if of_class[z]:
-                        columns.append(np.logaddexp(np.log(np.where(cz > 0, cz - discount, 0.0) / of_class[z]), p + math.log(discount * types[z] / of_class[z])))
-                    else:
-                        columns.append(p)
-            logs = np.stack(columns, axis=1).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array([x.tobytes() for x in logs], pa.binary())], names=["word", "c", "logs"])
-
-    scored = materialise(vocabulary.mapInArrow(trimmed(score), "word binary, c long, logs binary"), "scored_words")
-    # a chunk holds a word once, so a frequent word has a row for each chunk, not for each time it occurs
-    words = chunked.select("chunk", F.posexplode("words").alias("at", "word"))
-    found = words.join(scored, "word").select("chunk", "at", "c", "logs")
-    parts = found.groupBy("chunk").cogroup(chunked.select(F.col("chunk").alias("of"), "docs", "tokens", "sizes", "lengths").groupBy("of")).applyInArrow(lambda w, c: _sum_chunk(w, c, n, v), _SCORED)
-    # a text that was read in segments has a row for each
-    sums = parts.groupBy(F.col("f").alias(ROW_KEY[0]), F.col("i").alias(ROW_KEY[1])).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "bytes", *_LOGS)])
-    logs = [F.col(x) + F.lit(math.log(w)) for x, w in zip(_LOGS, share, strict=True)]
-    top = F.greatest(*logs)
-    total = F.lit(0.0)
-    for x in logs:
-        total = total + F.exp(x - top)
-    sums = sums.withColumn("score", (top + F.log(total)) / math.log(10))
-    bits = F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes"))
-    facts = keyed.select(*ROW_KEY, "doc_id", "held_out")
-    return facts.join(sums, ROW_KEY).select(*ROW_KEY, "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", bits.alias("bits_per_byte"))
-
-
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and sizes of a chunk's texts, and their words as numbers."""
-    sizes = np.frombuffer(row["sizes"], np.int64)
-    tokens = np.frombuffer(pa.decompress(row["tokens"], int(4 * sizes.sum()), "zstd"), "<i4")
-    return np.frombuffer(row["docs"], np.int64).reshape(-1, 2), sizes, tokens
-
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: all keys of a context are in one."""
+    mixed = (keys >> np.uint64(8)) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
 
-def _frequencies(words: list[bytes], sizes: np.ndarray, tokens: np.ndarray, frequent: list[bytes]) -> np.ndarray:
-    """How often each text holds each frequent word."""
-    place = {w: j for j, w in enumerate(frequent)}
-    of = np.array([place.get(w, -1) for w in words], np.int64)[tokens]
-    rows = np.repeat(np.arange(len(sizes)), sizes)[of >= 0]
-    return np.bincount(rows * len(frequent) + of[of >= 0], minlength=len(sizes) * len(frequent)).reshape(len(sizes), -1)
 
-
-def _training_counts(row: dict, words: int) -> np.ndarray:
-    """How often a chunk's training texts hold each of its words."""
-    _, sizes, tokens = _unpack(row)
-    return np.bincount(tokens[np.repeat(np.frombuffer(row["trained"], bool), sizes)], minlength=words)
+def _listed(batches: Iterator[pa.RecordBatch], code: Code, parts: int) -> Iterator[pa.RecordBatch]:
+    """What each chunk holds: its distinct keys by part and context, with their counts."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            found, tokens = census(_stream(r["text"], r["bytes"], r["lengths"], r["kinds"]), code)
+            for context, (keys, counts) in enumerate(found):
+                part = _parts_of(keys, parts)
+                order = np.argsort(part, kind="stable")
+                ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+                for p in np.flatnonzero(np.diff(ends)):
+                    at = order[ends[p] : ends[p + 1]]
+                    n = _packed(tokens[at], "<i4") if context == CONTEXTS - 1 else None
+                    yield _batch(_LISTED, [(int(p), r["chunk"], context, len(at), _pack_keys(keys[at]), _packed(counts[at], "<i4"), n)])
+
+
+def _answered(group: pa.Table, code: Code) -> pa.Table:
+    """Sums a part's keys over all chunks and answers each chunk. One row more says how many distinct words the part holds, and how often they occur."""
+    out, vocabulary, total = [], 0, 0
+    rows = group.to_pylist()
+    for context in range(CONTEXTS):
+        listed = [(r["chunk"], _unpack_keys(r["keys"], r["size"]), r) for r in rows if r["context"] == context]
+        if not listed:
+            continue
+        every = np.concatenate([k for _, k, _ in listed])
+        keys, counts = summed(every, np.concatenate([_unpacked(r["counts"], r["size"], "<i4").astype(np.int64) for _, _, r in listed]))
+        codes, ends = paths(keys, counts, keys, code)
+        lengths = np.diff(ends, prepend=0)
+        words = None
+        if context == CONTEXTS - 1:  # a word is the same before a blank and at the end of a text
+            _, n = summed(every, np.concatenate([_unpacked(r["tokens"], r["size"], "<i4").astype(np.int64) for _, _, r in listed]))
+            of = keys >> np.uint64(8)
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            sums = np.add.reduceat(n, first)
+            vocabulary, total = int((sums > 0).sum()), int(sums.sum())
+            words = np.repeat(sums, np.diff(np.append(first, len(keys))))
+        del every
+        for chunk, wanted, _ in listed:
+            at = np.searchsorted(keys, wanted)
+            size = lengths[at]
+            flat = np.repeat(ends[at] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append((chunk, context, len(wanted), _pack_keys(wanted), len(flat), _packed(codes[flat], "<u2"), None if words is None else _packed(words[at], "<i8"), None, None))
+    out.append((-1, None, None, None, None, None, None, vocabulary, total))
+    return pa.Table.from_batches([_batch(_ANSWERS, out)])
+
+
+def _scored(answers: pa.Table, chunk: pa.Table, code: Code) -> pa.Table:
+    """The sums of each text, or segment, of a chunk; the answers' words and totals go through."""
+    rows, out = answers.to_pylist(), []
+    if not chunk.num_rows:
+        return pa.Table.from_batches([_batch(_SCORED, [(*[None] * 8, sum(r["words"] for r in rows), sum(r["total"] for r in rows))])])
+    known, tokens = [], np.zeros(0, np.int64)
+    for context in range(CONTEXTS):
+        some = [r for r in rows if r["context"] == context]
+        keys = np.concatenate([np.zeros(0, np.uint64), *[_unpack_keys(r["keys"], r["size"]) for r in some]])
+        codes = np.concatenate([np.zeros(0, np.uint16), *[_unpacked(r["codes"], r["decisions"], "<u2") for r in some]])
+        known.append(Known(keys, codes, code))
+        if context == CONTEXTS - 1:
+            tokens = np.concatenate([tokens, *[_unpacked(r["tokens"], r["size"], "<i8") for r in some]])
+    del rows, some, answers
+    c = {k: chunk.column(k)[0].as_py() for k in ("text", "bytes", "lengths", "kinds", "docs")}
+    stream = _stream(c["text"], c["bytes"], c["lengths"], c["kinds"])
+    sums = score(stream, code, known, tokens)
+    docs, lengths = np.frombuffer(c["docs"], np.int64).reshape(-1, 2), np.frombuffer(c["lengths"], np.int64)
+    ends = (stream.raw[np.cumsum(lengths) - 1] == 10).astype(np.int32)
+    out = [docs[:, 0], docs[:, 1], sums["words"].astype(np.int64), sums["known"].astype(np.int64), sums["logs"], sums["score"], lengths - len(BEFORE), ends]
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    return pa.table([*map(pa.array, out), *[pa.nulls(len(docs), pa.int64())] * 2], names=names)
 
 
-def _frequent(chunked: DataFrame) -> list[bytes]:
-    """The FREQUENT words that all training texts hold most often, by exact counts.
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: ROW_KEY, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    The sums of each chunk's own top words bound the last one's count from below. A word that reaches the bound has an even share of it in one chunk at
-    least, so words with such a share are all that is counted in full.
+    Scores are log10 probabilities: base_score of the lower-cased (A-Z) words and the end, score of the bytes of the lower-cased words with a blank between, and
+    the end. A training text's byte is scored by all other training bytes, a held-out one's by all. Null texts count as empty: the end
+    alone. Null ids are learned from. If nothing is learned from, no token is known and every decision has an even chance. An empty
+    table gives no rows; other columns are not read. Words are told apart by 56 bits of a hash.
     """
-    some, number = chunked.select("words", "docs", "tokens", "sizes", "trained"), chunked.count()
-
-    def listed(choose) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for j in range(batch.num_rows):
-                    one = batch.slice(j, 1)
-                    words = one.column("words").flatten()
-                    n = _training_counts({k: one.column(k)[0].as_py() for k in ("docs", "tokens", "sizes", "trained")}, len(words))
-                    at = choose(words, n)
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(at, pa.int64())), pa.array(n[at], pa.int64())], names=["word", "n"])
-
-        return some.mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-
-    first = [r["n"] for r in listed(lambda _, n: np.argsort(-n, kind="stable")[:FREQUENT]).orderBy(F.desc("n")).limit(FREQUENT).collect()]
-    least = -(-first[-1] // number) if len(first) == FREQUENT else 1
-    wanted = pa.array([bytes(r["word"]) for r in listed(lambda _, n: np.flatnonzero(n >= least)).select("word").collect()], pa.binary())
-    exact = listed(lambda words, _: np.flatnonzero(pa.compute.is_in(words, value_set=wanted).to_numpy(zero_copy_only=False)))
-    return [bytes(r["word"]) for r in exact.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-
-
-def _features(chunked: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """The frequent words' counts (x, packed) in every training text that has some, with a name that orders the texts (at): a row for TEXTS texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for j in range(batch.num_rows):
-                one = batch.slice(j, 1)
-                row = {k: one.column(k)[0].as_py() for k in ("docs", "tokens", "sizes", "trained")}
-                keys, sizes, tokens = _unpack(row)
-                words, trained, ends = one.column("words").flatten().to_pylist(), np.frombuffer(row["trained"], bool), np.append(0, np.cumsum(sizes))
-                for first in range(0, len(sizes), TEXTS):
-                    last = min(first + TEXTS, len(sizes))
-                    x = _frequencies(words, sizes[first:last], tokens[ends[first] : ends[last]], frequent)
-                    ok = np.flatnonzero(trained[first:last] & (x.sum(axis=1) > 0))
-                    at = (keys[first + ok, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[first + ok, 0].view(np.uint64)).view(np.int64)
-                    if len(ok):
-                        packed = pa.compress(x[ok].astype("<i4").tobytes(), "zstd", asbytes=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["at", "x"])
-
-    some = chunked.select("words", "docs", "tokens", "sizes", "trained")
-    return materialise(some.mapInArrow(trimmed(run), "at binary, x binary"), "features")
-
-
-def _classes(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Shares of the latent classes, the log rates of frequent words in each, and those words, from all training texts: each round is a pass that sums over them."""
-    frequent = _frequent(chunked)
-    even, wide = np.full(CLASSES, 1 / CLASSES), len(frequent)
-    if not frequent:
-        return even, np.zeros((CLASSES, 1)), frequent
-    features = _features(chunked, frequent)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for at, x in zip(batch.column("at").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                at = np.frombuffer(at, np.int64)
-                yield at, np.frombuffer(pa.decompress(x, 4 * wide * len(at), "zstd"), "<i4").reshape(-1, wide).astype(float)
-
-    def near(x: np.ndarray, starts: list[np.ndarray]) -> np.ndarray:
-        return (x @ np.array([y / np.linalg.norm(y) for y in starts]).T) / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def farthest(starts: list[np.ndarray]) -> np.ndarray | None:
-        """The text whose likeness to the starts is least, of several the first by name."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = []
-            for at, x in each(batches):
-                like = near(x, starts).max(axis=1) if starts else np.zeros(len(at))
-                j = np.lexsort((at, like))[0]
-                best = [min([*best, (float(like[j]), int(at[j]), x[j].tobytes())])]
-            for like, at, x in best:
-                yield pa.RecordBatch.from_arrays([pa.array([like]), pa.array([at]), pa.array([x], pa.binary())], names=["like", "at", "x"])
-
-        found = features.mapInArrow(run, "like double, at long, x binary").orderBy("like", "at", "x").first()
-        return None if found is None else np.frombuffer(found["x"])
-
-    def summed(belongs) -> np.ndarray:
-        """Of each class: its texts, and their counts of each frequent word."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((CLASSES, 1 + wide))
-            for _, x in each(batches):
-                of = belongs(x)
-                total += np.column_stack([of.sum(axis=0), of.T @ x])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())], names=["task", "total"])
-
-        rows = features.mapInArrow(run, "task long, total binary").collect()
-        return np.sum([np.frombuffer(r["total"]).reshape(CLASSES, -1) for r in sorted(rows, key=lambda r: r["task"])], axis=0)
-
-    # start from texts far from each other, so that runs agree
-    starts: list[np.ndarray] = []
-    for _ in range(CLASSES):
-        found = farthest(starts)
-        if found is None:
-            return even, np.zeros((CLASSES, wide)), frequent
-        starts.append(found)
-    sums = summed(lambda x: np.eye(CLASSES)[np.argmax(near(x, starts), axis=1)])
-    share, rates = _fitted(sums)
-    for _ in range(FIT_ROUNDS - 1):
-
-        def belongs(x: np.ndarray, share: np.ndarray = share, rates: np.ndarray = rates) -> np.ndarray:
-            log = x @ rates.T + np.log(share)
-            likely = np.exp(log - log.max(axis=1, keepdims=True))
-            return likely / likely.sum(axis=1, keepdims=True)
-
-        share, rates = _fitted(summed(belongs))
-    delete(features)
-    return share, rates, frequent
-
-
-def _fitted(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and log rates from a pass's sums."""
-    counts_ = sums[:, 1:] + 0.1
-    return (sums[:, 0] + 1) / (sums[:, 0].sum() + CLASSES), np.log(counts_ / counts_.sum(axis=1, keepdims=True))
-
-
-def _class_counts(batches: Iterator[pa.RecordBatch], frequent: list[bytes], share: np.ndarray, rates: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A chunk's words with their counts in training texts, by the texts' likeliest classes."""
-    for batch in batches:
-        for j in range(batch.num_rows):
-            one = batch.slice(j, 1)
-            row = {k: one.column(k)[0].as_py() for k in ("docs", "tokens", "sizes", "trained")}
-            words = one.column("words").flatten()
-            _, sizes, tokens = _unpack(row)
-            z = np.zeros(len(sizes), np.int64)
-            if frequent:
-                z = (_frequencies(words.to_pylist(), sizes, tokens, frequent) @ rates.T + np.log(share)).argmax(axis=1)
-            use = np.repeat(np.frombuffer(row["trained"], bool), sizes)
-            n = np.bincount(np.repeat(z, sizes)[use] * len(words) + tokens[use], minlength=CLASSES * len(words)).reshape(CLASSES, -1).astype(np.int32)
-            for at in range(0, len(words), 20_000):
-                yield pa.RecordBatch.from_arrays([words[at : at + 20_000], *[pa.array(x[at : at + 20_000]) for x in n]], names=["word", *_COUNTS])
-
-
-def _times_before(keys: np.ndarray) -> np.ndarray:
-    """How often each key came before, in the order of the array."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.arange(len(keys)) - first
-    return out
-
-
-def _own(rows: np.ndarray, starts: np.ndarray, tokens: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the probability that the text's own words and pairs give it, and the weight that is left for the model."""
-    at = np.arange(len(tokens)) - starts[rows]
-    p = OWN_WORDS * _times_before(rows * (words + 1) + tokens) / np.maximum(at, 1)
-    left = np.where(at > 0, 1 - OWN_WORDS, 1.0)
-    before = np.where(at > 0, np.concatenate(([words], tokens[:-1])), words).astype(np.int64)
-    has = rows * (words + 1) + before
-    times = _times_before(has)
-    pair = _times_before(has * (words + 1) + tokens)  # fits 64 bits: a part has at most PART_TOKENS rows or one text, a chunk CHUNK_WORDS words and those of one segment
-    hit = (pair > 0) & (at > 0)
-    one = np.concatenate(([False], hit[:-1])) & (at > 0)
-    two = one & np.concatenate(([False], one[:-1])) & (at > 1)
-    weight = np.where((times > 0) & (at > 0), OWN_PAIRS[one.astype(int) + two], 0.0)
-    return p * (1 - weight) + weight * pair / np.maximum(times, 1), left * (1 - weight)
-
-
-def _sum_chunk(words: pa.Table, chunk: pa.Table, n: int, v: int) -> pa.Table:
-    """The sums of each text of a chunk; both sides are bounded by the size of a chunk."""
-    at = words.column("at").to_numpy()
-    c, logs = np.empty(len(at)), np.empty((len(at), CLASSES))
-    c[at] = words.column("c").to_numpy()
-    logs[at] = np.frombuffer(b"".join(words.column("logs").to_pylist()), "<f4").reshape(-1, CLASSES)
-    base = np.log10((c + 1) / (n + v + 1))
-    docs, sizes, tokens = _unpack({k: chunk.column(k)[0].as_py() for k in ("docs", "sizes", "tokens")})
-    size = np.frombuffer(pa.decompress(chunk.column("lengths")[0].as_py(), 4 * len(at), "zstd"), "<i4") + 1
-    out = np.empty((3 + CLASSES, len(sizes)))
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(sizes):  # some texts at a time
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PART_TOKENS, "right")))
-        some, part = tokens[(ends[first - 1] if first else 0) : ends[last - 1]], sizes[first:last]
-        rows = np.repeat(np.arange(len(part)), part)
-        own, left = _own(rows, np.cumsum(part) - part, some, len(at))
-        with np.errstate(divide="ignore"):
-            own, left = np.log(own), np.log(left)
-        for j, x in enumerate(((c > 0).astype(float), base, size)):
-            out[j, first:last] = np.bincount(rows, x[some], len(part))
-        for z in range(CLASSES):
-            out[3 + z, first:last] = np.bincount(rows, np.logaddexp(logs[:, z][some] + left, own), len(part))
-        first = last
-    return pa.table({"f": docs[:, 0], "i": docs[:, 1], "n_tokens": sizes, "n_known": out[0].astype(np.int64), "base": out[1], "bytes": out[2].astype(np.int64), **{x: out[3 + z] for z, x in enumerate(_LOGS)}})
+    held, taught = crc_of(F.col("doc_id")) % FOLDS == HELD_OUT, crc_of(F.col("doc_id")) % TAUGHT_OF == 1
+    keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    facts = keyed.select(*ROW_KEY, "doc_id", held.alias("held_out"))
+    read = keyed.select(*ROW_KEY, F.when(held, HELD).when(taught, TAUGHT).otherwise(COUNTED).alias("kind"), "text")
+    size = 2 * int(str(keyed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, which hold texts in half their size
+    most = min(CHUNK_BYTES, max(LEAST_BYTES, size // CHUNKS))
+    chunked = materialise(read.coalesce(max(1, size // most)).mapInArrow(lambda b: _chunked(b, most), _CHUNKS), "chunks")
+    counts = {r["at"]: r["n"] for r in chunked.select(F.posexplode("histogram").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    code = Code(np.array([counts.get(b, 0) for b in range(256)]))
+    chunks = max(1, chunked.count())
+    parts = PARTS * chunks
+    listed = chunked.select("chunk", "text", "bytes", "lengths", "kinds").mapInArrow(lambda b: _listed(b, code, parts), _LISTED)
+    answers = listed.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _answered(t, code), _ANSWERS)
+    of_chunk = chunked.drop("histogram").withColumnRenamed("chunk", "of").repartition(parts, "of")
+    met = answers.repartition(parts, "chunk").groupBy("chunk").cogroup(of_chunk.groupBy("of")).applyInArrow(lambda a, c: _scored(a, c, code), _SCORED)
+    scored = materialise(met, "scored_texts")
+    delete(chunked)
+    ended = F.col("ends") > 0
+    trained = facts.agg(F.count(F.when(~F.col("held_out"), 1))).first()[0]
+    words, total = scored.agg(F.coalesce(F.sum("vocabulary"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    n, v = total + trained, words + (trained > 0)
+    # a text that was read in segments has a row for each
+    sums = scored.where(F.col("f").isNotNull()).groupBy(F.col("f").alias(ROW_KEY[0]), F.col("i").alias(ROW_KEY[1]))
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("words", "known", "logs", "score", "bytes")], F.count(F.when(ended, 1)).alias("ends"))
+    tokens = F.col("words") + F.col("ends")
+    base = F.col("logs") + F.col("ends") * math.log10(trained + 1) - tokens * math.log10(n + v + 1)
+    known = F.col("known") + F.col("ends") * int(trained > 0)
+    columns = [tokens.alias("n_tokens"), known.alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score")]
+    log10 = F.col("score") / math.log(10)
+    return facts.join(sums, ROW_KEY).select(*ROW_KEY, "doc_id", "held_out", *columns, log10.alias("score"), (-F.col("score") / math.log(2) / F.col("bytes")).alias("bits_per_byte"))
