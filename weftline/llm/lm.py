@@ -27,7 +27,7 @@ from weftline.llm.context_mixing import BEFORE, CONTEXTS, COUNTED, HELD, TAUGHT,
 #: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from; of the others, those with crc32(id) mod TAUGHT_OF == 1 teach the weights.
 FOLDS, HELD_OUT, TAUGHT_OF = 7, 2, 13
 #: A chunk closes at so many bytes of text, at most and at least, between them at what makes about CHUNKS of them; parts of the key space for each chunk.
-CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 40 << 20, 4 << 20, 16, 4
+CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 40 << 20, 4 << 20, 6, 4
 
 _CHUNKS = "chunk long, docs binary, lengths binary, kinds binary, bytes long, text binary, histogram array<long>"
 _LISTED = "part int, chunk long, context int, size int, keys binary, counts binary, tokens binary"
@@ -200,7 +200,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     facts = keyed.select(*ROW_KEY, "doc_id", held.alias("held_out"))
     read = keyed.select(*ROW_KEY, F.when(held, HELD).when(taught, TAUGHT).otherwise(COUNTED).alias("kind"), "text")
-    size = 2 * int(str(keyed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, which hold texts in half their size
+    files = keyed._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).stats().sizeInBytes()
+    size = 2 * int(str(files))  # texts take twice the files' bytes or less
     most = min(CHUNK_BYTES, max(LEAST_BYTES, size // CHUNKS))
     chunked = materialise(read.coalesce(max(1, size // most)).mapInArrow(lambda b: _chunked(b, most), _CHUNKS), "chunks")
     counts = {r["at"]: r["n"] for r in chunked.select(F.posexplode("histogram").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()}
