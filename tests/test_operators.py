@@ -182,3 +182,18 @@ def test_link_stream(spark, recs, tmp_path):
     stream = spark.readStream.schema(io.RAW).parquet(str(tmp_path / "in"))
     link_stream(stream, first, lambda df, n: out.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert out and {r.c for r in out} == {20000900000}
+
+
+def test_set_features_of_missing_addresses(spark):
+    from weftline.operators.features import FEATURES, set_features
+
+    side = "k1 string, name_str string, name_core array<string>, addr_toks array<string>, addr_str string, addr_null boolean, num array<bigint>, state string, nonlatin boolean, src int"
+    schema = "s1 long, c long, mask int, " + ", ".join(f"{t}_{c}" for t in "ab" for c in side.split(", "))
+    none, some = ("acme", "acme", ["acme"], None, None, True, None, None, False, 1), ("acme", "acme", ["acme"], ["1", "road"], "1 road", False, [1], "ca", False, 2)
+    rows = spark.createDataFrame([(1, 2, 3, *none, *some), (1, 3, 0, *none, *none), (1, 4, 32, *some, *some)], schema)
+    made = {r.c: r for r in set_features(rows).collect()}
+    for c, overlap in ((2, 0.0), (3, 0.0), (4, 1.0)):
+        r = made[c]
+        assert (r.addr_j, r.addr_cont, r.num_inter, r.num_trunc, r.num_conflict) == (overlap, overlap, int(overlap), bool(overlap), False)
+        assert r.core_j == 1 and all(r[f] is not None for f in FEATURES if f in r.asDict())
+    assert (made[2].a_addr_n, made[2].b_addr_n, made[2].a_num_n, made[2].state_rel, made[4].state_rel, made[4].m5) == (0, 2, 0, -1, 1, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,19 +59,24 @@ def competition(rated: DataFrame) -> DataFrame:
     return out
 
 
+def _compared(columns: dict[str, str], of: str) -> dict[str, Column]:
+    """Features of two sides' lists: their names (jaccard, containment, sizes, what only one side has) to the column suffixes in `columns`. A list that is null is empty."""
+    a, b = (F.coalesce(F.col(f"{side}_{of}"), F.array().cast("array<string>")) for side in "ab")
+    made = {"jaccard": jaccard(a, b), "containment": containment(a, b), "a": F.size(a), "b": F.size(b), "only_a": F.size(F.array_except(a, b)), "only_b": F.size(F.array_except(b, a))}
+    return {columns[k]: v for k, v in made.items() if k in columns}
+
+
 def set_features(attached: DataFrame) -> DataFrame:
-    """The features that need no fuzzy scores, from sides() with mask."""
-    ac, bc, at, bt, an, bn = (F.col(x) for x in ("a_name_core", "b_name_core", "a_addr_toks", "b_addr_toks", "a_num", "b_num"))
-    state = F.when(F.col("a_state").isNull() | F.col("b_state").isNull(), -1).when(F.col("a_state") == F.col("b_state"), 1).otherwise(0)
-    made = {
-        "k1_eq": F.col("a_k1") == F.col("b_k1"), "k1_empty": (F.col("a_k1") == "") | (F.col("b_k1") == ""), "core_j": jaccard(ac, bc), "core_cont": containment(ac, bc),
-        "a_core_n": F.size(ac), "b_core_n": F.size(bc), "addr_j": jaccard(at, bt), "addr_cont": containment(at, bt), "a_addr_n": F.size(at), "b_addr_n": F.size(bt),
-        "num_inter": F.size(F.array_intersect(an, bn)), "num_trunc": F.arrays_overlap(with_short_numbers(an), with_short_numbers(bn)), "a_num_n": F.size(an), "b_num_n": F.size(bn),
-        "state_rel": state, "b_addr_null": F.col("b_addr_null"), "b_nonlatin": F.col("b_nonlatin"), "b_src": F.col("b_src"), "a_resid_n": F.size(F.array_except(ac, bc)), "b_resid_n": F.size(F.array_except(bc, ac)),
-    }
-    made |= {f"m{i}": F.col("mask").bitwiseAND(F.lit(1 << i)) > 0 for i in range(6)}
-    out = attached.withColumns(made)
-    return out.withColumn("num_conflict", (F.col("a_num_n") > 0) & (F.col("b_num_n") > 0) & (F.col("num_inter") == 0) & ~F.col("num_trunc"))
+    """The features that need no fuzzy scores, from sides() with mask. Lists that are null (an address that is missing) count as empty."""
+    names = _compared({"jaccard": "core_j", "containment": "core_cont", "a": "a_core_n", "b": "b_core_n", "only_a": "a_resid_n", "only_b": "b_resid_n"}, "name_core")
+    addresses = _compared({"jaccard": "addr_j", "containment": "addr_cont", "a": "a_addr_n", "b": "b_addr_n"}, "addr_toks")
+    an, bn = (F.coalesce(F.col(c), F.array().cast("array<bigint>")) for c in ("a_num", "b_num"))
+    numbers = {"a_num_n": F.size(an), "b_num_n": F.size(bn), "num_inter": F.size(F.array_intersect(an, bn)), "num_trunc": F.arrays_overlap(with_short_numbers(an), with_short_numbers(bn))}
+    numbers["num_conflict"] = (numbers["a_num_n"] > 0) & (numbers["b_num_n"] > 0) & (numbers["num_inter"] == 0) & ~numbers["num_trunc"]
+    same_state = F.coalesce((F.col("a_state") == F.col("b_state")).cast("int"), F.lit(-1))
+    rest = {"k1_eq": F.col("a_k1") == F.col("b_k1"), "k1_empty": (F.col("a_k1") == "") | (F.col("b_k1") == ""), "state_rel": same_state}
+    rest |= {f"m{i}": F.col("mask").bitwiseAND(F.lit(1 << i)) > 0 for i in range(6)}
+    return attached.withColumns(names | addresses | numbers | rest)
 
 
 def full_features(pairs: DataFrame, records: DataFrame) -> DataFrame:

@@ -320,8 +320,8 @@ def sibling_pairs(spark, sf_dir):
 
 # ------------------------------------------------------------------ features
 @query(rounded(f"""WITH {REC}, {PRED}, n AS (SELECT s1, pred.c, a.num AS an, b.num AS bn, a.numx AS ax, b.numx AS bx, a.addr_toks AS ta, b.addr_toks AS tb, a.core AS ac, b.core AS bc, b.src AS b_src, b.address IS NULL AS b_addr_null FROM pred JOIN keyed a ON a.id = s1 JOIN keyed b ON b.id = pred.c)
-SELECT s1, c, 1.0 AS core_j, 1.0 AS core_cont, CASE WHEN ta IS NULL OR tb IS NULL THEN 0.0 ELSE 1.0 END AS addr_j, len(list_intersect(an, bn)) AS num_inter, list_has_any(ax, bx) AS num_trunc, len(an) AS a_num_n, len(bn) AS b_num_n, -1 AS state_rel, b_addr_null, b_src,
-len(an) > 0 AND len(bn) > 0 AND len(list_intersect(an, bn)) = 0 AND NOT list_has_any(ax, bx) AS num_conflict FROM n""", "core_j", "core_cont", "addr_j"))
+SELECT s1, c, len(list_intersect(ac, bc)) / len(list_distinct(list_concat(ac, bc))) AS core_j, len(list_intersect(ac, bc)) / least(len(ac), len(bc)) AS core_cont, CASE WHEN ta IS NULL OR tb IS NULL THEN 0.0 ELSE 1.0 END AS addr_j, coalesce(len(list_intersect(an, bn)), 0) AS num_inter, coalesce(list_has_any(ax, bx), false) AS num_trunc, coalesce(len(an), 0) AS a_num_n, coalesce(len(bn), 0) AS b_num_n, -1 AS state_rel, b_addr_null, b_src,
+coalesce(len(an) > 0 AND len(bn) > 0 AND len(list_intersect(an, bn)) = 0 AND NOT list_has_any(ax, bx), false) AS num_conflict FROM n""", "core_j", "core_cont", "addr_j"))
 def pair_features_sets(spark, sf_dir):
     """FTR-04 without fuzzy scores, ARR-06 to 10, JOIN-09, PRJ-06."""
     pairs = _name_pairs(spark, sf_dir).select("s1", "c", F.lit(1).alias("mask"))
