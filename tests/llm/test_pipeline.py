@@ -40,7 +40,7 @@ def test_queries_are_registered():
     assert set(e.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op5_warc", "op6_exact_dedup", "op10_topk"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op5_warc", "op6_exact_dedup", "op7_secrets", "op9_pii", "op10_topk"])
 def test_oracles(spark, sf, name):
     import duckdb
 

@@ -66,6 +66,25 @@ def test_personal_data(spark, texts):
     check(spark, texts, personal_data_digests, personal, ["email", "ip", "card", "phone"])
 
 
+def test_many_matches_in_long_texts(spark):
+    """Work that grows with the square of the matches would take hours here."""
+    import time
+
+    from weftline.llm.pii import personal_data_digests
+    from weftline.llm.secrets import secret_digests
+
+    n = 200_000
+    mails, keys = " ".join(f"u{i}@x.org" for i in range(n)), " ".join(f"token=abc{i:07d}" for i in range(n))
+    rows = spark.createDataFrame([(1, mails), (2, keys), (3, "+1234567890 10.0.0.1 " * 20_000), (4, "DE89370400440532013000 " * 20_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in personal_data_digests(rows).collect()}
+    assert got[1].n_email == n and got[3].n_phone == got[3].n_ip == 20_000 and got[4].spans.count("iban") == 20_000
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", mails))
+    assert got[1].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert {r.doc_id: r.n_assign for r in secret_digests(rows).collect()} == {1: 0, 2: n, 3: 0, 4: 0}
+    assert time.time() - began < 120
+
+
 def test_further_kinds_and_context(spark):
     from weftline.llm.pii import find_personal_data
     from weftline.llm.secrets import find_secrets
@@ -80,6 +99,24 @@ def test_further_kinds_and_context(spark):
     assert [s.kind for s in spans] == ["github", "pem"]
 
 
+def test_personal_data_sql_on_planted_rows(spark, texts):
+    import duckdb
+    import pyarrow as pa
+    from weftline.llm.pii import personal_data_digests
+    from weftline.llm.queries import ORACLES
+
+    random.seed(5)
+    bits = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89370400440532013000", "123-45-6789", "000-45-6789", "078-05-1120-", "iban", "SSN", "ssn", "social", "my", "mail", "call me", "+1 555 123 4567", "10.1.1.1", "server", "a@b.cd", "é", ",", "x" * 20, "4111 1111 1111 1111", "Visa"]
+    rows = [t for t in texts[2:] if len(t or "") < 2000] + [" ".join(random.choice(bits) for _ in range(random.randint(1, 25))) for _ in range(400)]
+    documents = pa.table({"doc_id": list(range(len(rows))), "text": rows})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(ORACLES["op9_pii"])
+    got = personal_data_digests(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert any("iban" in r[-2] for r in want.fetchall()) and any("ssn" in r[-2] for r in want.fetchall())
+
+
 def test_account_numbers_before_upper_case_and_digits(spark):
     from weftline.llm.pii import IBAN_LENGTHS, find_personal_data
 

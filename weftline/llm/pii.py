@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._common import ROW_KEY, with_row_key
-from weftline.llm._spans import SPAN, located, marked, spans_where
+from weftline.llm._spans import apart, located, marked, spans_where
 from weftline.llm.secrets import digests
 
 
@@ -51,7 +51,7 @@ class Kind:
     group: int = 0
 
 
-#: Characters on each side of a span in which context words count, what a context word adds, and the least score of a span that is not a base one.
+#: Characters on each side of a span, over one neighbouring match of its kind at most, in which context words count; what such a word adds; the least score of a span that is not a base one.
 AROUND, CONTEXT_GAIN, LEAST = 40, 0.3, 0.5
 
 #: Characters of an account number by country, the countries that use them without being in the registry included.
@@ -61,7 +61,13 @@ IBAN_LENGTHS = {
     27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
-_IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+
+def iban_pattern() -> str:
+    """Account numbers of any country, without what must not follow."""
+    return "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+
 
 #: Patterns of the kinds and the words of their contexts. Possessive quantifiers keep the matches and bound
 #: the time; an account number is bounded by its country's length instead, since upper-case words and digits may follow it.
@@ -70,7 +76,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", _in_range, 0.5, "ip|address|host|server|login", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){11}", lambda v: F.length(_digits(v)).between(12, 19) & luhn(v), 0.6, "card|visa|master|credit|payment", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: F.length(_digits(v)).between(9, 15), 0.5, "phone|tel|call|mobile|fax", True),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", mod97, 0.7, "iban|account|konto|compte|cuenta", group=1),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{iban_pattern()})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", mod97, 0.7, "iban|account|konto|compte|cuenta", group=1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", lambda v: ~v.rlike("^(?:000|666|9)") & ~v.rlike("-00-") & ~v.rlike("0000$"), 0.3, "ssn|social|security"),
 )
 
@@ -79,16 +85,13 @@ def _of_kind(text: Column, order: int, k: Kind) -> Column:
     """The confirmed and scored spans of one kind."""
 
     def score(s: Column) -> Column:
-        first = F.greatest(s.start - AROUND, F.lit(0))
-        near = F.concat(F.substring(text, first + 1, s.start - first), F.lit(" "), F.substring(text, s.end + 1, F.lit(AROUND)))
-        return F.lit(k.sure) + F.when(near.rlike(rf"(?i)\b(?:{k.context})\b"), CONTEXT_GAIN).otherwise(0.0)
+        return F.lit(k.sure) + F.when(F.concat_ws(" ", s.before, s.after).rlike(rf"(?i)(?<![a-z0-9_])(?:{k.context})(?![a-z0-9_])"), CONTEXT_GAIN).otherwise(0.0)
 
-    spans = spans_where(text.rlike(k.quick), located(text, k.pattern, k.group))
-    if k.group:
-        spans = F.transform(spans, lambda s: F.struct(s.start.alias("start"), (s.start + F.length(s["value"])).alias("end"), s["value"].alias("value")))
+    spans = spans_where(text.rlike(k.quick), located(text, k.pattern, k.group, AROUND))
     spans = F.filter(spans, lambda s: k.confirm(s["value"]))
     if k.group:
-        spans = F.aggregate(spans, F.array().cast(SPAN), lambda out, s: F.when((F.size(out) > 0) & (F.element_at(F.coalesce(F.when(F.size(out) > 0, out), F.array(s)), -1).end > s.start), out).otherwise(F.concat(out, F.array(s))))
+        end = lambda s: s.start + F.length(s["value"])
+        spans = apart(F.transform(spans, lambda s: F.struct(s.start.alias("start"), end(s).alias("end"), s["value"].alias("value"), s.before.alias("before"), s.after.alias("after"))))
     some = marked(spans, order, k.kind, score)
     return some if k.base else F.filter(some, lambda s: s.score >= LEAST)
 
@@ -97,8 +100,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: ROW_KEY, doc_id, spans: array of (start, ord, end, kind, score) in order.
 
     Proposals are leftmost and non-overlapping for each kind; what a checksum or range denies is dropped, without another try, but for
-    account numbers, which are tried at each beginning with their country's length (codes of other countries are none). A context
-    word within AROUND characters raises a span's score; kinds that are not base kinds need LEAST. Null texts count as empty; rows without
+    account numbers, which are tried at each beginning with their country's length (codes of other countries are none; one that begins inside the
+    one before is dropped). A context word within AROUND characters, seen over one neighbouring match of the kind at most, raises a span's score; kinds that are not base kinds need LEAST. Null texts count as empty; rows without
     personal data have an empty array. Ids may be null or repeat. An empty table gives no rows; other columns are not read.
     One pass over the texts, nothing is shuffled.
     """
@@ -108,5 +111,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def personal_data_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """doc_id, the number of spans of each base kind, the digest of the base spans, and all spans as a string."""
-    return digests(find_personal_data(docs, id_col, text_col, kinds), [k.kind for k in kinds if k.base])
+    """doc_id, the number of spans of each base kind, the digest of the base spans, all spans as a string, and their scores in the same order."""
+    found = find_personal_data(docs, id_col, text_col, kinds)
+    scores = F.array_join(F.transform("spans", lambda s: F.format_string("%.1f", s.score)), ",")
+    return digests(found, [k.kind for k in kinds if k.base], scores.alias("scores"))

@@ -181,13 +181,52 @@ def _secrets_sql() -> str:
 
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INTEGER) WHEN CAST(d AS INTEGER) < 5 THEN 2 * CAST(d AS INTEGER) ELSE 2 * CAST(d AS INTEGER) - 9 END)) % 10 = 0"
-#: The base kinds; the tables' documents hold no account or security numbers, which the operator adds.
-OP9_SQL = _spans_sql([
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true", True),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0", True),
-    ("card", r"[0-9]([\x20-]?[0-9])+", 0, f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END", True),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS}) BETWEEN 9 AND 15", True),
-])
+
+
+def _personal_sql() -> str:
+    """SQL of the personal-data query. RE2 knows no look-arounds, so account and security numbers are looked for at each place of the few texts that may hold one."""
+    from weftline.llm.pii import AROUND, CONTEXT_GAIN, KINDS, LEAST, iban_pattern
+
+    octet = "ltrim(x, '0')"
+    luhn = f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END"
+    plain = "replace(v, ' ', '')"
+    code = "CASE WHEN ch <= '9' THEN ascii(ch) - 48 ELSE ascii(ch) - 55 END"
+    number = f"list_transform(string_split(substr({plain}, 5) || substr({plain}, 1, 4), ''), lambda ch: {code})"
+    mod97 = f"list_reduce(list_prepend(0, {number}), lambda a, n: (CASE WHEN n < 10 THEN a * 10 + n ELSE a * 100 + n END) % 97) = 1"
+    # of a kind: the expression whose matches split the text, or (what stands before, what begins there, the whole)
+    split = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    placed = {"iban": ("[A-Za-z0-9]", "[A-Z]{2}[0-9]{2}", f"({iban_pattern()})([^A-Za-z0-9]|$)"), "ssn": ("[0-9-]", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "([0-9]{3}-[0-9]{2}-[0-9]{4})([^0-9-]|$)")}
+    confirm = {
+        "email": "true", "ip": f"len(list_filter(string_split(v, '.'), lambda x: length({octet}) > 3 OR (length({octet}) = 3 AND {octet} > '255'))) = 0", "card": luhn, "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+        "iban": mod97, "ssn": "NOT regexp_matches(v, '^(000|666|9)') AND NOT contains(v, '-00-') AND NOT regexp_matches(v, '0000$')",
+    }
+    first = {"iban": "4", "ssn": "11"}  # characters that a match takes
+    by_split = " UNION ALL ".join(
+        f"SELECT rid, {n} AS ord, string_split_regex(text, '{split[k.kind]}') AS gaps, regexp_extract_all(text, '{split[k.kind]}', 0) AS whole FROM t WHERE regexp_matches(text, '{split[k.kind]}')"
+        for n, k in enumerate(KINDS) if k.kind in split
+    )
+    by_place = " UNION ALL ".join(
+        f"SELECT rid, {n} AS ord, i - 1 AS start, i - 1 + {first[k.kind]} AS stop, regexp_extract(substr(text, i, 80), '^{placed[k.kind][2]}', 1) AS v FROM (SELECT rid, text, unnest(range(1, length(text) + 1)) AS i FROM t WHERE regexp_matches(text, '{placed[k.kind][1]}')) "
+        f"WHERE regexp_matches(substr(text, i, 80), '^{placed[k.kind][2]}') AND NOT regexp_matches(substr(text, CAST(greatest(i - 1, 1) AS BIGINT), CASE WHEN i > 1 THEN 1 ELSE 0 END), '{placed[k.kind][0]}')"
+        for n, k in enumerate(KINDS) if k.kind in placed
+    )
+    kept = " OR ".join(f"(ord = {n} AND ({confirm[k.kind]}))" for n, k in enumerate(KINDS))
+    names, sure = "[" + ", ".join(f"'{k.kind}'" for k in KINDS) + "]", "[" + ", ".join(str(k.sure) for k in KINDS) + "]"
+    base = [k.kind for k in KINDS if k.base]
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in base)
+    near = " OR ".join(f"(ord = {n} AND regexp_matches(near, '(?i)(^|[^a-z0-9_])({k.context})([^a-z0-9_]|$)'))" for n, k in enumerate(KINDS))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), m AS ({by_split}),
+u AS (SELECT rid, ord, unnest(range(1, len(whole) + 1)) AS i, unnest(list_slice(list_transform(gaps, lambda x: length(x)), 1, len(whole))) AS gap, unnest(list_transform(whole, lambda x: length(x))) AS size, unnest(whole) AS v FROM m),
+p AS (SELECT rid, ord, CAST(sum(gap + size) OVER (PARTITION BY rid, ord ORDER BY i) - size AS BIGINT) AS start, CAST(sum(gap + size) OVER (PARTITION BY rid, ord ORDER BY i) AS BIGINT) AS stop, v FROM u UNION ALL {by_place}),
+c AS (SELECT *, start + length(v) AS finish, coalesce(lag(stop, 2) OVER w, 0) AS low, coalesce(lead(start, 2) OVER w, 9223372036854775807) AS high FROM p WINDOW w AS (PARTITION BY rid, ord ORDER BY start)),
+s AS (SELECT rid, ord, start, finish, text[greatest(start - {AROUND}, low) + 1:start] || ' ' || text[finish + 1:least(finish + {AROUND}, high)] AS near, v FROM c JOIN t USING (rid) WHERE {kept}),
+a AS (SELECT *, lag(finish) OVER (PARTITION BY rid, ord ORDER BY start) AS before FROM s),
+k AS (SELECT rid, ord, {names}[ord + 1] AS kind, start, {names}[ord + 1] || ':' || start || ':' || finish AS w, round({sure}[ord + 1] + CASE WHEN {near} THEN {CONTEXT_GAIN} ELSE 0 END, 1) AS score FROM a WHERE coalesce(before <= start, true)),
+g AS (SELECT rid, {counts}, string_agg(w, ',' ORDER BY start, ord) FILTER (WHERE ord < {len(base)}) AS b, string_agg(w, ',' ORDER BY start, ord) AS spans, string_agg(CAST(CAST(score AS DECIMAL(3,1)) AS VARCHAR), ',' ORDER BY start, ord) AS scores FROM k WHERE ord < {len(base)} OR score >= {LEAST} GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN g USING (rid)
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -201,4 +240,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_secrets": _secrets_sql(), "op9_pii": OP9_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_secrets": _secrets_sql(), "op9_pii": _personal_sql(), "op10_topk": OP10_SQL}

@@ -108,7 +108,7 @@ def _of_kind(kind: str) -> Column:
     return F.filter("spans", lambda s: s.kind == kind)
 
 
-def digests(found: DataFrame, base: list[str]) -> DataFrame:
+def digests(found: DataFrame, base: list[str], *more: Column) -> DataFrame:
     of_base = F.filter("spans", lambda s: s.kind.isin(base))
     count = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *count, F.sha2(written(of_base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(written(of_base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *more)
