@@ -298,7 +298,7 @@ def chunk_of(cm, texts, kinds):
 
 def chunk_scores(cm, stream, code):
     found, tokens = cm.census(stream, code)
-    return cm.score(stream, code, [cm.Known(k, cm.paths(k, n, k, code)[0], code) for k, n in found], tokens), found, tokens
+    return cm.score(stream, code, [cm.Known(k, cm.codes(k, *cm.paths(k, n, code), code), code) for k, n in found], tokens), found, tokens
 
 
 def test_lm_mixes_like_plain_python(docs):

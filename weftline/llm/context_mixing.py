@@ -25,7 +25,7 @@ BEFORE = b"\n" * 8
 #: What a byte's text is to the model: counted, learned from by weights and map, or held out.
 COUNTED, TAUGHT, HELD = 0, 1, 2
 #: Places that are looked at together, bytes between two steps of learning, bytes whose decisions are laid out at once.
-BLOCK, BATCH, LAID_OUT = 1 << 21, 512, 1 << 14
+BLOCK, BATCH, LAID_OUT = 1 << 20, 512, 1 << 14
 #: What is added to counts; first weight; rates of the weights and of the map; what a cell of the map counts for at first.
 ADDED, FIRST, RATE, PRIOR = 0.02, 0.3, 0.06, 20.0
 #: Cells of the map on each side of zero, and cells for one unit of the stretched probability.
@@ -160,32 +160,58 @@ def counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return summed(np.concatenate(out), np.concatenate(n))
 
 
-def paths(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """For each wanted key the codes of its byte's decisions, one key's after another's, and the number of codes up to each key.
+def paths(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key: how often its context occurs, and for each of its byte's decisions (one key's after another's) how often it goes the other way there.
 
-    keys: distinct, in order, with all keys of each context that is wanted; counts: how often each occurs in training texts.
+    keys: distinct, in order, with all keys of each context; counts: how often each occurs in COUNTED texts.
     """
     before = np.append(0, np.cumsum(counts))
-    rank = (wanted & np.uint64(255)).astype(np.int64)
-    context = wanted - rank.astype(np.uint64)
+    rank = (keys & np.uint64(255)).astype(np.int64)
+    context = keys - rank.astype(np.uint64)
     lengths = code.length[rank]
     ends = np.cumsum(lengths)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
+    others = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
 
     def total(at: np.ndarray, d: int) -> np.ndarray:
         # the last context's end may lie beyond 64 bits, so ranges are closed
         low, high = context[at] | code.low[rank[at], d], context[at] | (code.high[rank[at], d] - np.uint64(1))
         return before[np.searchsorted(keys, high, "right")] - before[np.searchsorted(keys, low)]
 
-    at = np.arange(len(wanted))
-    whole = total(at, 0) if len(at) else None
+    at = np.arange(len(keys))
+    whole = every = total(at, 0)
     for d in range(int(lengths.max()) if len(lengths) else 0):
         deep = lengths[at] > d
         at, whole = at[deep], whole[deep]
         same = total(at, d + 1)
-        out[ends[at] - lengths[at] + d] = level(same).astype(np.uint16) * 256 + level(whole - same)
+        others[ends[at] - lengths[at] + d] = whole - same
         whole = same
-    return out, ends
+    return every, others
+
+
+_LEVELS = level(np.arange(1 << 16))
+
+
+def codes(keys: np.ndarray, totals: np.ndarray, others: np.ndarray, code: Code) -> np.ndarray:
+    """The codes of the decisions, from what paths() gives of the keys."""
+    lengths = code.length[(keys & np.uint64(255)).astype(np.int64)]
+    ends, out = np.cumsum(lengths), np.empty(len(others), np.uint16)
+    for first in range(0, len(keys), 1 << 17):  # some keys at a time
+        some = slice(first, first + (1 << 17))
+        size, stop = lengths[some], ends[some]
+        start = int(stop[0] - size[0])
+        other = others[start : int(stop[-1])]
+        gone = np.cumsum(other)
+        gone -= np.repeat(gone[stop - size - start] - other[stop - size - start], size)
+        for values, shift in ((np.repeat(totals[some], size) - gone, 256), (other, 1)):
+            small = _LEVELS[np.minimum(values, (1 << 16) - 1)].astype(np.uint16)
+            large = values >= 1 << 16
+            if large.any():
+                small[large] = level(values[large])
+            if shift == 256:
+                out[start : int(stop[-1])] = small << 8
+            else:
+                out[start : int(stop[-1])] |= small
+    return out
 
 
 class Slots:
@@ -224,10 +250,10 @@ class Slots:
 class Known:
     """What the corpus says about the keys of one context: where the codes of a key's decisions start, the last for keys that are not there."""
 
-    def __init__(self, keys: np.ndarray, codes: np.ndarray, code: Code):
+    def __init__(self, keys: np.ndarray, decisions: np.ndarray, code: Code):
         length = code.length[(keys & np.uint64(255)).astype(np.int64)]
-        self.slots, self.start = Slots(keys), np.append(np.cumsum(length) - length, len(codes))
-        self.codes = np.append(codes, np.zeros(code.node.shape[1], np.uint16))
+        self.slots, self.start = Slots(keys), np.append(np.cumsum(length) - length, len(decisions)).astype(np.int32)
+        self.codes = np.append(decisions, np.zeros(code.node.shape[1], np.uint16))
 
 
 class Mixer:
@@ -249,12 +275,12 @@ class Mixer:
         ends = np.cumsum(lengths)
         first = ends - lengths
         deep = np.arange(ends[-1]) - np.repeat(first, lengths)
-        codes = np.empty((CONTEXTS, len(deep)), np.uint16)
-        for k, row in enumerate(codes):
+        found = np.empty((CONTEXTS, len(deep)), np.uint16)
+        for k, row in enumerate(found):
             np.take(known[k].codes, np.repeat(starts[k], lengths) + deep, out=row, mode="clip")
         if own.any():
-            np.copyto(codes, np.take(LEFT_OUT, codes), where=np.repeat(own, lengths))
-        index = np.take(KNOWN, codes).astype(np.int32)
+            np.copyto(found, np.take(LEFT_OUT, found), where=np.repeat(own, lengths))
+        index = np.take(KNOWN, found).astype(np.int32)
         gate = np.zeros(len(deep), np.int32)
         for k in range(CONTEXTS):
             gate |= (index[k] > 0).astype(np.int32) << k
@@ -262,7 +288,7 @@ class Mixer:
         for k in range(CONTEXTS):
             index[k] += gate + k * GRADES
         flat = np.repeat(rank * code.node.shape[1], lengths) + deep
-        return index, np.take(STRETCH, codes), np.take(code.node, flat) * self.cells + REACH * CELLS, np.take(code.bit, flat), first
+        return index, np.take(STRETCH, found), np.take(code.node, flat) * self.cells + REACH * CELLS, np.take(code.bit, flat), first
 
     def _mixed(self, index: np.ndarray, x: np.ndarray, cell: np.ndarray, bit: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, ...]:
         """The probability of what came as mixed and as refined, and for each decision the map's cell below and how far it is from there."""
@@ -339,19 +365,37 @@ class Stream:
         return ends[1:] & ~ends[:-1]
 
 
+class _Sums:
+    """Distinct keys with sums of their counts, from many parts; what is new is merged once it is as long as what is there."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((keys, counts))
+        if sum(len(k) for k, _ in self.new) > len(self.keys):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            self.keys, self.counts = summed(np.concatenate([self.keys, *[k for k, _ in self.new]]), np.concatenate([self.counts, *[n for _, n in self.new]]))
+            self.new = []
+        return self.keys, self.counts
+
+
 def census(stream: Stream, code: Code) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For each context its distinct keys, in order, and how often each occurs in COUNTED texts; for keys of ends of words, how often in texts that aren't HELD."""
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
-    words = []
+    parts, words = [_Sums() for _ in range(CONTEXTS)], _Sums()
     for at, keys in stream.keys(code):
         kind, inside, _ = stream.of(at, len(keys[0]))
         for of, k in zip(parts, keys, strict=True):
-            of.append(counted(k[inside], kind[inside] == COUNTED))
+            of.add(*counted(k[inside], kind[inside] == COUNTED))
         ended = stream.words(at, len(kind)) & inside & (kind != HELD)
-        words.append(counted(keys[-1][ended], np.ones(int(ended.sum()), bool)))
-    out = [summed(np.concatenate([k for k, _ in of]), np.concatenate([n for _, n in of])) for of in parts]
+        words.add(*counted(keys[-1][ended], np.ones(int(ended.sum()), bool)))
+    out = [of.all() for of in parts]
     tokens = np.zeros(len(out[-1][0]), np.int64)
-    k, n = summed(np.concatenate([k for k, _ in words]), np.concatenate([n for _, n in words]))
+    k, n = words.all()
     tokens[np.searchsorted(out[-1][0], k)] = n
     return out, tokens
 

@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._common import ROW_KEY, crc_of, delete, materialise, with_row_key
-from weftline.llm.context_mixing import BEFORE, CONTEXTS, COUNTED, HELD, TAUGHT, Code, Known, Stream, census, lowered, paths, score, summed
+from weftline.llm.context_mixing import BEFORE, CONTEXTS, COUNTED, HELD, TAUGHT, Code, Known, Stream, census, codes, lowered, paths, score, summed
 
 #: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from; of the others, those with crc32(id) mod TAUGHT_OF == 1 teach the weights.
 FOLDS, HELD_OUT, TAUGHT_OF = 7, 2, 13
 #: A chunk closes at so many bytes of text, at most and at least, between them at what makes about CHUNKS of them; parts of the key space for each chunk.
-CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 40 << 20, 4 << 20, 6, 4
+CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 28 << 20, 4 << 20, 6, 4
 
 _CHUNKS = "chunk long, docs binary, lengths binary, kinds binary, bytes long, text binary, histogram array<long>"
 _LISTED = "part int, chunk long, context int, size int, keys binary, counts binary, tokens binary"
-_ANSWERS = "chunk long, context int, size int, keys binary, decisions int, codes binary, tokens binary, words long, total long"
+_ANSWERS = "chunk long, context int, size int, keys binary, totals binary, decisions int, others binary, tokens binary, words long, total long"
 _SCORED = "f long, i long, words long, known long, logs double, score double, bytes long, ends int, vocabulary long, total long"
 
 
@@ -144,8 +144,9 @@ def _answered(group: pa.Table, code: Code) -> pa.Table:
             continue
         every = np.concatenate([k for _, k, _ in listed])
         keys, counts = summed(every, np.concatenate([_unpacked(r["counts"], r["size"], "<i4").astype(np.int64) for _, _, r in listed]))
-        codes, ends = paths(keys, counts, keys, code)
-        lengths = np.diff(ends, prepend=0)
+        totals, others = paths(keys, counts, code)
+        lengths = code.length[(keys & np.uint64(255)).astype(np.int64)]
+        ends = np.cumsum(lengths)
         words = None
         if context == CONTEXTS - 1:  # a word is the same before a blank and at the end of a text
             _, n = summed(every, np.concatenate([_unpacked(r["tokens"], r["size"], "<i4").astype(np.int64) for _, _, r in listed]))
@@ -159,11 +160,16 @@ def _answered(group: pa.Table, code: Code) -> pa.Table:
             at = np.searchsorted(keys, wanted)
             size = lengths[at]
             flat = np.repeat(ends[at] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append((chunk, context, len(wanted), _pack_keys(wanted), len(flat), _packed(codes[flat], "<u2"), None if words is None else _packed(words[at], "<i8"), None, None))
-    out.append((-1, None, None, None, None, None, None, vocabulary, total))
+            out.append((chunk, context, len(wanted), _pack_keys(wanted), _packed(totals[at], "<i8"), len(flat), _packed(others[flat], "<i8"), None if words is None else _packed(words[at], "<i8"), None, None))
+    out.append((-1, *[None] * 7, vocabulary, total))
     return pa.Table.from_batches([_batch(_ANSWERS, out)])
 
 
+def _decisions(answer: dict, code: Code) -> np.ndarray:
+    keys = _unpack_keys(answer["keys"], answer["size"])
+    return codes(keys, _unpacked(answer["totals"], answer["size"], "<i8"), _unpacked(answer["others"], answer["decisions"], "<i8"), code)
+
+
 def _scored(answers: pa.Table, chunk: pa.Table, code: Code) -> pa.Table:
     """The sums of each text, or segment, of a chunk; the answers' words and totals go through."""
     rows, out = answers.to_pylist(), []
@@ -173,8 +179,7 @@ def _scored(answers: pa.Table, chunk: pa.Table, code: Code) -> pa.Table:
     for context in range(CONTEXTS):
         some = [r for r in rows if r["context"] == context]
         keys = np.concatenate([np.zeros(0, np.uint64), *[_unpack_keys(r["keys"], r["size"]) for r in some]])
-        codes = np.concatenate([np.zeros(0, np.uint16), *[_unpacked(r["codes"], r["decisions"], "<u2") for r in some]])
-        known.append(Known(keys, codes, code))
+        known.append(Known(keys, np.concatenate([np.zeros(0, np.uint16), *[_decisions(r, code) for r in some]]), code))
         if context == CONTEXTS - 1:
             tokens = np.concatenate([tokens, *[_unpacked(r["tokens"], r["size"], "<i8") for r in some]])
     del rows, some, answers
