@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -110,3 +111,29 @@ def test_warc_reader_reports_damage():
         take(good.replace(b"abc", b"abd"), verify=True)
     with pytest.raises(ValueError):
         take(b"nonsense\r\n")
+
+
+def test_archives_that_are_written_to_again(spark, tmp_path):
+    from weftline.llm.warc import archive_pages, page_records, read_archive
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "x" * i * 1000) for i in range(6)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/again"
+    archive_pages(pages.where("page_id < 3"), path)
+    archive_pages(pages.where("page_id >= 3"), path)
+    assert read_archive(spark, path).count() == 6
+    page_records(pages.where("page_id = 1")).write.format("warc").option("path", path).mode("overwrite").save()
+    assert read_archive(spark, path).count() == 1 and len(list((tmp_path / "again").iterdir())) == 2
+
+
+def test_gzip_members_that_end_early_are_told(spark, tmp_path):
+    import gzip
+
+    from weftline.llm.warc import _Inflated
+
+    whole = gzip.compress(random.Random(1).randbytes(200_000))
+    for cut, skipped in ((len(whole) - 500, False), (len(whole) // 2, True)):
+        path = tmp_path / "cut.gz"
+        path.write_bytes(whole[:cut])
+        with open(path, "rb") as f, pytest.raises(EOFError):
+            stream = _Inflated(f)
+            stream.skip(200_000) if skipped else stream.read(200_000)

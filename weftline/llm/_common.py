@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import functools
-import gc
+import contextvars
 import logging
-import time
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,71 +25,81 @@ TEXTS_AT_ONCE = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one below /tmp is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a cluster's executors could not reach it, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Paths that the enclosing scratch() deletes.
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end, but for those that are kept: what a result is computed from must be written by then."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            _remove(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives sizes to the planner."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives sizes to the planner. keep: a surrounding scratch() leaves it."""
     path = new_path(df.sparkSession, name)
+    paths = _SCRATCH.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(df: DataFrame) -> None:
     """Deletes what materialise() wrote and nothing reads any more."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for file in df.inputFiles()[:1]:
-        where = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        where.getFileSystem(conf).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are done: its cleaner acts on what the driver's garbage collections find."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def trimmed(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A generator function that gives a Python worker's free memory back to the system when it ends; workers live on between tasks."""
-
-    @functools.wraps(work)
-    def run(*args):
-        yield from work(*args)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-    return run
+        _remove(df.sparkSession, file.rpartition("/")[0])
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """Adds ROW_KEY, (hash of the file's path, row number in the file): the same in every job, however files are split.
 
-    A frame that isn't a plain scan of Parquet files is written to the shared folder first.
+    A frame that isn't a plain scan of Parquet files is written to the shared folder first. Columns may have any names, that of the hidden metadata included.
     """
+    try:
+        return _keyed(df)
+    except AnalysisException:
+        return _keyed(materialise(df, "rows", keep=True))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
     log = logging.getLogger("DataFrameQueryContextLogger")
     level, _ = log.level, log.setLevel(logging.CRITICAL)
     try:
-        return df.select("*", F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1]))
-    except AnalysisException:
-        return with_row_key(materialise(df, "rows"))
+        hidden = df.metadataColumn("_metadata")
+        out = df.select("*", F.xxhash64(hidden["file_path"]).alias(ROW_KEY[0]), hidden["row_index"].alias(ROW_KEY[1]))
+        out.schema  # noqa: B018 - analysed here, where a frame without files is told
+        return out
     finally:
         log.setLevel(level)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import materialise
+from weftline.llm._common import delete, materialise, scratch
 
 
 def _attach_least(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,16 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _round(now: DataFrame) -> DataFrame:
+    """A large star and a small star; their own tables are gone afterwards."""
+    with scratch(now.sparkSession):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _attach_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        linked = _attach_least(materialise(large, "large"))
+        small = linked.select("a", F.col("least").alias("b")).unionByName(linked.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
+        return materialise(small.distinct(), "small", keep=True)
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges(a, b): two columns of one orderable type. Returns (node, label) for every node of an edge; label: the component's smallest node.
 
@@ -27,12 +37,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = _mark(now)
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _attach_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-        large = materialise(large, "large")
-        linked = _attach_least(large)
-        small = linked.select("a", F.col("least").alias("b")).unionByName(linked.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
-        now = materialise(small.distinct(), "small")
+        last, now = now, _round(now)
+        delete(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

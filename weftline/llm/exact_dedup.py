@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm._common import ROW_KEY, ascii_lower, elect, materialise, with_row_key
+from weftline.llm._common import ROW_KEY, ascii_lower, elect, materialise, scratch, with_row_key
 
 BLOCK_BYTES = 4096
 #: Buckets in which distinct items are sorted for their names; a bucket holds items, never copies of one.
@@ -65,6 +65,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep_id is null then). Empty tables give no rows; other columns of docs are not read.
     """
     keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    with scratch(docs.sparkSession):
+        identity = _identities(keyed, block_bytes)
+    chosen = elect(identity, ["blocks", "name"], "doc_id")
+    return chosen.select(*ROW_KEY, "doc_id", F.col("leader").alias("keep_id"), "group_size", F.col("elected").alias("kept"), "text_sha256")
+
+
+def _identities(keyed: DataFrame, block_bytes: int) -> DataFrame:
+    """ROW_KEY, blocks, name, doc_id and text_sha256 of each document: equal texts, and they alone, have the same (blocks, name)."""
     raw = keyed.select(*ROW_KEY, "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).cast("binary").alias("raw"))
     # lower-cased and digested once for each document, below the generator: an expression in a lambda runs for each element
     raw = raw.withColumns({"text_sha256": F.sha2("raw", 256), "blocks": F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / F.lit(block_bytes)).cast("long"))})
@@ -86,13 +94,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    identity = materialise(identity.select(*ROW_KEY, "blocks", "name").join(facts, ROW_KEY), "identities")
-    chosen = elect(identity, ["blocks", "name"], "doc_id")
-    return chosen.select(*ROW_KEY, "doc_id", F.col("leader").alias("keep_id"), "group_size", F.col("elected").alias("kept"), "text_sha256")
+    return materialise(identity.select(*ROW_KEY, "blocks", "name").join(facts, ROW_KEY), "identities", keep=True)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates() does not keep; same columns."""
+    """docs without the rows that exact_duplicates() does not keep; same columns, whatever their names. Nulls, ties and empty tables are as there."""
     keyed = with_row_key(docs)
     # keyed scans what docs scans, or its copy in the shared folder: the keys agree
     lost = exact_duplicates(keyed.drop(*ROW_KEY), id_col, text_col).where(~F.col("kept")).select(*ROW_KEY)

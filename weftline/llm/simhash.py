@@ -9,10 +9,14 @@ A bucket that still holds many fingerprints is not paired. Its members are linke
 differ in at most 2r bits exactly when a third value lies within r bits of both, so each member lists the values within
 r bits of it (only in bits outside the shared pieces) and all members that list a value link to the smallest of them.
 That costs a fixed number of rows for each member and loses no link between components.
+
+Near copies of a stated similarity need more bits than 64: a similarity of 0.8 leaves some 15 % of the bits different. near_copies() makes
+wide fingerprints, whose many blocks let such pairs share one, and verifies the distance of all their bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm._common import ROW_KEY, materialise, with_row_key
 from weftline.llm.components import components
@@ -28,6 +33,10 @@ from weftline.llm.components import components
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: From this many members on, a bucket is linked through midpoints.
 DENSE = 2000
+#: Of near copies: words of a shingle, least similarity, the chance that a pair of just that similarity shares a block.
+STAGE_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
+#: From this many members on, a bucket of near copies is compared in tiles; members of a tile.
+CROWD, TILE = 256, 4096
 #: Hashes unpacked at once, a multiple of 255 so that byte counters can't overflow.
 CHUNK = 255 * 256
 
@@ -120,6 +129,12 @@ def _paired(keys: DataFrame, pieces: int, max_bits: int) -> DataFrame:
     return keys.join(other, match).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
+def _even(max_bits: int) -> None:
+    """Midpoints are half of max_bits from either side."""
+    if max_bits < 0 or max_bits % 2:
+        raise ValueError("max_bits must be even")
+
+
 def _through_midpoints(keys: DataFrame, pieces: int, max_bits: int) -> DataFrame:
     """Edges to the smallest member for each value that lies within half of max_bits of members of a dense bucket."""
     masks, near = _pieces(pieces), max_bits // 2
@@ -134,9 +149,6 @@ def _through_midpoints(keys: DataFrame, pieces: int, max_bits: int) -> DataFrame
     table = keys.sparkSession.createDataFrame(flips, "combo int, flips array<bigint>")  # a row for each choice of pieces
     listed = keys.join(F.broadcast(table), "combo").select("fp", "key", "combo", F.explode("flips").alias("flip"))
     listed = listed.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")).distinct()
-    if max_bits % 2:
-        # one bit more on one side only: values within near bits meet values within near + 1 bits; pairs are verified after
-        raise ValueError("an even number of bits is needed to link dense buckets")
     listed = materialise(listed, "midpoints")
     least = materialise(listed.groupBy("mid").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mid", "least"), "midpoint_least")
     return listed.join(least, "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
@@ -144,6 +156,7 @@ def _through_midpoints(keys: DataFrame, pieces: int, max_bits: int) -> DataFrame
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) at most max_bits apart: all of them, or within dense buckets as many as connect the same."""
+    _even(max_bits)
     count = prints.count()
     pieces = pieces_for(count, max_bits)
     keys = _keys(prints, pieces, max_bits)
@@ -162,33 +175,150 @@ def _paired_any(keys: DataFrame, max_bits: int) -> DataFrame:
     return joined.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, max_bits: int) -> DataFrame:
-    """ROW_KEY, doc_id, fp, component_id and label, the component's own name (its smallest fingerprint)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per row of docs: ROW_KEY, doc_id, fp (long), component_id: the smallest doc_id that can be reached over links.
+
+    Null texts and texts without words have fingerprint 0 and are linked like any other. Null ids never are the smallest (a
+    component of null ids only has a null component_id). Rows with equal texts meet in one fingerprint, so copies are never
+    paired. Other columns of docs are not read; an empty table gives no rows. max_bits must be even.
+    """
+    _even(max_bits)
     rows = materialise(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct_fingerprints")
     labels = materialise(components(links(prints.select("fp"), max_bits)), "labels")
     labelled = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     labelled = materialise(labelled, "labelled")
     smallest = materialise(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "smallest")
-    by_print = materialise(labelled.join(smallest, "label").select("fp", "component_id", "label"), "by_fingerprint")
-    return rows.join(by_print, "fp").select(*ROW_KEY, "doc_id", "fp", "component_id", "label")
+    by_print = materialise(labelled.join(smallest, "label").select("fp", "component_id"), "by_fingerprint")
+    return rows.join(by_print, "fp").select(*ROW_KEY, "doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of docs: ROW_KEY, doc_id, fp (long), component_id: the smallest doc_id that can be reached over links.
+def differing(similarity: float) -> float:
+    """The share of bits in which SimHashes of two sets of this Jaccard similarity differ, as expected of sets of like size: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    Null texts and texts without words have fingerprint 0 and are linked like any other. Null ids never are the smallest (a
-    component of null ids only has a null component_id). Rows with equal texts meet in one fingerprint, so copies are never
-    paired. Other columns of docs are not read; an empty table gives no rows.
+
+def wide_plan(prints: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a block, 64-bit words of a wide fingerprint) for so many fingerprints.
+
+    A block has as many bits as keep unlike fingerprints apart; there are as many blocks as it takes for a pair of just this similarity to share one with
+    probability `recall`. Pairs that differ in fewer bits than there are blocks always do.
     """
-    return _grouped(docs, id_col, text_col, words, seed, max_bits).drop("label")
+    bits = next((b for b in (16, 21, 32) if prints.bit_length() <= b + 3), 32)
+    blocks = math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** bits)
+    return bits, math.ceil(blocks / (64 // bits))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (the first stored, of several); same columns."""
+def wide_fingerprint(text: str | None, lanes: int, words: int = STAGE_WORDS, seed: int = SEED) -> np.ndarray:
+    """A SimHash of lanes * 64 bits over a text's distinct shingles; all zero for a text without words or null."""
+    parts = _shingles((text or "").encode(), words)
+    if not parts:
+        return np.zeros(lanes, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(x, seed) for x in parts), np.uint64, len(parts)))
+    steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        x = hashes[at : at + 255, None] + steps
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(by)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str, lanes: int, words: int) -> DataFrame:
+    """ROW_KEY, doc_id and wide (array of `lanes` longs) of every row."""
+    keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    schema = T.StructType([*[f for f in keyed.schema if f.name != "text"], T.StructField("wide", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            wide = [wide_fingerprint(x.as_py(), lanes, words).view(np.int64) for x in batch.column(at)]
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(wide, pa.list_(pa.int64()))], names=[*(batch.schema.names[i] for i in rest), "wide"])
+
+    return keyed.mapInArrow(run, schema)
+
+
+def _apart(a: Column, b: Column, lanes: int) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, lanes)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def _spanning(group: pa.Table, most: int) -> pa.Table:
+    """Links that connect the members of a bucket which are at most `most` bits apart as all such links do; a member is compared with those not yet reached."""
+    nodes = group.column("node").to_numpy()
+    wide = np.array(group.column("wide").to_pylist(), np.int64).view(np.uint64).reshape(len(nodes), -1)
+    left, a, b = np.arange(len(nodes)), [], []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        for at in todo:
+            near = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1) <= most
+            found = left[near].tolist()
+            left = left[~near]
+            todo += found
+            a += [at] * len(found)
+            b += found
+    return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+
+
+def wide_links(prints: DataFrame, lanes: int, bits: int, similarity: float = SIMILARITY, dense: int = CROWD, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between nodes whose wide fingerprints share a block and differ in no more bits than `similarity` allows. prints: node (long), wide, distinct.
+
+    Small buckets are joined on a 64-bit word outside the block first, then whole fingerprints are compared. Buckets of over `dense` members are
+    compared in tiles that a task holds, where a member is compared until it is linked; no bucket is left out and none emits all its pairs.
+    """
+    most, per = int(64 * lanes * differing(similarity)), 64 // bits
+    mask = (1 << bits) - 1
+    each = [
+        F.struct(F.lit(k * per + j).alias("block"), F.shiftrightunsigned(F.get("wide", F.lit(k)), bits * j).bitwiseAND(F.lit(mask)).alias("key"), F.get("wide", F.lit((k + 1) % lanes)).alias("word"))
+        for k in range(lanes) for j in range(per)
+    ]
+    keys = prints.select("node", F.explode(F.array(*each)).alias("k")).select("node", "k.*")
+    crowded = materialise(keys.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense), "crowded")
+    full = crowded.isEmpty()
+    sparse = keys if full else keys.join(crowded.select("block", "key"), ["block", "key"], "left_anti")
+    other = sparse.select("block", "key", F.col("node").alias("b"), F.col("word").alias("word2"))
+    spread = differing(similarity)
+    loose = int(64 * spread + 4 * math.sqrt(64 * spread * (1 - spread)))
+    met = sparse.withColumnRenamed("node", "a").join(other, ["block", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= loose))
+    met = materialise(met.select("a", "b").distinct(), "near_candidates")
+    wide = [prints.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")) for x in "ab"]
+    near = met.join(wide[0], "a").join(wide[1], "b").where(_apart(F.col("wa"), F.col("wb"), lanes) <= most).select("a", "b")
+    if full:
+        return near
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    dealt = keys.join(crowded, ["block", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int"))
+    pairs = dealt.select("block", "key", "node", "tile", F.explode(F.sequence(F.lit(0), F.greatest(tiles, F.lit(1)) - 1)).alias("with"))
+    pairs = pairs.select("block", "key", "node", F.least("tile", "with").alias("t"), F.greatest("tile", "with").alias("u")).join(prints, "node")
+    return near.unionByName(pairs.groupBy("block", "key", "t", "u").applyInArrow(lambda g: _spanning(g, most), "a long, b long").distinct())
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: ROW_KEY, doc_id, label (one for each group of near copies) and stays, true for one row of a group.
+
+    Texts are near copies if wide SimHashes over their distinct shingles of `words` words (lower-cased A-Z; shorter texts: the whole sequence) say a similarity of
+    `similarity` or more; groups are connected over such links. The row with the smallest id stays, the first stored of several, null ids last. Null texts and texts without
+    words are copies of each other. An empty table gives no rows; other columns are not read.
+    """
+    # twice the rows, so that few more rows don't change the plan's numbers
+    bits, lanes = wide_plan(2 * docs.count(), similarity)
+    rows = materialise(_wide(docs, id_col, text_col, lanes, words), "wide_rows")
+    prints = materialise(rows.select("wide").distinct().withColumn("node", F.monotonically_increasing_id()), "wide_prints")
+    labels = materialise(components(wide_links(prints, lanes, bits, similarity)), "wide_labels")
+    named = prints.join(labels, "node", "left").select("wide", F.coalesce("label", "node").alias("label"))
+    labelled = materialise(rows.join(named, "wide").select(*ROW_KEY, "doc_id", "label"), "wide_labelled")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *ROW_KEY)
+    first = labelled.groupBy("label").agg(F.min(order).alias("first")).select("label", *[F.col(f"first.{k}").alias(f"{k}_") for k in ROW_KEY])
+    stays = (F.col(ROW_KEY[0]) == F.col(f"{ROW_KEY[0]}_")) & (F.col(ROW_KEY[1]) == F.col(f"{ROW_KEY[1]}_"))
+    return labelled.join(materialise(first, "wide_first"), "label").select(*ROW_KEY, "doc_id", "label", stays.alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the row of each group of near_copies() that stays; same columns."""
     keyed = with_row_key(docs)
-    found = materialise(_grouped(keyed.drop(*ROW_KEY), id_col, text_col, words, seed, max_bits), "grouped")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct(*ROW_KEY)).alias("row")).select("row.*")
     # those that go are few where those that stay are most: only their keys are matched with the texts
-    lost = materialise(found.select(*ROW_KEY).join(stays, ROW_KEY, "left_anti"), "lost")
+    lost = materialise(near_copies(keyed.drop(*ROW_KEY), id_col, text_col, words, similarity).where("not stays").select(*ROW_KEY), "lost")
     return keyed.join(lost, ROW_KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

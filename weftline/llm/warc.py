@@ -32,7 +32,7 @@ _TYPES = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 #: Small files share a partition up to this size; a writer starts a new file beyond it.
 GROUP_BYTES = 128 << 20
 BATCH_ROWS, BATCH_BYTES, READ_BYTES = 1000, 16 << 20, 1 << 20
@@ -63,16 +63,19 @@ class _Inflated:
     """Bytes of the gzip members of a file one after the other; reads forward only."""
 
     def __init__(self, raw):
-        self.raw, self.more, self.unit, self.ready = raw, b"", zlib.decompressobj(31), bytearray()
+        self.raw, self.more, self.unit, self.ready, self.begun = raw, b"", zlib.decompressobj(31), bytearray(), False
 
     def _fill(self, size: int) -> None:
         while len(self.ready) < size:
             if self.unit.eof:
-                self.more, self.unit = self.unit.unused_data or self.more, zlib.decompressobj(31)
+                self.more, self.unit, self.begun = self.unit.unused_data or self.more, zlib.decompressobj(31), False
             data = self.more or self.raw.read(READ_BYTES)
             self.more = b""
             if not data:
+                if self.begun and not self.unit.eof:
+                    raise EOFError("a gzip member ends before its end")
                 return
+            self.begun = True
             self.ready += self.unit.decompress(data)
 
     def read(self, size: int) -> bytes:
@@ -183,6 +186,12 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int]]
 
 
+def _manifests(store: fs.FileSystem, root: str) -> list[str]:
+    """The lists of files that were committed to a folder, one of each commit."""
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if store.get_file_info(root).type == fs.FileType.Directory else []
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST))
+
+
 class WarcReader(DataSourceReader):
     """Reads the files under a path; see WarcSource."""
 
@@ -210,10 +219,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         store, root = fs.FileSystem.from_uri(self.path)
-        info = store.get_file_info(f"{root}/{MANIFEST}")
-        if info.type == fs.FileType.File:
-            with store.open_input_stream(info.path) as f:
-                files = [(f"{root}/{n}", s) for n, s in json.loads(f.read())]
+        lists = _manifests(store, root)
+        if lists:
+            files = []
+            for path in lists:
+                with store.open_input_stream(path) as f:
+                    files += [(f"{root}/{n}", s) for n, s in json.loads(f.read())]
         elif store.get_file_info(root).type == fs.FileType.File:
             files = [(root, store.get_file_info(root).size)]
         else:
@@ -249,10 +260,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes records(INPUT) as files with one gzip member for each record, or plain ones."""
+    """Writes records(INPUT) as files with one gzip member for each record, or plain ones. Each commit adds its list of files; one that overwrites takes the place of all before."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path, self.gzip = options["path"], options.get("compression", "gzip") == "gzip"
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.gzip, self.overwrite = options["path"], options.get("compression", "gzip") == "gzip", overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -281,8 +292,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        before = _manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        for path in before:
+            with store.open_input_stream(path) as f:
+                old = json.loads(f.read())
+            store.delete_file(path)
+            for name, _ in old:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -304,7 +322,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
