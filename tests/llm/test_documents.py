@@ -325,8 +325,7 @@ class PlainMixer:
 
     def contexts(self, t, at):
         seen = self.cm.BEFORE + t[:at]
-        word = re.split(rb"[ \n]", seen)[-1]
-        return [(n, seen[-n:]) for n in self.cm.ORDERS] + [("word", word)]
+        return [(n, seen[-n:]) for n in self.cm.ORDERS]
 
     def decisions(self, byte):
         r = int(self.code.rank[byte])
@@ -381,8 +380,8 @@ def chunk_of(cm, texts, kinds):
 
 
 def chunk_scores(cm, stream, code):
-    found, tokens = cm.census(stream, code)
-    return cm.score(stream, code, [cm.Known(k, cm.codes(k, *cm.paths(k, n, code), code), code) for k, n in found], tokens), found, tokens
+    *found, (words, tokens) = cm.census(stream, code)
+    return cm.score(stream, code, [cm.Known(k, cm.codes(k, *cm.paths(k, n, code), code), code) for k, n in found], cm.Slots(words), tokens), found, tokens
 
 
 def test_lm_mixes_like_plain_python(docs):
@@ -423,15 +422,19 @@ def test_lm_blocks_and_segments_change_no_context(monkeypatch):
     random.seed(3)
     body = cm.lowered(" ".join("".join(random.choice("abc") for _ in range(random.choice((1, 3, 400)))) for _ in range(200)).encode())
     code = cm.Code(np.bincount(np.frombuffer(body, np.uint8), minlength=256))
-    whole = next(chunk_of(cm, [body], [0]).keys(code))[1]
+    whole, inside = next(chunk_of(cm, [body], [0]).keys(code))[1], np.ones(len(body), bool)
+    words = chunk_of(cm, [body], [0]).words(0, inside)[1]
+    assert len(words) == len(body.split()) and len(set(words.tolist())) == len(set(body.split()))
     monkeypatch.setattr(cm, "BLOCK", 512)
     blocks = [k for _, k in chunk_of(cm, [body], [0]).keys(code)]
     for i, k in enumerate(whole):
         assert (np.concatenate([b[i] for b in blocks]) == k).all()
+    stream = chunk_of(cm, [body], [0])
+    assert (np.concatenate([stream.words(at, inside[at : at + 512])[1] for at, _ in stream.keys(code)]) == words).all()
     parts = list(_segments(body, 1000))
     assert len(parts) > 5 and b"".join(b for _, b in parts) == body
     cut = [next(cm.Stream(a + b, np.array([len(a + b)]), np.zeros(1, np.uint8)).keys(code))[1] for a, b in parts if len(b) <= 512]
-    assert all((c[0] == whole[0][len(body) - len(c[0]) :]).all() and (c[3] == whole[3][len(body) - len(c[3]) :]).all() for c in cut[-1:])
+    assert all((c[0] == whole[0][len(body) - len(c[0]) :]).all() and (c[2] == whole[2][len(body) - len(c[2]) :]).all() for c in cut[-1:])
 
 
 def test_lm_chunks_share_counts(spark, docs, monkeypatch):

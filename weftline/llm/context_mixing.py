@@ -1,8 +1,8 @@
 """Online logistic context mixing over running text, in blocks of numpy arrays.
 
-A byte is spelled by the binary decisions of a Huffman tree over all training bytes, so that a common byte takes few of them. Each of four contexts
-(the last two, four and six bytes, and the word so far, all of which cross the borders of words) predicts each decision
-from how often the corpus went either way there. The predictions are stretched and added with weights that are gated by which contexts are known, and how well; a map
+A byte is spelled by the binary decisions of a Huffman tree over all training bytes, so that a common byte takes few of them. Each of three contexts
+(the last two, four and six bytes, which cross the borders of words) predicts each decision from how often the corpus went either
+way there. The predictions are stretched and added with weights that are gated by which contexts are known, and how well; a map
 from the sum, by decision, refines the probability. Weights and map learn online, from training bytes only: a batch is
 predicted, then learned from.
 
@@ -17,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Byte contexts, by length; the context of the word so far comes after them.
+#: Contexts, by their bytes; the longest comes last and holds the others.
 ORDERS = (2, 4, 6)
-CONTEXTS = len(ORDERS) + 1
+CONTEXTS = len(ORDERS)
 #: Bytes before the first of a text, as all contexts see them.
 BEFORE = b"\n" * 8
 #: What a byte's text is to the model: counted, learned from by weights and map, or held out.
 COUNTED, TAUGHT, HELD = 0, 1, 2
 #: Places that are looked at together, bytes between two steps of learning, bytes whose decisions are laid out at once.
-BLOCK, BATCH, LAID_OUT = 1 << 20, 512, 1 << 14
+BLOCK, BATCH, LAID_OUT = 1 << 21, 512, 1 << 14
 #: What is added to counts; first weight; rates of the weights and of the map; what a cell of the map counts for at first.
 ADDED, FIRST, RATE, PRIOR = 0.02, 0.3, 0.06, 20.0
 #: Cells of the map on each side of zero, and cells for one unit of the stretched probability.
@@ -104,10 +104,7 @@ def lowered(raw: bytes) -> bytes:
 
 
 def contexts(raw: np.ndarray, code: Code) -> list[np.ndarray]:
-    """For each place from len(BEFORE) on and each context: context and rank of the byte there, in 64 bits.
-
-    raw: bytes, the first len(BEFORE) of which are context only and end with a word's end, as far as words are concerned.
-    """
+    """For each place from len(BEFORE) on and each context: context and rank of the byte there, in 64 bits."""
     first, n = len(BEFORE), len(raw)
     byte, rank = raw.astype(np.uint64), code.rank[raw].astype(np.uint64)
     keys = []
@@ -119,24 +116,26 @@ def contexts(raw: np.ndarray, code: Code) -> list[np.ndarray]:
         k <<= _EIGHT
         k |= rank[first:]
         keys.append(k)
-    # the word so far: a polynomial of its bytes, from sums up to each place
+    return keys
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that end before the places `ends`; raw begins with a word or a word's end."""
+    byte, n = raw.astype(np.uint64), len(raw)
     power, back = np.full(n, _MIX), np.full(n, _INVERSE)
     power[0] = back[0] = 1
     np.multiply.accumulate(power, out=power)
     np.multiply.accumulate(back, out=back)
-    sums = np.zeros(n, np.uint64)
-    np.cumsum((byte[:-1] + np.uint64(1)) * (byte[:-1] + np.uint64(257)) * power[:-1], out=sums[1:])
-    ends = (raw == 32) | (raw == 10)
-    starts = np.maximum.accumulate(np.where(np.concatenate(([True], ends[:-1])), np.arange(n), 0))[first:]
-    word = sums[first:] - sums[starts]
-    word *= back[starts]  # as if each word began at place 0
+    # a polynomial of a word's bytes, from sums up to each place
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((byte + np.uint64(1)) * (byte + np.uint64(257)) * power, out=sums[1:])
+    gap = (raw == 32) | (raw == 10)
+    starts = np.maximum.accumulate(np.where(np.concatenate(([True], gap[:-1])), np.arange(n), 0))[ends - 1]
+    word = (sums[ends] - sums[starts]) * back[starts]  # as if each word began at place 0
     word ^= word >> np.uint64(31)
     word *= _MIX2
     word ^= word >> np.uint64(29)
-    word += (np.arange(first, n) - starts).astype(np.uint64) * _MIX
-    word <<= _EIGHT
-    word |= rank[first:]
-    return [*keys, word]
+    return word + (ends - starts).astype(np.uint64) * _MIX
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,11 +342,8 @@ class Stream:
 
     def keys(self, code: Code) -> Iterator[tuple[int, list[np.ndarray]]]:
         """The keys of all contexts, for BLOCK places at a time, with the first place."""
-        first = len(BEFORE)
-        for at in range(0, len(self.raw) - first, BLOCK):
-            begin = max(self.data.rfind(b" ", 0, at), self.data.rfind(b"\n", 0, at)) + 1  # words are whole
-            keys = contexts(self.raw[begin : at + first + BLOCK], code)
-            yield at, [k[at - begin :] for k in keys]
+        for at in range(0, len(self.raw) - len(BEFORE), BLOCK):
+            yield at, contexts(self.raw[at : at + len(BEFORE) + BLOCK], code)
 
     def of(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of n places from `at` on: the kind (bytes before a text are HELD), whether the byte belongs to a text, and which text."""
@@ -359,10 +355,13 @@ class Stream:
         inside[before[(before >= 0) & (before < n)]] = False
         return np.where(inside, np.repeat(self.kinds[some], sizes), HELD).astype(np.uint8), inside, np.repeat(np.arange(a - 1, z), sizes)
 
-    def words(self, at: int, n: int) -> np.ndarray:
-        """Whether a word ends before each of n places from `at` on."""
-        ends = np.isin(self.raw[at + len(BEFORE) - 1 : at + len(BEFORE) + n], (32, 10))
-        return ends[1:] & ~ends[:-1]
+    def words(self, at: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places from `at` on that are inside texts end a word, and the words' hashes."""
+        first = len(BEFORE)
+        begin = max(self.data.rfind(b" ", 0, at + first), self.data.rfind(b"\n", 0, at + first)) + 1  # words are whole
+        gap = np.isin(self.raw[at + first - 1 : at + first + len(inside)], (32, 10))
+        ended = np.flatnonzero(gap[1:] & ~gap[:-1] & inside)
+        return ended, word_hashes(self.raw[begin : at + first + len(inside)], ended + at + first - begin) if len(ended) else np.zeros(0, np.uint64)
 
 
 class _Sums:
@@ -384,26 +383,22 @@ class _Sums:
         return self.keys, self.counts
 
 
-def census(stream: Stream, code: Code) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each context its distinct keys, in order, and how often each occurs in COUNTED texts; for keys of ends of words, how often in texts that aren't HELD."""
-    parts, words = [_Sums() for _ in range(CONTEXTS)], _Sums()
+def census(stream: Stream, code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context its distinct keys, in order, and how often each occurs in COUNTED texts; then the same of words, in texts that aren't HELD."""
+    parts = [_Sums() for _ in range(CONTEXTS + 1)]
     for at, keys in stream.keys(code):
         kind, inside, _ = stream.of(at, len(keys[0]))
-        for of, k in zip(parts, keys, strict=True):
+        for of, k in zip(parts, keys, strict=False):
             of.add(*counted(k[inside], kind[inside] == COUNTED))
-        ended = stream.words(at, len(kind)) & inside & (kind != HELD)
-        words.add(*counted(keys[-1][ended], np.ones(int(ended.sum()), bool)))
-    out = [of.all() for of in parts]
-    tokens = np.zeros(len(out[-1][0]), np.int64)
-    k, n = words.all()
-    tokens[np.searchsorted(out[-1][0], k)] = n
-    return out, tokens
+        ended, words = stream.words(at, inside)
+        parts[-1].add(*counted(words, kind[ended] != HELD))
+    return [of.all() for of in parts]
 
 
 def distinct(keys: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts): order sorts a block's places by what is predicted there, and for what kind of text; starts says where something new begins."""
     bits = np.uint64(BLOCK.bit_length() - 1)
-    mixed, salt = (keys[-1] ^ (keys[-2] * _MIX2)) * np.uint64(3) + kind, _MIX
+    mixed, salt = keys[-1] * np.uint64(3) + kind, _MIX
     while True:
         ordered = (mixed ^ (mixed >> np.uint64(30))) * salt
         ordered = np.sort((ordered >> bits) << bits | np.arange(len(mixed), dtype=np.uint64))
@@ -411,15 +406,15 @@ def distinct(keys: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.n
         ordered >>= bits
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         same = ~new[1:]
-        if not any((k[order][1:] != k[order][:-1])[same].any() for k in (keys[-1], keys[-2], kind)):
+        if not any((k[order][1:] != k[order][:-1])[same].any() for k in (keys[-1], kind)):
             return order, np.flatnonzero(new)
         salt = salt * _MIX2 + np.uint64(2)  # two of them met in one hash
 
 
-def score(stream: Stream, code: Code, known: list[Known], tokens: np.ndarray) -> dict[str, np.ndarray]:
+def score(stream: Stream, code: Code, known: list[Known], words: Slots, tokens: np.ndarray) -> dict[str, np.ndarray]:
     """Sums of each text: score (natural logarithms of its bytes' probabilities), words, known (words that are no HELD text's alone) and logs (of their counts and one, to base 10).
 
-    tokens: of each key that known[-1] was made of, how often its word occurs. A block's TAUGHT bytes are learned from, then the block is scored.
+    tokens: how often each of `words` occurs. A block's TAUGHT bytes are learned from, then the block is scored.
     """
     mixer, n = Mixer(code), len(stream.kinds)
     out = {k: np.zeros(n) for k in ("score", "words", "known", "logs")}
@@ -429,19 +424,17 @@ def score(stream: Stream, code: Code, known: list[Known], tokens: np.ndarray) ->
         order, starts = distinct(keys, kind)
         heads = order[starts]
         times, kinds, keys = np.diff(np.append(starts, len(order))), kind[heads], [k[heads] for k in keys]
-        found = [k.slots.find(x) for k, x in zip(known, keys, strict=True)]
-        begin = [k.start[f] for k, f in zip(known, found, strict=True)]
+        begin = [k.start[k.slots.find(x)] for k, x in zip(known, keys, strict=True)]
         rank = (keys[0] & np.uint64(255)).astype(np.int64)
         some = kinds == TAUGHT
         if some.any():
             mixer.learn([b[some] for b in begin], known, rank[some], times[some])
-        place = np.empty(len(order), np.int32)
-        place[order] = np.repeat(np.arange(len(starts), dtype=np.int32), times)
-        logs = mixer.scores(begin, known, rank, kinds == COUNTED)[place]
+        logs = np.empty(len(order))
+        logs[order] = np.repeat(mixer.scores(begin, known, rank, kinds == COUNTED), times)
         first, last = int(text[0]), int(text[-1]) + 1
         out["score"][first:last] += np.bincount(text[inside] - first, logs[inside], last - first)
-        ended = np.flatnonzero(stream.words(at, len(kind)) & inside)
-        c, of = tokens[found[-1][place[ended]]], text[ended] - first
+        ended, hashes = stream.words(at, inside)
+        c, of = tokens[words.find(hashes)], text[ended] - first
         out["words"][first:last] += np.bincount(of, minlength=last - first)
         out["known"][first:last] += np.bincount(of, c > 0, last - first)
         out["logs"][first:last] += np.bincount(of, np.log10(c + 1), last - first)

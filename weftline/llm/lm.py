@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._common import ROW_KEY, crc_of, delete, materialise, with_row_key
-from weftline.llm.context_mixing import BEFORE, CONTEXTS, COUNTED, HELD, TAUGHT, Code, Known, Stream, census, codes, lowered, paths, score, summed
+from weftline.llm.context_mixing import BEFORE, CONTEXTS, COUNTED, HELD, TAUGHT, Code, Known, Slots, Stream, census, codes, lowered, paths, score, summed
 
 #: Rows with crc32(id) mod FOLDS == HELD_OUT are not learned from; of the others, those with crc32(id) mod TAUGHT_OF == 1 teach the weights.
 FOLDS, HELD_OUT, TAUGHT_OF = 7, 2, 13
-#: A chunk closes at so many bytes of text, at most and at least, between them at what makes about CHUNKS of them; parts of the key space for each chunk.
-CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 28 << 20, 4 << 20, 6, 4
+#: A chunk has about so many bytes of text, at most and at least, between them what makes about CHUNKS of them; parts of the key space for each chunk.
+CHUNK_BYTES, LEAST_BYTES, CHUNKS, PARTS = 36 << 20, 4 << 20, 6, 4
 
 _CHUNKS = "chunk long, docs binary, lengths binary, kinds binary, bytes long, text binary, histogram array<long>"
-_LISTED = "part int, chunk long, context int, size int, keys binary, counts binary, tokens binary"
-_ANSWERS = "chunk long, context int, size int, keys binary, totals binary, decisions int, others binary, tokens binary, words long, total long"
+_LISTED = "part int, chunk long, context int, size int, keys binary, counts binary"
+_ANSWERS = "chunk long, context int, size int, keys binary, totals binary, decisions int, others binary, words long, total long"
 _SCORED = "f long, i long, words long, known long, logs double, score double, bytes long, ends int, vocabulary long, total long"
 
 
@@ -120,48 +120,42 @@ def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _listed(batches: Iterator[pa.RecordBatch], code: Code, parts: int) -> Iterator[pa.RecordBatch]:
-    """What each chunk holds: its distinct keys by part and context, with their counts."""
+    """What each chunk holds: its distinct keys by part and context, with their counts. Words come after the contexts."""
     for batch in batches:
         for r in batch.to_pylist():
-            found, tokens = census(_stream(r["text"], r["bytes"], r["lengths"], r["kinds"]), code)
-            for context, (keys, counts) in enumerate(found):
+            for context, (keys, counts) in enumerate(census(_stream(r["text"], r["bytes"], r["lengths"], r["kinds"]), code)):
                 part = _parts_of(keys, parts)
                 order = np.argsort(part, kind="stable")
                 ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
                 for p in np.flatnonzero(np.diff(ends)):
                     at = order[ends[p] : ends[p + 1]]
-                    n = _packed(tokens[at], "<i4") if context == CONTEXTS - 1 else None
-                    yield _batch(_LISTED, [(int(p), r["chunk"], context, len(at), _pack_keys(keys[at]), _packed(counts[at], "<i4"), n)])
+                    yield _batch(_LISTED, [(int(p), r["chunk"], context, len(at), _pack_keys(keys[at]), _packed(counts[at], "<i4"))])
 
 
 def _answered(group: pa.Table, code: Code) -> pa.Table:
     """Sums a part's keys over all chunks and answers each chunk. One row more says how many distinct words the part holds, and how often they occur."""
     out, vocabulary, total = [], 0, 0
     rows = group.to_pylist()
-    for context in range(CONTEXTS):
-        listed = [(r["chunk"], _unpack_keys(r["keys"], r["size"]), r) for r in rows if r["context"] == context]
+    for context in range(CONTEXTS + 1):
+        listed = [(r["chunk"], _unpack_keys(r["keys"], r["size"]), _unpacked(r["counts"], r["size"], "<i4")) for r in rows if r["context"] == context]
         if not listed:
             continue
-        every = np.concatenate([k for _, k, _ in listed])
-        keys, counts = summed(every, np.concatenate([_unpacked(r["counts"], r["size"], "<i4").astype(np.int64) for _, _, r in listed]))
-        totals, others = paths(keys, counts, code)
-        lengths = code.length[(keys & np.uint64(255)).astype(np.int64)]
-        ends = np.cumsum(lengths)
-        words = None
-        if context == CONTEXTS - 1:  # a word is the same before a blank and at the end of a text
-            _, n = summed(every, np.concatenate([_unpacked(r["tokens"], r["size"], "<i4").astype(np.int64) for _, _, r in listed]))
-            of = keys >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            sums = np.add.reduceat(n, first)
-            vocabulary, total = int((sums > 0).sum()), int(sums.sum())
-            words = np.repeat(sums, np.diff(np.append(first, len(keys))))
-        del every
+        keys, totals = summed(np.concatenate([k for _, k, _ in listed]), np.concatenate([n for _, _, n in listed]).astype(np.int64))
+        others = lengths = ends = np.zeros(0, np.int64)
+        if context == CONTEXTS:
+            vocabulary, total = int((totals > 0).sum()), int(totals.sum())
+        else:
+            totals, others = paths(keys, totals, code)
+            lengths = code.length[(keys & np.uint64(255)).astype(np.int64)]
+            ends = np.cumsum(lengths)
         for chunk, wanted, _ in listed:
             at = np.searchsorted(keys, wanted)
-            size = lengths[at]
-            flat = np.repeat(ends[at] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append((chunk, context, len(wanted), _pack_keys(wanted), _packed(totals[at], "<i8"), len(flat), _packed(others[flat], "<i8"), None if words is None else _packed(words[at], "<i8"), None, None))
-    out.append((-1, *[None] * 7, vocabulary, total))
+            flat = at[:0]
+            if context < CONTEXTS:
+                size = lengths[at]
+                flat = np.repeat(ends[at] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append((chunk, context, len(wanted), _pack_keys(wanted), _packed(totals[at], "<i8"), len(flat), _packed(others[flat], "<i8"), None, None))
+    out.append((-1, *[None] * 6, vocabulary, total))
     return pa.Table.from_batches([_batch(_ANSWERS, out)])
 
 
@@ -175,17 +169,14 @@ def _scored(answers: pa.Table, chunk: pa.Table, code: Code) -> pa.Table:
     rows, out = answers.to_pylist(), []
     if not chunk.num_rows:
         return pa.Table.from_batches([_batch(_SCORED, [(*[None] * 8, sum(r["words"] for r in rows), sum(r["total"] for r in rows))])])
-    known, tokens = [], np.zeros(0, np.int64)
-    for context in range(CONTEXTS):
-        some = [r for r in rows if r["context"] == context]
-        keys = np.concatenate([np.zeros(0, np.uint64), *[_unpack_keys(r["keys"], r["size"]) for r in some]])
-        known.append(Known(keys, np.concatenate([np.zeros(0, np.uint16), *[_decisions(r, code) for r in some]]), code))
-        if context == CONTEXTS - 1:
-            tokens = np.concatenate([tokens, *[_unpacked(r["tokens"], r["size"], "<i8") for r in some]])
-    del rows, some, answers
+    of = [[r for r in rows if r["context"] == context] for context in range(CONTEXTS + 1)]
+    keys = [np.concatenate([np.zeros(0, np.uint64), *[_unpack_keys(r["keys"], r["size"]) for r in some]]) for some in of]
+    known = [Known(k, np.concatenate([np.zeros(0, np.uint16), *[_decisions(r, code) for r in some]]), code) for k, some in zip(keys[:-1], of[:-1], strict=True)]
+    words, tokens = Slots(keys[-1]), np.concatenate([np.zeros(0, np.int64), *[_unpacked(r["totals"], r["size"], "<i8") for r in of[-1]]])
+    del rows, of, keys, answers
     c = {k: chunk.column(k)[0].as_py() for k in ("text", "bytes", "lengths", "kinds", "docs")}
     stream = _stream(c["text"], c["bytes"], c["lengths"], c["kinds"])
-    sums = score(stream, code, known, tokens)
+    sums = score(stream, code, known, words, tokens)
     docs, lengths = np.frombuffer(c["docs"], np.int64).reshape(-1, 2), np.frombuffer(c["lengths"], np.int64)
     ends = (stream.raw[np.cumsum(lengths) - 1] == 10).astype(np.int32)
     out = [docs[:, 0], docs[:, 1], sums["words"].astype(np.int64), sums["known"].astype(np.int64), sums["logs"], sums["score"], lengths - len(BEFORE), ends]
@@ -199,7 +190,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Scores are log10 probabilities: base_score of the lower-cased (A-Z) words and the end, score of the bytes of the lower-cased words with a blank between, and
     the end. A training text's byte is scored by all other training bytes, a held-out one's by all. Null texts count as empty: the end
     alone. Null ids are learned from. If nothing is learned from, no token is known and every decision has an even chance. An empty
-    table gives no rows; other columns are not read. Words are told apart by 56 bits of a hash.
+    table gives no rows; other columns are not read. Words are told apart by 64 bits of a hash.
     """
     held, taught = crc_of(F.col("doc_id")) % FOLDS == HELD_OUT, crc_of(F.col("doc_id")) % TAUGHT_OF == 1
     keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -207,8 +198,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     read = keyed.select(*ROW_KEY, F.when(held, HELD).when(taught, TAUGHT).otherwise(COUNTED).alias("kind"), "text")
     files = keyed._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).stats().sizeInBytes()
     size = 2 * int(str(files))  # texts take twice the files' bytes or less
-    most = min(CHUNK_BYTES, max(LEAST_BYTES, size // CHUNKS))
-    chunked = materialise(read.coalesce(max(1, size // most)).mapInArrow(lambda b: _chunked(b, most), _CHUNKS), "chunks")
+    about = min(CHUNK_BYTES, max(LEAST_BYTES, size // CHUNKS))
+    # a task reads about a chunk, which closes before the task ends only if the files' splits are much larger
+    chunked = materialise(read.coalesce(max(1, size // about)).mapInArrow(lambda b: _chunked(b, about * 3 // 2), _CHUNKS), "chunks")
     counts = {r["at"]: r["n"] for r in chunked.select(F.posexplode("histogram").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()}
     code = Code(np.array([counts.get(b, 0) for b in range(256)]))
     chunks = max(1, chunked.count())
