@@ -37,7 +37,7 @@ _SCORED = "f long, i long, words long, known long, logs double, score double, by
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
     """An array, its bytes sorted by significance and compressed."""
-    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T)
     return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
