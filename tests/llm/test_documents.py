@@ -448,13 +448,26 @@ def test_lm_chunks_share_counts(spark, docs, monkeypatch):
         assert a[:7] == r[:7] and a.base_score == pytest.approx(r.base_score) and r.score == pytest.approx(a.score, rel=0.5)
 
 
-def test_toxicity(spark, sf, awkward, empty, docs):
-    from weftline.llm.toxicity import drop_toxic, matched, toxicity
+def test_toxic_grammar():
+    from weftline.llm.toxicity import Lexicon, matched, trigger
 
-    found = lambda t: {k for k, v in matched(t).items() if v}
-    assert found("You are an idiot.") == {"aimed_insult"} and found("He is not an idiot.") == {"denied_insult"}
+    plain = Lexicon()
+    found = lambda t: {k for k, v in matched(t, plain).items() if v and k not in ("weight", "words")}
+    weight = lambda t, x=plain: matched(t, x)["weight"]
+    assert found("You are an idiot.") == {"aimed_insult"} and found("He is not an idiot.") == {"denied_insult"} and found("he isn't an idiot") == {"denied_insult"}
     assert found("She said that he is a moron.") == {"reported_insult"} and found("trash") == {"insult"} and found("nothing here") == set()
-    assert found("I will kill you") == {"aimed_threat"} and found("we will kill the process") == {"threat"} and found(None) == set()
+    assert found("I will kill you") == found("I'll kill you") == found("I’ll kill you") == {"aimed_threat"} and found("we will kill the process") == {"threat"} and found(None) == set()
+    assert found("you're an idiot") == {"aimed_insult"} and found("l'idiot") == {"insult"} and found("_idiot_") == {"insult"} and found("idiotx") == set()
+    # weights add along a path: the word's and the transitions'
+    assert weight("You are an idiot") == 3.0 and weight("an idiot") == 2.0 and weight("not an idiot") == -0.5 and weight("said an idiot") == pytest.approx(0.3)
+    assert weight("I will kill you") == pytest.approx(2.5) and weight("idiot. " * 50) == 100.0
+    learned = Lexicon({"zwyr": 1.5, "zwyrlo": 3.0})
+    assert weight("zwyrk zwyrlox", learned) == 4.5 and weight("you zwyrk", learned) == 2.5 and trigger(["ab"]).search("x_abc") and not trigger(["ab"]).search("xabc")
+
+
+def test_toxicity(spark, sf, awkward, empty, docs):
+    from weftline.llm.toxicity import drop_toxic, toxicity
+
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     odd = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     for df, known in ((awkward, odd), (docs, labels), (awkward, odd.where("false"))):
@@ -463,12 +476,26 @@ def test_toxicity(spark, sf, awkward, empty, docs):
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
         assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) for r in got)
         kept = drop_toxic(df, known)
-        assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in got)
+        assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.predicted)
     assert toxicity(empty, labels).count() == 0 and drop_toxic(empty, labels).count() == 0
 
 
+def test_toxicity_by_language_on_held_out_rows(spark):
+    """On a real table: most toxic rows of each language with rows enough to learn from, and hardly a clean one."""
+    from weftline.llm.toxicity import toxicity
+
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert sum(clean) <= 0.01 * len(clean)
+    for lang in ("en", "fr", "de", "es"):
+        toxic = [r.predicted for r in rows if r.toxic and r.lang == lang]
+        assert len(toxic) >= 10 and sum(toxic) >= 0.8 * len(toxic), (lang, sum(toxic), len(toxic))
+
+
 def test_toxicity_learns_stems_and_is_right_on_held_out_rows(spark):
-    from weftline.llm.toxicity import learn_stems, toxicity
+    from weftline.llm.toxicity import _sampled, learn_stems, toxicity
 
     random.seed(2)
     ends = ["a", "en", "ung", "lich", "or", "ist", "um"]
@@ -481,7 +508,8 @@ def test_toxicity_learns_stems_and_is_right_on_held_out_rows(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     d, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    assert any(s.startswith("zwyrl"[:4]) for s in learn_stems(d, known))
+    stems = learn_stems(d, _sampled(known, "doc_id", "toxic", 1000))
+    assert any(s.startswith("zwyr") for s in stems) and all(w > 0 for w in stems.values())
     got = toxicity(d, known).where("held_out").join(known, "doc_id").collect()
     assert len(got) > 50 and all(r.predicted == r.toxic for r in got)
 
