@@ -25,9 +25,9 @@ BEFORE = b"\n" * 8
 #: What a byte's text is to the model: counted, learned from by weights and map, or held out.
 COUNTED, TAUGHT, HELD = 0, 1, 2
 #: Places that are looked at together, bytes between two steps of learning, bytes whose decisions are laid out at once.
-BLOCK, BATCH, LAID_OUT = 1 << 21, 512, 1 << 14
+BLOCK, BATCH, LAID_OUT = 1 << 20, 512, 1 << 14
 #: What is added to counts; first weight; rates of the weights and of the map; what a cell of the map counts for at first.
-ADDED, FIRST, RATE, PRIOR = 0.02, 0.3, 0.06, 20.0
+ADDED, FIRST, RATE, PRIOR = 0.02, 0.35, 0.03, 20.0
 #: Cells of the map on each side of zero, and cells for one unit of the stretched probability.
 REACH, CELLS = 16, 2
 #: Counts are told apart up to this one, then by so many steps for a factor of two.
@@ -148,15 +148,37 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts[order], starts)
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and how often each occurs."""
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+
+
 def counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with how often learned is true there."""
-    out, n = [], []
-    for use in (True, False):
-        some = np.sort(keys[learned == use])
-        starts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
-        out.append(some[starts])
-        n.append(np.diff(np.append(starts, len(some))) if use else np.zeros(len(starts), np.int64))
-    return summed(np.concatenate(out), np.concatenate(n))
+    merged = _Sums()
+    merged.add(*_runs(np.sort(keys[learned])))
+    rest, _ = _runs(np.sort(keys[~learned]))
+    merged.add(rest, np.zeros(len(rest), np.int64))
+    return merged.keys, merged.counts
+
+
+class _Sums:
+    """Distinct keys, in order, with the sums of their counts."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds distinct keys in order."""
+        if not len(self.keys):
+            self.keys, self.counts = keys, counts
+            return
+        at = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        self.counts[at[known]] += counts[known]
+        new = ~known
+        self.keys, self.counts = np.insert(self.keys, at[new], keys[new]), np.insert(self.counts, at[new], counts[new])
 
 
 def paths(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -364,25 +386,6 @@ class Stream:
         return ended, word_hashes(self.raw[begin : at + first + len(inside)], ended + at + first - begin) if len(ended) else np.zeros(0, np.uint64)
 
 
-class _Sums:
-    """Distinct keys with sums of their counts, from many parts; what is new is merged once it is as long as what is there."""
-
-    def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.new.append((keys, counts))
-        if sum(len(k) for k, _ in self.new) > len(self.keys):
-            self.all()
-
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.new:
-            self.keys, self.counts = summed(np.concatenate([self.keys, *[k for k, _ in self.new]]), np.concatenate([self.counts, *[n for _, n in self.new]]))
-            self.new = []
-        return self.keys, self.counts
-
-
 def census(stream: Stream, code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context its distinct keys, in order, and how often each occurs in COUNTED texts; then the same of words, in texts that aren't HELD."""
     parts = [_Sums() for _ in range(CONTEXTS + 1)]
@@ -392,7 +395,7 @@ def census(stream: Stream, code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
             of.add(*counted(k[inside], kind[inside] == COUNTED))
         ended, words = stream.words(at, inside)
         parts[-1].add(*counted(words, kind[ended] != HELD))
-    return [of.all() for of in parts]
+    return [(of.keys, of.counts) for of in parts]
 
 
 def distinct(keys: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
