@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
-from weftline.operators.metrics import per_entity, summary_columns
+from weftline.operators.metrics import f_beta, per_entity, summary_columns
 
 
 def _owned(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -27,16 +27,16 @@ def decide(pred: DataFrame, threshold: float, relative: float = 0.0) -> DataFram
 
 
 def _expected_sets(owned: DataFrame, alpha, keys: Sequence[str] = ()) -> DataFrame:
-    """Prefixes of each S1's candidates by falling p that maximise the expected F0.5, where that beats predicting nothing."""
+    """Of each S1 the likeliest candidates, as many as maximise the expected F0.5, where that beats predicting nothing (which is right if no candidate is)."""
     group = W.partitionBy(*keys, "s1")
-    order = group.orderBy(F.desc("p"), "c")
-    x = owned.withColumns({
-        "k": F.row_number().over(order), "cum": F.sum("p").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "et": F.sum("p").over(group) * (1 + alpha),
-        "p0": F.exp(F.sum(F.log(F.greatest(F.least(1 - F.col("p"), F.lit(1.0)), F.lit(1e-12)))).over(group)),
-    })
-    x = x.withColumn("ef", 1.25 * F.col("cum") / (F.col("k") + 0.25 * F.col("et")))
-    x = x.withColumns({"efmax": F.max("ef").over(group), "kbest": F.min(F.struct(-F.col("ef"), F.col("k").alias("k"))).over(group)})
-    return x.where((F.col("efmax") > F.col("p0")) & (F.col("k") <= F.col("kbest.k"))).select(*keys, "s1", "c")
+    ranked = group.orderBy(F.desc("p"), "c")
+    sure_hits = F.sum("p").over(ranked.rowsBetween(W.unboundedPreceding, W.currentRow))
+    wanted = F.sum("p").over(group) * (1 + alpha)
+    nothing = F.exp(F.sum(F.log(F.greatest(F.least(1 - F.col("p"), F.lit(1.0)), F.lit(1e-12)))).over(group))
+    value = (1.25 * F.col("_hits") / (F.col("_place") + 0.25 * F.col("_wanted"))).alias("value")
+    x = owned.withColumns({"_place": F.row_number().over(ranked), "_hits": sure_hits, "_wanted": wanted, "_nothing": nothing})
+    x = x.withColumn("_best", F.max(F.struct(value, (-F.col("_place")).alias("place"))).over(group))
+    return x.where((F.col("_best.value") > F.col("_nothing")) & (F.col("_place") <= -F.col("_best.place"))).select(*keys, "s1", "c")
 
 
 def decide_expected(pred: DataFrame, alpha: float = 0.0, floor: float = 0.05) -> DataFrame:
@@ -55,27 +55,32 @@ def baselines(pairs: DataFrame) -> dict[str, DataFrame]:
     return {"B0": pairs.where("false"), "B1": pairs, "B2": alone, "B3": alone.where("num_ok or b_addr_null")}
 
 
-def _over_grid(grid: DataFrame, keys: Sequence[str], decided: DataFrame, true: DataFrame, base: DataFrame) -> DataFrame:
-    every = base.select("s1").crossJoin(F.broadcast(grid))  # a row of the grid for each setting
-    return per_entity(decided, true, every, keys=keys).groupBy(*keys).agg(*summary_columns())
-
-
 def tune(pred: DataFrame, true: DataFrame, base: DataFrame, thresholds: Sequence[float] = DEFAULT.thresholds, relatives: Sequence[float] = DEFAULT.relatives) -> DataFrame:
-    """The summary of decide() for each (thr, rel), all settings in one plan."""
-    spark = pred.sparkSession
-    grid = spark.createDataFrame([(float(t), float(r)) for r in relatives for t in thresholds], "thr double, rel double")
-    keys = ["thr", "rel"]
-    over = pred.crossJoin(F.broadcast(grid)).where("p >= thr").withColumn("_m", F.max("p").over(W.partitionBy(*keys, "s1"))).where("p >= rel * _m").drop("_m")
-    return _over_grid(grid, keys, _owned(over, keys), true, base)
+    """The summary of decide() for each (thr, rel), all settings in one plan.
+
+    The relative cut and the owner of a record don't depend on the threshold, so pairs are ranked once for each relative; the thresholds only count
+    an S1's decided pairs and hits, which is done in one aggregation. Entities, not pairs, are multiplied by the settings.
+    """
+    each = lambda values, name: F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name)
+    best = F.max("p").over(W.partitionBy("s1"))
+    cut = pred.select("s1", "c", "p").distinct().withColumn("_m", best).select("s1", "c", "p", "_m", each(relatives, "rel")).where("p >= rel * _m")
+    hits = _owned(cut.drop("_m"), ["rel"]).join(true.select("s1", "c", F.lit(1).alias("hit")).distinct(), ["s1", "c"], "left")
+    counts = [F.struct(F.lit(float(t)).alias("thr"), F.count(F.when(F.col("p") >= t, 1)).alias("n_pred"), F.count(F.when(F.col("p") >= t, F.col("hit"))).alias("tp")) for t in thresholds]
+    nothing = [F.struct(F.lit(float(t)).alias("thr"), F.lit(0).cast("long").alias("n_pred"), F.lit(0).cast("long").alias("tp")) for t in thresholds]
+    got = hits.groupBy("rel", "s1").agg(F.array(*counts).alias("by"))
+    want = true.select("s1", "c").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+    entities = base.select("s1", each(relatives, "rel")).join(got, ["rel", "s1"], "left").join(want, "s1", "left").fillna(0, ["n_true"])
+    every = entities.select("s1", "rel", "n_true", F.inline(F.coalesce("by", F.array(*nothing))))
+    return every.withColumn("f", f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))).groupBy("thr", "rel").agg(*summary_columns())
 
 
 def tune_expected(pred: DataFrame, true: DataFrame, base: DataFrame, alphas: Sequence[float] = DEFAULT.alphas, floors: Sequence[float] = DEFAULT.floors) -> DataFrame:
-    """The summary of decide_expected() for each (alpha, floor), all settings in one plan."""
-    spark = pred.sparkSession
-    grid = spark.createDataFrame([(float(a), float(f)) for a in alphas for f in floors], "alpha double, floor double")
+    """The summary of decide_expected() for each (alpha, floor), all settings in one plan. A record's owner doesn't depend on them; only owned pairs, one for each record, are multiplied."""
+    grid = pred.sparkSession.createDataFrame([(float(a), float(f)) for a in alphas for f in floors], "alpha double, floor double")
     keys = ["alpha", "floor"]
-    owned = _owned(pred.crossJoin(F.broadcast(grid)).where("p >= floor"), keys)
-    return _over_grid(grid, keys, _expected_sets(owned, F.col("alpha"), keys), true, base)
+    decided = _expected_sets(_owned(pred).crossJoin(F.broadcast(grid)).where("p >= floor"), F.col("alpha"), keys)
+    every = base.select("s1").crossJoin(F.broadcast(grid))  # a row of the grid for each setting
+    return per_entity(decided, true, every, keys=keys).groupBy(*keys).agg(*summary_columns())
 
 
 def best_rule(pred: DataFrame, true: DataFrame, base: DataFrame) -> tuple[str, float, float]:

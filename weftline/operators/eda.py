@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,18 @@ def hash_order_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 1)
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
 
 
+def with_replacement(df: DataFrame, keys: Sequence[str], share: float, seed: int = 1) -> DataFrame:
+    """Rows drawn with replacement, about `share` times as many: each comes as often as a Poisson draw from its keys' digest says, the same on every run and cluster. A sample is the feature here."""
+    u = (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    most = int(share + 12 * share**0.5 + 12)
+    upto, chance = [], math.exp(-share)
+    for k in range(most):
+        upto.append((upto[-1] if upto else 0.0) + chance)
+        chance *= share / (k + 1)
+    times = sum((F.when(u >= t, 1).otherwise(0) for t in upto[1:]), F.when(u >= upto[0], 1).otherwise(0))
+    return df.withColumn("_t", times).where("_t > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), "_t"))).drop("_t")
+
+
 def clusters(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each S1 that has matches, with its name and its members' names in order of ids."""
     members = pairs.join(records.select(F.col("id").alias("c"), F.col("business_name").alias("member")), "c")

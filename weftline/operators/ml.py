@@ -1,19 +1,21 @@
-"""Learned scoring with MLlib: boosted trees over pair features, logistic blends, a stacker, and a hook for pair scorers."""
+"""Learned scoring with MLlib: boosted trees over pair features, logistic blends, a stacker over several models' scores, and scoring of pairs by any callable."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
-from weftline.operators.features import FEATURES, blend_features
+from weftline.operators.features import FEATURES, blend_features, stack_features
 
 
 class PairScorer(Protocol):
@@ -81,3 +83,47 @@ def hard_pairs(rated: DataFrame, true: DataFrame, top: int = 10) -> DataFrame:
     best = best_candidates(rated, top, 0).select("s1", "c")
     blocked = rated.select("s1", "c").join(true.select("s1", "c"), ["s1", "c"], "left_semi")
     return labelled(best.unionByName(blocked).distinct(), true)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Writes a fitted model, in place of what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def best_predictions(model: PipelineModel, features: DataFrame, least: float = 0.01, top: int = 10) -> DataFrame:
+    """predict(), and of each S1 the `top` likeliest candidates only (smaller ids first among equals)."""
+    rank = F.row_number().over(W.partitionBy("s1").orderBy(F.desc("p"), "c"))
+    return predict(model, features, least).withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
+
+
+def stack_columns(models: Sequence[str]) -> list[str]:
+    """The columns of stack_features() that the stacker reads."""
+    return ["lp", "n_top", "lp_rank", "lp_gap", *[f"{m}{x}" for m in models for x in ("", "_rank", "_gap", "_vs2nd")]]
+
+
+def fit_stacker(scores: DataFrame, models: Sequence[str], rounds: int = 60, depth: int = 4, seed: int = 7) -> PipelineModel:
+    """Boosted trees over p and several models' scores in the context of an S1's other candidates. scores: s1, c, p, the models' columns and y."""
+    return fit_matcher(stack_features(scores, models).fillna(0.0), stack_columns(models), rounds, depth, seed)
+
+
+def stacked(model: PipelineModel, scores: DataFrame, models: Sequence[str]) -> DataFrame:
+    """s1, c, p by the stacker."""
+    return predict(model, stack_features(scores, models).fillna(0.0), 0.0)
+
+
+def scored_by(pairs: DataFrame, score: Callable[[list[str], list[str]], Sequence[float]], name: str, batch: int = 256) -> DataFrame:
+    """pairs (s1, c, a_text, b_text) to s1, c and a column of scores from any callable over batches of texts, such as a cross-encoder that each Python worker loads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                some = rows.slice(at, batch)
+                values = score(*[[t or "" for t in some.column(i).to_pylist()] for i in (2, 3)])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([float(v) for v in values], pa.float64())], names=["s1", "c", name])
+
+    schema = f"s1 {pairs.schema['s1'].dataType.simpleString()}, c {pairs.schema['c'].dataType.simpleString()}, {name} double"
+    return pairs.select("s1", "c", "a_text", "b_text").mapInArrow(run, schema)

@@ -28,17 +28,21 @@ def weighted(records: DataFrame, text: str, n: int = 3) -> DataFrame:
 
 
 def rare_prefix(vectors: DataFrame, least: float) -> DataFrame:
-    """The rarest grams of each vector, without the most frequent ones whose weights together can't reach a cosine of `least`.
+    """The rarest grams of each vector, without the most frequent ones that together can't give a cosine of `least` with any vector of the country.
 
-    Two vectors that reach it share a gram of both prefixes: the rarest that they share. Frequent grams, whose postings are long, drop out.
+    What they can give is bounded by their length, and by their weights times the largest weight that any vector has there; the smaller bound counts. Two vectors that
+    reach `least` share a gram of both prefixes: the rarest that they share. Frequent grams, whose postings are long, drop out.
     """
-    upto = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("country", "id").orderBy(F.desc("df"), "gram").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return vectors.withColumn("_upto", upto).where(F.col("_upto") >= (least - 1e-6) ** 2).drop("_upto")
+    largest = vectors.groupBy("country", "gram").agg(F.max("w").alias("_most"))
+    upto = W.partitionBy("country", "id").orderBy(F.desc("df"), "gram").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bounded = vectors.join(largest, ["country", "gram"]).withColumn("_upto", F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(upto)), F.sum(F.col("w") * F.col("_most")).over(upto)))
+    return bounded.where(F.col("_upto") >= least - 1e-6).drop("_upto", "_most")
 
 
 def _dot(a: str, b: str) -> Column:
-    """The inner product of two vectors given as maps from gram to weight."""
-    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at(F.col(b), e["key"]), F.lit(0.0)))
+    """The inner product of two vectors given as maps from gram to weight: only what they share is looked up."""
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    return F.aggregate(shared, F.lit(0.0), lambda total, g: total + F.element_at(F.col(a), g) * F.element_at(F.col(b), g))
 
 
 def nearest(records: DataFrame, text: str = "doc", top: int = DEFAULT.tfidf_top, least: float = DEFAULT.tfidf_cosine, n: int = 3, digits: int = 9) -> DataFrame:
@@ -55,9 +59,11 @@ def nearest(records: DataFrame, text: str = "doc", top: int = DEFAULT.tfidf_top,
     prefix = rare_prefix(postings, least).select("country", "gram", "id")
     asked = named.where("src = 1").select("country", text, "id", "state").join(one, ["country", text])
     held = named.where("src <> 1").select("country", text, "id", "state").join(one, ["country", text])
-    left = prefix.withColumnRenamed("id", "a").join(asked.select("country", F.col("of").alias("a")).distinct(), ["country", "a"], "left_semi")
-    right = prefix.withColumnRenamed("id", "b").join(held.select("country", F.col("of").alias("b")).distinct(), ["country", "b"], "left_semi")
-    met = left.join(right, ["country", "gram"]).select("country", "a", "b").distinct()
+    # the state is part of the key: candidates stand under their own or under none, and are asked for under the S1's own and under none
+    under, none = F.coalesce("state", F.lit("")), F.lit("")
+    left = asked.select("country", F.col("of").alias("a"), F.explode(F.array_distinct(F.array(under, none))).alias("under")).distinct().join(prefix.withColumnRenamed("id", "a"), ["country", "a"])
+    right = held.select("country", F.col("of").alias("b"), under.alias("under")).distinct().join(prefix.withColumnRenamed("id", "b"), ["country", "b"])
+    met = left.join(right, ["country", "under", "gram"]).select("country", "a", "b").distinct()
     both = met.join(whole.select("country", F.col("id").alias("a"), F.col("v").alias("va")), ["country", "a"]).join(whole.select("country", F.col("id").alias("b"), F.col("v").alias("vb")), ["country", "b"])
     close = both.select("country", "a", "b", F.round(_dot("va", "vb"), digits).alias("tf_cos")).where(F.col("tf_cos") >= least)
     s1 = asked.select("country", F.col("of").alias("a"), F.col("id").alias("s1"), F.col("state").alias("s1_state"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.io import with_row_index
+
 HEADERS = {"matches": ("source1_entity_id", "matched_entity_ids"), "candidates": ("source1_entity_id", "candidate_entity_ids")}
-FINDING = ["rule", "severity", "n", "example"]
+FINDINGS = "rule string, severity string, n long, example string"
 
 
 def _finding(bad: DataFrame, rule: str, severity: str, example: Column) -> DataFrame:
@@ -41,6 +43,31 @@ def check_lists(lists: DataFrame, required: DataFrame, known: DataFrame | None =
     return reduce(DataFrame.unionByName, out)
 
 
+def check_file(spark: SparkSession, path: str, kind: str = "matches") -> DataFrame:
+    """Findings of a result file before its rows are read: missing_file, empty_file, those of the header, and lines without a tab with the number of the first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([("missing_file", "fatal", 1, path)], FINDINGS)
+    lines = with_row_index(spark.read.text(path), "line")
+    first = lines.where("line = 0").first()
+    if first is None:
+        return spark.createDataFrame([("empty_file", "fatal", 1, path)], FINDINGS)
+    header = spark.createDataFrame([(rule, severity, 1, first["value"]) for rule, severity in check_header(first["value"], kind)], FINDINGS)
+    untabbed = lines.where((F.col("line") > 0) & ~F.contains("value", F.lit("\t")))
+    return header.unionByName(_finding(untabbed, "line_without_tab", "error", F.lpad((F.col("line") + 1).cast("string"), 12, " ")).withColumn("example", F.trim("example")))
+
+
+def quick_checks(lists: DataFrame, ids: str = "matched_entity_ids") -> DataFrame:
+    """One row of plain counts for a look at a result: rows, distinct S1s, rows without ids, ids, distinct ids, ids in several rows, most and mean ids in a row."""
+    sized = lists.withColumn("_ids", F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), F.trim), lambda x: x != ""))
+    rows = sized.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("source1_entity_id").alias("entities"), F.count(F.when(F.size("_ids") == 0, 1)).alias("empty"), F.sum(F.size("_ids")).alias("ids"),
+        F.max(F.size("_ids")).alias("most"), F.avg(F.size("_ids").cast("double")).alias("mean"),
+    )
+    uses = sized.select(F.explode("_ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("distinct_ids"), F.count(F.when(F.col("n") > 1, 1)).alias("shared_ids"))
+    return rows.crossJoin(uses)  # a row each
+
+
 def check_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """A warning with the matches that are no candidates."""
     def pairs(df: DataFrame, ids: str) -> DataFrame:

@@ -26,8 +26,18 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that several passes of one plan read: normalised once, kept in memory and on disk."""
-    return _records(spark, sf_dir).persist()
+    """Records that several passes of one plan read: normalised once, kept in memory and on disk until those of another folder are."""
+    if (spark, sf_dir) not in _STAGED:
+        for old in _STAGED.values():
+            if old.sparkSession == spark:
+                old.unpersist()
+        _STAGED.clear()
+        _STAGED[spark, sf_dir] = _records(spark, sf_dir).persist()
+    return _STAGED[spark, sf_dir]
+
+
+#: The records that are kept, by session and folder: one frame at most.
+_STAGED: dict[tuple[SparkSession, str], DataFrame] = {}
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +300,7 @@ nn AS (SELECT country, s1, c, tf_cos, row_number() OVER (PARTITION BY country, s
 
 
 def _tfidf(spark, sf_dir):
-    r = _records(spark, sf_dir).withColumn("doc", F.concat_ws(" ", F.array_join("name_core", " "), F.coalesce("addr_str", F.lit(""))))
+    r = _stage(spark, sf_dir).withColumn("doc", F.concat_ws(" ", F.array_join("name_core", " "), F.coalesce("addr_str", F.lit(""))))
     return tfidf.nearest(r)
 
 

@@ -23,9 +23,14 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, so that what depends on the order or cut of its partitions is the same wherever it is used: in the checkpoint folder if there is one, else kept."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Adds the row's position in reading order: the partitions' row counts are summed, no row moves to one task."""
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    placed = settled(df.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -73,3 +78,41 @@ def line_check(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
 def report_json(df: DataFrame) -> str:
     """A small report frame as JSON; other scripts are kept as they are. For summaries of a few rows."""
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=1, ensure_ascii=False, default=str)
+
+
+def shards(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a glob, in order, on any file system Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(f.getPath().toString() for f in found)
+
+
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a file or folder, also between file systems; what is at the target is replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """Rows of several frames by column names; columns that one lacks are null."""
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def load_split(spark: SparkSession, root: str, split: str, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of a split's three sources (tables <split>_source1 to 3 under root), with the source's number, and its truth (<split>_ground_truth; empty if there is none).
+
+    Ids must be unique over all sources; if some are not, it is an error that names one.
+    """
+    tables = [find_stage(spark, f"{split}_source{n}", [root]) for n in (1, 2, 3)]
+    if None in tables:
+        raise FileNotFoundError(f"{split}_source{tables.index(None) + 1} below {root}")
+    rows = union_all([read_stage(spark, path, columns).withColumn("src", F.lit(n)) for n, path in enumerate(tables, 1)])
+    twice = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['entity_id']} stands for {twice['n']} records")
+    truth = find_stage(spark, f"{split}_ground_truth", [root])
+    return rows, read_stage(spark, truth) if truth else spark.createDataFrame([], TRUTH)
