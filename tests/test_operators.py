@@ -197,3 +197,91 @@ def test_set_features_of_missing_addresses(spark):
         assert (r.addr_j, r.addr_cont, r.num_inter, r.num_trunc, r.num_conflict) == (overlap, overlap, int(overlap), bool(overlap), False)
         assert r.core_j == 1 and all(r[f] is not None for f in FEATURES if f in r.asDict())
     assert (made[2].a_addr_n, made[2].b_addr_n, made[2].a_num_n, made[2].state_rel, made[4].state_rel, made[4].m5) == (0, 2, 0, -1, 1, True)
+
+
+def test_splits_shards_copies_and_unions(spark, tmp_path):
+    from weftline.sources import io
+
+    row = "entity_id string, business_name string, business_address string, country string"
+    for n in (1, 2, 3):
+        io.write_stage(spark.createDataFrame([(f"S{n}-1", "a", None, "x"), (f"S{n}-2", "b", "1 road", "x")], row), f"file://{tmp_path}/train_source{n}")
+    records, truth = io.load_split(spark, f"file://{tmp_path}", "train", ["entity_id", "country"])
+    assert sorted((r.entity_id, r.src) for r in records.collect()) == [(f"S{n}-{k}", n) for n in (1, 2, 3) for k in (1, 2)] and truth.isEmpty()
+    assert [p.rpartition("/")[2] for p in io.shards(spark, f"file://{tmp_path}/train_source*")] == ["train_source1", "train_source2", "train_source3"] and io.shards(spark, f"file://{tmp_path}/none*") == []
+    io.copy_file(spark, f"file://{tmp_path}/train_source1", f"file://{tmp_path}/copy")
+    assert spark.read.parquet(f"file://{tmp_path}/copy").count() == 2
+    io.write_stage(spark.createDataFrame([("S1-1", "a", None, "x")], row), f"file://{tmp_path}/train_source3")
+    with pytest.raises(ValueError, match="S1-1"):
+        io.load_split(spark, f"file://{tmp_path}", "train")
+    with pytest.raises(FileNotFoundError):
+        io.load_split(spark, f"file://{tmp_path}", "test")
+    both = io.union_all([spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2.5, 3)], "c double, a int")])
+    assert sorted(map(tuple, both.collect()), key=str) == [(1, "x", None), (3, None, 2.5)]
+
+
+def test_row_index_of_sorted_rows_with_ties(spark):
+    from weftline.sources.io import with_row_index
+
+    rows = with_row_index(spark.range(1000).selectExpr("id % 7 as k", "id").repartition(6).orderBy("k")).collect()
+    assert sorted(r.row_idx for r in rows) == list(range(1000)) and [r.k for r in sorted(rows, key=lambda r: r.row_idx)] == sorted(i % 7 for i in range(1000))
+
+
+def test_samples_with_replacement(spark):
+    from weftline.operators.eda import with_replacement
+
+    df = spark.range(4000)
+    a, b = ([r.id for r in with_replacement(df.repartition(n), ["id"], 2.0).collect()] for n in (2, 5))
+    assert sorted(a) == sorted(b) and 7500 < len(a) < 8500 and len(set(a)) < 4000 * 0.9
+    assert with_replacement(df.limit(0), ["id"], 2.0).count() == 0
+
+
+def test_matchers_are_saved_stacked_and_cut(spark, tmp_path):
+    from weftline.operators import ml
+
+    rows = [(s, 100 + c, float((s * 7 + c * 3) % 10) / 10, float((s + c) % 5) / 5, float((s * 7 + c * 3) % 10 >= 6)) for s in range(60) for c in range(12)]
+    scores = spark.createDataFrame(rows, "s1 long, c long, p double, ce double, y double")
+    model = ml.fit_matcher(scores, ["p", "ce"], rounds=5, depth=2)
+    ml.save_model(model, f"file://{tmp_path}/model")
+    best = ml.best_predictions(ml.load_model(f"file://{tmp_path}/model"), scores, top=3).collect()
+    assert sorted(map(tuple, best)) == sorted(map(tuple, ml.best_predictions(model, scores, top=3).collect()))
+    assert all(len([r for r in best if r.s1 == s]) == 3 for s in range(60))
+    y = {(s, c): t for s, c, _, _, t in rows}
+    by_stack = ml.stacked(ml.fit_stacker(scores, ["ce"], rounds=5, depth=2), scores, ["ce"]).collect()
+    assert len(by_stack) == len(rows) and min(r.p for r in by_stack if y[r.s1, r.c]) > max(r.p for r in by_stack if not y[r.s1, r.c])
+    texts = spark.createDataFrame([(1, 2, "ab", "abc"), (1, 3, None, "x")], "s1 long, c long, a_text string, b_text string")
+    assert sorted(map(tuple, ml.scored_by(texts, lambda a, b: [len(x) - len(z) for x, z in zip(a, b)], "ce", batch=1).collect())) == [(1, 2, -1.0), (1, 3, -1.0)]
+
+
+def test_result_files_and_quick_checks(spark, tmp_path):
+    from weftline.operators.validate import check_file, quick_checks
+
+    good = "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1, S2-2\nS1-2\t\nS1-3\tS2-1\n"
+    cases = {"good": (good, []), "empty": ("", ["empty_file"]), "header": (good.replace("matched", "m"), ["wrong_header"]), "comma": ("a,b\n", ["header_not_tab_separated"]), "lines": (good + "S1-4\nS1-5\n", ["line_without_tab"])}
+    for name, (text, rules) in cases.items():
+        (tmp_path / name).write_text(text)
+        found = check_file(spark, f"file://{tmp_path}/{name}").where("n > 0").collect()
+        assert [r.rule for r in found] == rules
+        assert name != "lines" or (found[0].n, found[0].example) == (2, "5")
+    assert check_file(spark, f"file://{tmp_path}/none").first().rule == "missing_file"
+    lists = spark.createDataFrame([("S1-1", "S2-1, S2-2"), ("S1-2", None), ("S1-3", "S2-1")], "source1_entity_id string, matched_entity_ids string")
+    r = quick_checks(lists).first()
+    assert (r.rows, r.entities, r.empty, r.ids, r.most, r.distinct_ids, r.shared_ids) == (3, 3, 1, 3, 2, 2, 1) and r["mean"] == 1.0
+
+
+def test_tfidf_meets_in_states_only(spark):
+    """States are part of the key: candidates of the same state, and those without one."""
+    from weftline.operators.tfidf import nearest
+
+    names = ["alpha bakery", "alpha bakers", "beta motors", "alpha bakery shop", "beta motor"]
+    rows = [(country, 10 * k + s, 1 + (k > 1), state, names[(k + s) % 5]) for country in ("x", "y") for k in range(5) for s, state in enumerate((None, "ca", "ny", "tx"))]
+    got = nearest(spark.createDataFrame([(c, i + 1000 * (c == "y"), src, st, t) for c, i, src, st, t in rows], "country string, id long, src int, state string, doc string"), least=0.3).collect()
+    by = {(c, i + 1000 * (c == "y")): (src, st, t) for c, i, src, st, t in rows}
+    grams = lambda t: {g for w in t.split() for p in [f" {w} "] for g in (p[j : j + 3] for j in range(len(p) - 2))}
+    assert got and all(by[r.country, r.c][1] in (None, by[r.country, r.s1][1]) for r in got)
+    found = {(r.s1, r.c) for r in got}
+    for (ca, a), (sa, ta, xa) in by.items():
+        for (cb, b), (sb, tb, xb) in by.items():
+            if ca == cb and sa == 1 and sb != 1 and tb in (None, ta) and xa == xb:
+                assert (a, b) in found
+            if not grams(xa) & grams(xb):
+                assert (a, b) not in found
