@@ -63,12 +63,20 @@ def test_ratios_by_definition(a, b):
     assert fuzzy.lcs_length(a, b) == plain_lcs(a, b)
     assert fuzzy.ratio(a, b) == pytest.approx(200 * plain_lcs(a, b) / (len(a) + len(b)) if a or b else 100)
     for score in fuzzy.SCORERS.values():
-        assert 0 <= score(a, b) <= 100
+        assert 0 <= score([a], [b])[0] <= 100
     for score in (fuzzy.ratio, fuzzy.token_set_ratio, fuzzy.token_sort_ratio, fuzzy.partial_ratio):
         assert score(a, b) == pytest.approx(score(b, a))
     assert fuzzy.partial_ratio(a, b) >= fuzzy.ratio(a, b) - 1e-9 or len(a) != len(b)
 
 
+@given(st.lists(st.tuples(st.text("abcé ", max_size=90), st.text("abcé ", max_size=90)), max_size=8))
+def test_batches_are_scored_like_single_pairs(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    single = {"ratio": fuzzy.ratio, "partial": fuzzy.partial_ratio, "token_set": fuzzy.token_set_ratio, "token_sort": fuzzy.token_sort_ratio, "jaro_winkler": fuzzy.jaro_winkler}
+    for kind, score in fuzzy.SCORERS.items():
+        assert list(score(a, b)) == pytest.approx([single[kind](x, y) for x, y in pairs])
+
+
 def test_ratios_by_example(spark):
     assert fuzzy.ratio("abcd", "abxd") == 75 and fuzzy.ratio("", "") == 100 and fuzzy.ratio("a", "") == 0
     assert fuzzy.jaro_winkler("abc", "abd") == pytest.approx(0.822222, abs=1e-6) and fuzzy.jaro_winkler("", "") == 1

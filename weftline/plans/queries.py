@@ -148,11 +148,28 @@ def match_lists(spark, sf_dir):
     return _lists(spark, sf_dir)
 
 
-@query("SELECT rule, 'error' AS severity, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS example FROM (SELECT unnest(['duplicate_rows', 'repeated_ids', 'self_match', 'bad_prefix', 'missing_rows', 'surplus_rows', 'unknown_ids']) AS rule)")
+_NUMBER = "CAST(substr(source1_entity_id, 4) AS BIGINT)"
+#: Faults by the number of an S1: an S1 record, a strange source, an id twice, a row twice, no row; and a row that nobody asked for.
+_FAULTS = [("% 17 = 0", "|| ',S1-5'"), ("% 19 = 0", "|| ',X9-1, X9-1'"), ("% 23 = 0", "|| ',S2-1,S2-1'")]
+_PLANTED = f"""planted AS (SELECT source1_entity_id, matched_entity_ids {' '.join(f"|| CASE WHEN {_NUMBER} {when} THEN '' {add} ELSE '' END" for when, add in _FAULTS)} AS ids
+FROM ({_LISTS}) UNION ALL SELECT 'S1-999999999', 'S2-999999999, S3-999999999')"""
+
+
+@query(f"""WITH {_PLANTED}, p AS (SELECT source1_entity_id AS s1, ids FROM planted WHERE {_NUMBER} = 0 OR {_NUMBER} % 11 <> 0 UNION ALL SELECT source1_entity_id, ids FROM planted WHERE {_NUMBER} % 13 = 0 AND {_NUMBER} % 11 <> 0),
+k AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS id FROM part), want AS (SELECT id AS s1 FROM k WHERE id LIKE 'S1-%'),
+i AS (SELECT s1, trim(id) AS id FROM (SELECT s1, unnest(string_split(ids, ',')) AS id FROM p) WHERE trim(id) <> ''), f AS (
+SELECT 'duplicate_rows' AS rule, s1 AS example FROM p GROUP BY s1 HAVING count(*) > 1 UNION ALL SELECT 'repeated_ids', id FROM i GROUP BY s1, id HAVING count(*) > 1
+UNION ALL SELECT 'self_match', id FROM i WHERE id LIKE 'S1-%' UNION ALL SELECT 'bad_prefix', id FROM i WHERE NOT regexp_matches(id, '^S[123]-')
+UNION ALL SELECT 'missing_rows', s1 FROM want WHERE s1 NOT IN (SELECT s1 FROM p) UNION ALL SELECT DISTINCT 'surplus_rows', s1 FROM p WHERE s1 NOT IN (SELECT s1 FROM want) UNION ALL SELECT 'unknown_ids', id FROM i WHERE id NOT IN (SELECT id FROM k))
+SELECT rule, 'error' AS severity, count(*) AS n, min(example) AS example FROM f GROUP BY rule""")
 def validator_findings(spark, sf_dir):
-    """OUT-02, SET-05, SET-06: a sound result has no findings."""
-    r = _records(spark, sf_dir)
-    return validate.check_lists(_lists(spark, sf_dir), r.where("src = 1").select(F.col("entity_id").alias("source1_entity_id")), r.select("entity_id"))
+    """OUT-02, SET-05, SET-06, TXT-12: a result with planted faults of every rule."""
+    r, number = _records(spark, sf_dir), F.substring("source1_entity_id", 4, 20).cast("long")
+    ids = F.concat("matched_entity_ids", *[F.when(F.expr(f"cast(substring(source1_entity_id, 4, 20) as long) {when}"), F.lit(add[4:-1])).otherwise("") for when, add in _FAULTS])
+    surplus = spark.createDataFrame([("S1-999999999", "S2-999999999, S3-999999999")], "source1_entity_id string, matched_entity_ids string")
+    rows = _lists(spark, sf_dir).withColumn("matched_entity_ids", ids).unionByName(surplus).where((number == 0) | (number % 11 != 0))
+    planted = rows.withColumn("_n", F.when((number % 13 == 0) & (number % 11 != 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).withColumn("_n", F.explode("_n")).drop("_n")
+    return validate.check_lists(planted, r.where("src = 1").select(F.col("entity_id").alias("source1_entity_id")), r.select("entity_id"))
 
 
 @query(f"""WITH {REC}, {TRUTH}, {PRED}, d AS (SELECT s1, c FROM pred WHERE p >= 0.6 QUALIFY row_number() OVER (PARTITION BY c ORDER BY p DESC, s1) = 1)
