@@ -36,7 +36,7 @@ DENSE = 2000
 #: Of near copies: words of a shingle, least similarity, the chance that a pair of just that similarity shares a block.
 STAGE_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
 #: From this many members on, a bucket of near copies is compared in tiles; members of a tile.
-CROWD, TILE = 256, 4096
+CROWD, TILE = 24, 4096
 #: Hashes unpacked at once, a multiple of 255 so that byte counters can't overflow.
 CHUNK = 255 * 256
 
