@@ -54,6 +54,15 @@ def test_top_k_large_numbers(spark):
     assert got_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == plain_top(rows)
 
 
+def test_top_k_broadcasts_nothing(spark):
+    """The query blocks are repeated for each group; as a broadcast they would have to pass through the driver."""
+    from weftline.llm.topk import top_k
+
+    rows = [(i, [float(i % 7), 1.0]) for i in range(200)]
+    plan = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 PAGES = "page_id long, url string, html string, payload string"
 
 

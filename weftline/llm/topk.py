@@ -5,6 +5,9 @@ scores are computed and counted in one histogram for each query, summed over the
 k-th score becomes its next, finer interval. When few enough candidates stand at or above the interval, one more pass
 returns them and ties are broken by id. Only counts, thresholds and the final candidates are ever shuffled beside
 the blocks: a block sends no more than k bins or k candidates for each query, since its k best hold all it can add.
+
+No side of a join is broadcast: blocks are small as files and large as rows, and the queries' are repeated for each group, so the
+driver would hold what grows with the square of the table.
 """
 
 from __future__ import annotations
@@ -25,17 +28,18 @@ QUERY_ROWS, CANDIDATE_ROWS, BLOCK_BYTES = 512, 2048, 4 << 20
 BINS = 4096
 #: A query is located once this many candidates, beside the k, stand at or above its interval.
 SPARE = 27
-#: Candidate blocks are dealt out over this many groups at most; the query blocks are sent to each group.
+#: Candidate blocks are dealt out over this many groups at most; the query blocks are sent to each group. Unless the cluster has more cores, there
+#: are about as many groups as candidates for a query, so that both sides send alike.
 MAX_GROUPS = 1024
-FLOAT32_EXACT, FLOAT64_EXACT, INT64_MAX = 1 << 24, 1 << 53, (1 << 63) - 1
+SHORT, FLOAT32_EXACT, FLOAT64_EXACT, INT64_MAX = 1 << 15, 1 << 24, 1 << 53, (1 << 63) - 1
 
-_PACKED = "block long, n int, dim int, ids binary, keys binary, vectors binary, longest double"
+_PACKED = "block long, n int, dim int, ids binary, keys binary, vectors binary, short boolean, longest double"
 _COUNTS = "f long, i long, bin int, n long"
 _FOUND = "f long, i long, query_id long, vec_id long, cf long, ci long, score long"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of floored vectors as float64, shorter ones padded with zeros; longest: the largest Euclidean norm."""
+    """Blocks of floored vectors as float64 (short: as 16-bit integers, where all fit), shorter ones padded with zeros; longest: the largest Euclidean norm."""
     for batch in batches:
         vectors = batch.column("vector")
         at = 0
@@ -51,10 +55,11 @@ def _pack(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
             full = np.floor(full * SCALE)
             keys = np.stack([batch.column(c).slice(at, take).to_numpy() for c in ROW_KEY])
             longest = float(np.sqrt((full**2).sum(axis=1)).max()) if dim else 0.0
+            short = longest < SHORT
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in (
                     (int(keys[1, 0]) ^ int(keys[0, 0]), pa.int64()), (take, pa.int32()), (dim, pa.int32()), (batch.column("vec_id").slice(at, take).to_numpy().tobytes(), pa.binary()),
-                    (keys.tobytes(), pa.binary()), (full.tobytes(), pa.binary()), (longest, pa.float64()),
+                    (keys.tobytes(), pa.binary()), ((full.astype(np.int16) if short else full).tobytes(), pa.binary()), (short, pa.bool_()), (longest, pa.float64()),
                 )], names=[x.split()[0] for x in _PACKED.split(", ")],
             )
             at += take
@@ -62,7 +67,8 @@ def _pack(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
 
 def _matrix(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, dim = row[f"{side}_n"], row[f"{side}_dim"]
-    return np.frombuffer(row[f"{side}_ids"], np.int64), np.frombuffer(row[f"{side}_keys"], np.int64).reshape(2, n), np.frombuffer(row[f"{side}_vectors"]).reshape(n, dim)
+    vectors = np.frombuffer(row[f"{side}_vectors"], np.int16 if row[f"{side}_short"] else np.float64).reshape(n, dim)
+    return np.frombuffer(row[f"{side}_ids"], np.int64), np.frombuffer(row[f"{side}_keys"], np.int64).reshape(2, n), vectors.astype(np.float64, copy=False)
 
 
 def _scores(queries: np.ndarray, candidates: np.ndarray, bound: float) -> np.ndarray:
@@ -165,17 +171,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not blocks:
         return empty
-    groups = max(1, min(int(blocks), MAX_GROUPS))
+    groups = max(1, min(int(blocks), MAX_GROUPS, max(every, 2 * spark.sparkContext.defaultParallelism)))
     c_side = candidates.select(F.pmod(F.xxhash64("keys"), F.lit(groups)).alias("g"), *[F.col(c).alias(f"c_{c}") for c in candidates.columns])
     q_side = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
 
     def paired(state: DataFrame) -> DataFrame:
         """Each block of candidates with each block of queries that has an open query; equal parts of the grid meet in a group."""
         listed = state.groupBy("q_keys").agg(F.collect_list(F.struct("f", "i", "low", "width")).alias("states"))  # as many as a block has rows
-        ready = q_side.join(listed, "q_keys").select(*q_side.columns, "states")
+        ready = q_side.join(listed.hint("merge"), "q_keys").select(*q_side.columns, "states")
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q_side.schema) + ", q_low binary, q_width binary"
         ready = materialise(ready.mapInArrow(_assemble, schema), "query_blocks")
-        return ready.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(c_side, "g").drop("g", "q_block", "c_block")
+        return ready.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(c_side.hint("merge"), "g").drop("g", "q_block", "c_block")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +203,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
         ranked = counts.withColumn("reached", F.sum("n").over(down)).withColumn("total", F.sum("n").over(W.partitionBy("f", "i")))
         # the bin of the k-th score; with fewer than k candidates the lowest bin that holds any
         place = ranked.where((F.col("reached") >= k) & (F.col("reached") - F.col("n") < k) | (F.col("total") < k) & (F.col("reached") == F.col("total")))
-        place = materialise(place.join(state, ["f", "i"]).select("q_keys", "f", "i", "bin", "reached", "low", "width"), "place")
+        place = materialise(place.join(state.hint("merge"), ["f", "i"]).select("q_keys", "f", "i", "bin", "reached", "low", "width"), "place")
         low = F.col("low") + F.col("bin") * F.col("width")
         ends = (F.col("reached") <= k + SPARE) | (F.col("width") == 1) | (F.col("bin") == BINS)
         narrowed = place.select("q_keys", "f", "i", low.alias("low"), F.greatest(F.lit(1).cast("long"), (F.col("width") / BINS).cast("long") + 1).alias("width"), ends.alias("ends"))
