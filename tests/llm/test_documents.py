@@ -165,6 +165,28 @@ def test_near_copies_in_crowded_buckets(spark, docs):
     assert 0.14 < differing(0.8) < 0.16 and differing(1.0) == 0
 
 
+def test_a_large_group_of_near_copies_meets_few_pairs(spark, monkeypatch):
+    """Pairs of small buckets whose ends the large buckets connect are not met again; lone pairs are."""
+    from weftline.llm import simhash
+    from weftline.llm.components import components
+
+    random.seed(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(150)]
+    for k in range(5):
+        words = [f"{random.random()}" for _ in range(200)]
+        texts += [" ".join(words), " ".join([*words[:-1], "x"])]
+    wide = [simhash.wide_fingerprint(t, 4).view(np.int64).tolist() for t in texts]
+    prints = spark.createDataFrame([(n, w) for n, w in enumerate(wide)], "node long, wide array<bigint>")
+    met, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name, *a: (met.append((name, out := write(df, name, *a))), out)[1])
+    groups = {}
+    for r in components(simhash.wide_links(prints, 4, 16)).collect():
+        groups.setdefault(r.label, []).append(r.node)
+    assert sorted(map(len, groups.values())) == [2] * 5 + [150]
+    assert sum(df.count() for name, df in met if name == "near_candidates") < 150
+
+
 def test_near_copies_of_awkward_rows(awkward, empty):
     from weftline.llm.simhash import drop_near_duplicates, near_copies
 

@@ -267,8 +267,9 @@ def _spanning(group: pa.Table, most: int) -> pa.Table:
 def wide_links(prints: DataFrame, lanes: int, bits: int, similarity: float = SIMILARITY, dense: int = CROWD, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between nodes whose wide fingerprints share a block and differ in no more bits than `similarity` allows. prints: node (long), wide, distinct.
 
-    Small buckets are joined on a 64-bit word outside the block first, then whole fingerprints are compared. Buckets of over `dense` members are
-    compared in tiles that a task holds, where a member is compared until it is linked; no bucket is left out and none emits all its pairs.
+    Buckets of over `dense` members come first: they are compared in tiles that a task holds, where a member is compared until it is linked. Small buckets are joined
+    on a 64-bit word outside the block, then whole fingerprints are compared; pairs that the large buckets' links already connect are not met again. No bucket is left out,
+    and a large group of near copies, which many small buckets hold in part as well, doesn't emit its pairs from each of them.
     """
     most, per = int(64 * lanes * differing(similarity)), 64 // bits
     mask = (1 << bits) - 1
@@ -279,21 +280,25 @@ def wide_links(prints: DataFrame, lanes: int, bits: int, similarity: float = SIM
     keys = prints.select("node", F.explode(F.array(*each)).alias("k")).select("node", "k.*")
     crowded = materialise(keys.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense), "crowded")
     full = crowded.isEmpty()
-    sparse = keys if full else keys.join(crowded.select("block", "key"), ["block", "key"], "left_anti")
-    other = sparse.select("block", "key", F.col("node").alias("b"), F.col("word").alias("word2"))
+    if full:
+        tight, sparse = None, keys.withColumn("label", F.col("node"))
+    else:
+        tiles = F.ceil(F.col("n") / tile).cast("int")
+        dealt = keys.join(crowded, ["block", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int"))
+        pairs = dealt.select("block", "key", "node", "tile", F.explode(F.sequence(F.lit(0), F.greatest(tiles, F.lit(1)) - 1)).alias("with"))
+        pairs = pairs.select("block", "key", "node", F.least("tile", "with").alias("t"), F.greatest("tile", "with").alias("u")).join(prints, "node")
+        tight = materialise(pairs.groupBy("block", "key", "t", "u").applyInArrow(lambda g: _spanning(g, most), "a long, b long").distinct(), "crowd_links")
+        labels = materialise(components(tight), "crowd_labels")
+        sparse = keys.join(crowded.select("block", "key"), ["block", "key"], "left_anti").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    other = sparse.select("block", "key", F.col("node").alias("b"), F.col("word").alias("word2"), F.col("label").alias("label2"))
     spread = differing(similarity)
     loose = int(64 * spread + 4 * math.sqrt(64 * spread * (1 - spread)))
-    met = sparse.withColumnRenamed("node", "a").join(other, ["block", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= loose))
+    met = sparse.withColumnRenamed("node", "a").join(other, ["block", "key"])
+    met = met.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label2")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= loose))
     met = materialise(met.select("a", "b").distinct(), "near_candidates")
     wide = [prints.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")) for x in "ab"]
     near = met.join(wide[0], "a").join(wide[1], "b").where(_apart(F.col("wa"), F.col("wb"), lanes) <= most).select("a", "b")
-    if full:
-        return near
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    dealt = keys.join(crowded, ["block", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int"))
-    pairs = dealt.select("block", "key", "node", "tile", F.explode(F.sequence(F.lit(0), F.greatest(tiles, F.lit(1)) - 1)).alias("with"))
-    pairs = pairs.select("block", "key", "node", F.least("tile", "with").alias("t"), F.greatest("tile", "with").alias("u")).join(prints, "node")
-    return near.unionByName(pairs.groupBy("block", "key", "t", "u").applyInArrow(lambda g: _spanning(g, most), "a long, b long").distinct())
+    return near if tight is None else near.unionByName(tight)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
