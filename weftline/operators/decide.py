@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
-from weftline.operators.metrics import f_beta, per_entity, summary_columns
+from weftline.operators.copies import of_copies, sizes
+from weftline.operators.metrics import f_beta, per_entity, summary_columns, true_counts
 
 
 def _owned(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -18,12 +19,16 @@ def _owned(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return pred.withColumn("_o", first).where("_o = 1").drop("_o")
 
 
-def decide(pred: DataFrame, threshold: float, relative: float = 0.0) -> DataFrame:
-    """s1, c with p of at least threshold and of relative times the S1's best, one owner for each record."""
+def decide(pred: DataFrame, threshold: float, relative: float = 0.0, copies: DataFrame | None = None) -> DataFrame:
+    """s1, c with p of at least threshold and of relative times the S1's best, one owner for each record.
+
+    copies: pred holds pairs of representatives. A record's owner is a representative itself, the smallest id of its copies, and owns the record's copies as well.
+    """
     over = pred.where(F.col("p") >= threshold)
     if relative > 0:
         over = over.withColumn("_m", F.max("p").over(W.partitionBy("s1"))).where(F.col("p") >= relative * F.col("_m")).drop("_m")
-    return _owned(over).select("s1", "c")
+    owned = _owned(over).select("s1", "c")
+    return owned if copies is None else of_copies(owned, copies, ["c"])
 
 
 def _expected_sets(owned: DataFrame, alpha, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,9 +44,13 @@ def _expected_sets(owned: DataFrame, alpha, keys: Sequence[str] = ()) -> DataFra
     return x.where((F.col("_best.value") > F.col("_nothing")) & (F.col("_place") <= -F.col("_best.place"))).select(*keys, "s1", "c")
 
 
-def decide_expected(pred: DataFrame, alpha: float = 0.0, floor: float = 0.05) -> DataFrame:
-    """s1, c: p of at least floor, one owner for each record, then the set of each S1 with the best expected F0.5; alpha adds mass for matches that blocking missed."""
-    return _expected_sets(_owned(pred.where(F.col("p") >= floor)), F.lit(alpha))
+def decide_expected(pred: DataFrame, alpha: float = 0.0, floor: float = 0.05, copies: DataFrame | None = None) -> DataFrame:
+    """s1, c: p of at least floor, one owner for each record, then the set of each S1 with the best expected F0.5; alpha adds mass for matches that blocking missed.
+
+    copies: pred holds pairs of representatives; records are owned as in decide(), all copies count in the sets.
+    """
+    owned = _owned(pred.where(F.col("p") >= floor)).select("s1", "c", "p")
+    return _expected_sets(owned if copies is None else of_copies(owned, copies, ["c"]), F.lit(alpha))
 
 
 def exclusive(pairs: DataFrame) -> DataFrame:
@@ -55,32 +64,40 @@ def baselines(pairs: DataFrame) -> dict[str, DataFrame]:
     return {"B0": pairs.where("false"), "B1": pairs, "B2": alone, "B3": alone.where("num_ok or b_addr_null")}
 
 
-def tune(pred: DataFrame, true: DataFrame, base: DataFrame, thresholds: Sequence[float] = DEFAULT.thresholds, relatives: Sequence[float] = DEFAULT.relatives) -> DataFrame:
+def tune(pred: DataFrame, true: DataFrame, base: DataFrame, thresholds: Sequence[float] = DEFAULT.thresholds, relatives: Sequence[float] = DEFAULT.relatives, copies: DataFrame | None = None) -> DataFrame:
     """The summary of decide() for each (thr, rel), all settings in one plan.
 
     The relative cut and the owner of a record don't depend on the threshold, so pairs are ranked once for each relative; the thresholds only count
-    an S1's decided pairs and hits, which is done in one aggregation. Entities, not pairs, are multiplied by the settings.
+    an S1's decided pairs and hits, which is done in one aggregation. Entities, not pairs, are multiplied by the settings. copies: pred and true hold
+    pairs of representatives, base all S1s.
     """
     each = lambda values, name: F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name)
     best = F.max("p").over(W.partitionBy("s1"))
     cut = pred.select("s1", "c", "p").distinct().withColumn("_m", best).select("s1", "c", "p", "_m", each(relatives, "rel")).where("p >= rel * _m")
     hits = _owned(cut.drop("_m"), ["rel"]).join(true.select("s1", "c", F.lit(1).alias("hit")).distinct(), ["s1", "c"], "left")
-    counts = [F.struct(F.lit(float(t)).alias("thr"), F.count(F.when(F.col("p") >= t, 1)).alias("n_pred"), F.count(F.when(F.col("p") >= t, F.col("hit"))).alias("tp")) for t in thresholds]
+    hits = hits.withColumn("n_c", F.lit(1).cast("long")) if copies is None else hits.join(sizes(copies, "c"), "c")
+    some = lambda over: F.coalesce(F.sum(F.when(over, F.col("n_c"))), F.lit(0).cast("long"))
+    counts = [F.struct(F.lit(float(t)).alias("thr"), some(F.col("p") >= t).alias("n_pred"), some((F.col("p") >= t) & F.col("hit").isNotNull()).alias("tp")) for t in thresholds]
     nothing = [F.struct(F.lit(float(t)).alias("thr"), F.lit(0).cast("long").alias("n_pred"), F.lit(0).cast("long").alias("tp")) for t in thresholds]
     got = hits.groupBy("rel", "s1").agg(F.array(*counts).alias("by"))
-    want = true.select("s1", "c").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+    want = true_counts(true, copies)
     entities = base.select("s1", each(relatives, "rel")).join(got, ["rel", "s1"], "left").join(want, "s1", "left").fillna(0, ["n_true"])
     every = entities.select("s1", "rel", "n_true", F.inline(F.coalesce("by", F.array(*nothing))))
     return every.withColumn("f", f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))).groupBy("thr", "rel").agg(*summary_columns())
 
 
-def tune_expected(pred: DataFrame, true: DataFrame, base: DataFrame, alphas: Sequence[float] = DEFAULT.alphas, floors: Sequence[float] = DEFAULT.floors) -> DataFrame:
-    """The summary of decide_expected() for each (alpha, floor), all settings in one plan. A record's owner doesn't depend on them; only owned pairs, one for each record, are multiplied."""
+def tune_expected(pred: DataFrame, true: DataFrame, base: DataFrame, alphas: Sequence[float] = DEFAULT.alphas, floors: Sequence[float] = DEFAULT.floors, copies: DataFrame | None = None) -> DataFrame:
+    """The summary of decide_expected() for each (alpha, floor), all settings in one plan. A record's owner doesn't depend on them; only owned pairs, one for each record, are multiplied.
+
+    copies: pred and true hold pairs of representatives, base all S1s.
+    """
     grid = pred.sparkSession.createDataFrame([(float(a), float(f)) for a in alphas for f in floors], "alpha double, floor double")
     keys = ["alpha", "floor"]
-    decided = _expected_sets(_owned(pred).crossJoin(F.broadcast(grid)).where("p >= floor"), F.col("alpha"), keys)
+    owned = _owned(pred).select("s1", "c", "p")
+    owned = owned if copies is None else of_copies(owned, copies, ["c"])
+    decided = _expected_sets(owned.crossJoin(F.broadcast(grid)).where("p >= floor"), F.col("alpha"), keys)
     every = base.select("s1").crossJoin(F.broadcast(grid))  # a row of the grid for each setting
-    return per_entity(decided, true, every, keys=keys).groupBy(*keys).agg(*summary_columns())
+    return per_entity(decided, true, every, keys=keys, copies=copies).groupBy(*keys).agg(*summary_columns())
 
 
 def best_rule(pred: DataFrame, true: DataFrame, base: DataFrame) -> tuple[str, float, float]:

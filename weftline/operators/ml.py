@@ -34,11 +34,13 @@ def labelled(pairs: DataFrame, true: DataFrame) -> DataFrame:
     return pairs.join(true.select("s1", "c", F.lit(1.0).alias("y")).distinct(), ["s1", "c"], "left").fillna(0.0, ["y"])
 
 
-def fit_matcher(features: DataFrame, columns: Sequence[str] = tuple(FEATURES), rounds: int = 60, depth: int = 5, seed: int = 7) -> PipelineModel:
-    """Boosted trees over features with y; rows with `held` true stop the rounds early, if there is such a column."""
+def fit_matcher(features: DataFrame, columns: Sequence[str] = tuple(FEATURES), rounds: int = 60, depth: int = 5, seed: int = 7, weight: str | None = None) -> PipelineModel:
+    """Boosted trees over features with y; rows with `held` true stop the rounds early, if there is such a column. weight: a column that says how many equal rows each stands for."""
     trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=seed, cacheNodeIds=True, checkpointInterval=-1)
     if "held" in features.columns:
         trees = trees.setValidationIndicatorCol("held")
+    if weight is not None:
+        trees = trees.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="x"), trees]).fit(features)
 
 
@@ -53,12 +55,13 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(model.stages[0].getInputCols(), shares.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def fit_blend(scores: DataFrame, models: Sequence[str], c: float = 1.0, band: tuple[float, float] = DEFAULT.uncertain) -> PipelineModel:
-    """Logistic regression over logit(p), model scores and their products, on the pairs whose p lies in the uncertain band."""
+def fit_blend(scores: DataFrame, models: Sequence[str], c: float = 1.0, band: tuple[float, float] = DEFAULT.uncertain, weight: str | None = None) -> PipelineModel:
+    """Logistic regression over logit(p), model scores and their products, on the pairs whose p lies in the uncertain band. weight: a column that says how many equal rows each stands for."""
     x = blend_features(scores.where(F.col("p").between(*band)), models)
-    n = max(1, x.count())
+    n = max(1, x.count() if weight is None else x.agg(F.sum(weight)).first()[0] or 0)
     columns = ["logit_p", *models, *[f"logit_p_x_{m}" for m in models]]
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (c * n), standardization=False)]).fit(x)
+    blend = LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (c * n), standardization=False)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), blend if weight is None else blend.setWeightCol(weight)]).fit(x)
 
 
 def blended(model: PipelineModel, scores: DataFrame, models: Sequence[str], band: tuple[float, float] = DEFAULT.uncertain) -> DataFrame:
