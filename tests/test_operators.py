@@ -285,3 +285,28 @@ def test_tfidf_meets_in_states_only(spark):
                 assert (a, b) in found
             if not grams(xa) & grams(xb):
                 assert (a, b) not in found
+
+
+def test_tfidf_of_copies_and_of_crowded_groups(spark):
+    """Records that stand for copies give what all copies give; groups that are multiplied in tiles what those joined by gram give."""
+    from random import Random
+
+    from weftline.operators.tfidf import _multiplied, nearest, weighted
+
+    rng, words = Random(5), ["red", "blue", "ring", "bolt", "brand", "small", "plate"]
+    rows = [(rng.choice("xy"), i, 1 + i % 3, rng.choice(["a", "b", None]), " ".join(rng.choices(words, k=3))) for i in range(90)]
+    schema = "country string, id long, src int, state string, doc string"
+    every = spark.createDataFrame([(c, i + 1000 * k, src, st, d) for c, i, src, st, d in rows for k in range(4)], schema)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = plain(nearest(every, top=5, crowd=float("inf")))
+    assert want and plain(nearest(every, top=5, crowd=0.0)) == want
+    some = spark.createDataFrame([(*r, 4) for r in rows], schema + ", n_copies long")
+    copies = spark.createDataFrame([(r[1] + 1000 * k, r[1]) for r in rows for k in range(4)], "id long, rep long")
+    assert plain(nearest(some, top=5, copies=copies)) == want
+    # tiles of three texts
+    v = weighted(every, "doc")
+    whole = v.groupBy("country", "id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
+    asked = every.where("src = 1 and id < 1000").select("country", F.lit("").alias("under"), F.col("id").alias("a"))
+    held = every.where("src <> 1 and id < 1000").select("country", F.lit("").alias("under"), F.col("id").alias("b"), F.col("id").alias("first"))
+    one, tiled = (_multiplied(asked, held, whole, 100, 0.3, 9, t) for t in (1000, 3))
+    assert plain(one) == plain(tiled) and one.count() > 100

@@ -1,26 +1,38 @@
-"""Nearest neighbours by TF-IDF cosine over letter trigrams of words: a join of the rare grams' postings, then exact cosines."""
+"""Nearest neighbours by TF-IDF cosine over letter trigrams of words: a join of the rare grams' postings and exact cosines, or products of matrices where most texts share such grams."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
+from weftline.operators.blocking import counted
+from weftline.sources.io import cut
+
+#: What a group of texts that can meet has in common.
+GROUP = ["country", "under"]
+#: Meetings of prefixes a pair of texts from which a group is multiplied, texts of a tile's side, grams that are multiplied at once.
+CROWD, TILE, COLUMNS = 0.25, 1024, 2048
+_NONE = pa.table({"country": pa.array([], pa.string()), "under": pa.array([], pa.string()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "tf_cos": pa.array([], pa.float64())})
 
 
 def grams(records: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """country, id, gram, tf: letter n-grams of words padded with a space on each side."""
+    """country, id, gram, tf: letter n-grams of words padded with a space on each side; n_copies stays, if records have it."""
+    of = ["country", "id", *[c for c in ("n_copies",) if c in records.columns]]
     padded = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     cut = F.flatten(F.transform(padded, lambda w: F.when(F.length(w) <= n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n))))))
-    return records.select("country", "id", F.explode(cut).alias("gram")).groupBy("country", "id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return records.select(*of, F.explode(cut).alias("gram")).groupBy(*of, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weighted(records: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """country, id, gram, df, w: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each record of length 1; N and df by country."""
+    """country, id, gram, df, w: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each record of length 1; N and df by country. A record with n_copies counts as so many."""
     tf = grams(records, text, n)
-    df = tf.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
-    size = records.groupBy("country").agg(F.count(F.lit(1)).alias("size"))
+    df = tf.groupBy("country", "gram").agg(counted(records).alias("df"))
+    size = records.groupBy("country").agg(counted(records).alias("size"))
     idf = F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1
     raw = tf.join(df, ["country", "gram"]).join(size, "country").select("country", "id", "gram", "df", ((1 + F.log("tf")) * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("country", "id")))
@@ -45,31 +57,93 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(shared, F.lit(0.0), lambda total, g: total + F.element_at(F.col(a), g) * F.element_at(F.col(b), g))
 
 
-def nearest(records: DataFrame, text: str = "doc", top: int = DEFAULT.tfidf_top, least: float = DEFAULT.tfidf_cosine, n: int = 3, digits: int = 9) -> DataFrame:
+def _matched(left: DataFrame, right: DataFrame, whole: DataFrame, least: float, digits: int) -> DataFrame:
+    """GROUP, a, b, tf_cos of pairs that share a gram of both prefixes (left: GROUP, gram, a; right: GROUP, gram, b)."""
+    met = left.join(right, [*GROUP, "gram"]).select(*GROUP, "a", "b").distinct()
+    both = met.join(whole.select("country", F.col("id").alias("a"), F.col("v").alias("va")), ["country", "a"]).join(whole.select("country", F.col("id").alias("b"), F.col("v").alias("vb")), ["country", "b"])
+    return both.select(*GROUP, "a", "b", F.round(_dot("va", "vb"), digits).alias("tf_cos")).where(F.col("tf_cos") >= least)
+
+
+def _tile(a: pa.Table, b: pa.Table, top: int, least: float, digits: int) -> pa.Table:
+    """Of each text of a the `top` texts of b by cosine, ties to the smaller `first`: products of the tile's matrices, over the grams that both sides have."""
+    b = b.sort_by([("first", "ascending")])
+    names, flat = [], []
+    for side in (a, b):
+        v = side.column("v").combine_chunks()
+        flat.append((np.repeat(np.arange(len(v)), pc.list_value_length(pc.fill_null(v, [])).to_numpy(zero_copy_only=False)), v.flatten().field("gram"), v.flatten().field("w").to_numpy(zero_copy_only=False)))
+        names.append(pc.unique(flat[-1][1]))
+    shared = names[0].filter(pc.is_in(names[0], names[1]))
+    cosines = np.zeros((a.num_rows, b.num_rows))
+    for at in range(0, len(shared), COLUMNS):
+        some, sides = shared.slice(at, COLUMNS), []
+        for (row, gram, w), n in zip(flat, (a.num_rows, b.num_rows), strict=True):
+            column = pc.fill_null(pc.index_in(gram, some), -1).to_numpy(zero_copy_only=False)
+            x = np.zeros((n, len(some)))
+            x[row[column >= 0], column[column >= 0]] = w[column >= 0]
+            sides.append(x)
+        cosines += sides[0] @ sides[1].T
+    cosines = np.round(cosines, digits)
+    bar = np.full((a.num_rows, 1), least) if b.num_rows <= top else np.maximum(np.partition(cosines, b.num_rows - top, axis=1)[:, b.num_rows - top, None], least)
+    row, column = np.nonzero(cosines >= bar)
+    score = cosines[row, column]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column, score = row[place < top], column[place < top], score[place < top]
+    return pa.table({"country": a.column("country").take(row), "under": a.column("under").take(row), "a": a.column("id").take(row), "b": b.column("id").take(column), "tf_cos": pa.array(score, pa.float64())})
+
+
+def _multiplied(asked: DataFrame, held: DataFrame, whole: DataFrame, top: int, least: float, digits: int, tile: int = TILE) -> DataFrame:
+    """GROUP, a, b, tf_cos: for each a of a group its `top` best b at least, from products of tiles of both sides (asked: GROUP, a; held: GROUP, b, first). Each pair of a group meets in one tile."""
+    dealt = []
+    sizes = asked.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_t")).join(held.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_u")), GROUP)
+    for side, own, other, n_own, n_other in ((asked, "t", "u", "n_t", "n_u"), (held, "u", "t", "n_u", "n_t")):
+        x = side.withColumnRenamed("a" if side is asked else "b", "id").join(sizes, GROUP).withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
+        x = x.join(whole.select("country", "id", F.transform(F.map_entries("v"), lambda e: F.struct(e["key"].alias("gram"), e["value"].alias("w"))).alias("v")), ["country", "id"])
+        x = x.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+        columns = [*GROUP, "t", "u", "id", "v", *(["first"] if side is held else [])]
+        dealt.append(x.select(*[F.col(c).alias(c) for c in columns]).groupBy(*GROUP, "t", "u"))  # aliases: both sides come from the same frames
+    result = "country string, under string, a long, b long, tf_cos double"
+    return dealt[0].cogroup(dealt[1]).applyInArrow(lambda a, b: _tile(a, b, top, least, digits) if a.num_rows and b.num_rows else _NONE, result)
+
+
+def nearest(records: DataFrame, text: str = "doc", top: int = DEFAULT.tfidf_top, least: float = DEFAULT.tfidf_cosine, n: int = 3, digits: int = 9, copies: DataFrame | None = None, crowd: float = CROWD) -> DataFrame:
     """country, s1, c, tf_cos, tf_rank: for each S1 record its top candidates of the same country and state with a cosine of at least `least`.
 
     Candidates without a state stand in every state; S1 records without a state meet those only. Equal texts share one vector: the join runs over distinct
     (country, state, text) and its results go to the records afterwards, so repeated texts never multiply. Cosines are rounded before ranking; ties go to the smaller id.
+    Groups (country, state) in which prefixes meet more than `crowd` times a pair of texts are multiplied as matrices, tile by tile, others joined by gram: both are whole and give the same.
+    copies: records stand for n_copies records each; copies (id, rep) has all of them, rep the smallest of its copies.
     """
-    vectors = weighted(records, text, n)
-    named = records.select("country", "id", "src", "state", text)
-    one = named.groupBy("country", text).agg(F.min("id").alias("of"))
-    postings = vectors.join(one.select("country", F.col("of").alias("id")), ["country", "id"], "left_semi")
+    state = F.coalesce("state", F.lit(""))
+    named = records.select("country", "id", "src", state.alias("state"), text, *[c for c in ("n_copies",) if c in records.columns])
+    one = named.groupBy("country", text).agg(F.min("id").alias("of"), counted(records).alias("n_copies"))
+    postings = cut(weighted(one.withColumnRenamed("of", "id"), text, n))
     whole = postings.groupBy("country", "id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))  # as long as the text
-    prefix = rare_prefix(postings, least).select("country", "gram", "id")
-    asked = named.where("src = 1").select("country", text, "id", "state").join(one, ["country", text])
-    held = named.where("src <> 1").select("country", text, "id", "state").join(one, ["country", text])
+    prefix = cut(rare_prefix(postings, least).select("country", "gram", "id"))
+    units = cut(named.join(one.select("country", text, "of"), ["country", text]).select("country", "of", "id", "state", "src"))
     # the state is part of the key: candidates stand under their own or under none, and are asked for under the S1's own and under none
-    under, none = F.coalesce("state", F.lit("")), F.lit("")
-    left = asked.select("country", F.col("of").alias("a"), F.explode(F.array_distinct(F.array(under, none))).alias("under")).distinct().join(prefix.withColumnRenamed("id", "a"), ["country", "a"])
-    right = held.select("country", F.col("of").alias("b"), under.alias("under")).distinct().join(prefix.withColumnRenamed("id", "b"), ["country", "b"])
-    met = left.join(right, ["country", "under", "gram"]).select("country", "a", "b").distinct()
-    both = met.join(whole.select("country", F.col("id").alias("a"), F.col("v").alias("va")), ["country", "a"]).join(whole.select("country", F.col("id").alias("b"), F.col("v").alias("vb")), ["country", "b"])
-    close = both.select("country", "a", "b", F.round(_dot("va", "vb"), digits).alias("tf_cos")).where(F.col("tf_cos") >= least)
-    s1 = asked.select("country", F.col("of").alias("a"), F.col("id").alias("s1"), F.col("state").alias("s1_state"))
-    # of each text no more than `top` records per state can be wanted, those with the smallest ids
+    asked = units.where("src = 1").select("country", F.explode(F.array_distinct(F.array("state", F.lit("")))).alias("under"), F.col("of").alias("a")).distinct()
+    held = units.where("src <> 1").groupBy("country", F.col("state").alias("under"), F.col("of").alias("b")).agg(F.min("id").alias("first"))
+    left, right = asked.join(prefix.withColumnRenamed("id", "a"), ["country", "a"]), held.drop("first").join(prefix.withColumnRenamed("id", "b"), ["country", "b"])
+    meets = left.groupBy(*GROUP, "gram").agg(F.count(F.lit(1)).alias("x")).join(right.groupBy(*GROUP, "gram").agg(F.count(F.lit(1)).alias("y")), [*GROUP, "gram"]).groupBy(*GROUP).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("meets"))
+    pairs = asked.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("x")).join(held.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("y")), GROUP)
+    crowded = meets.join(pairs, GROUP).where(F.col("meets") > crowd * F.col("x").cast("double") * F.col("y")).select(*GROUP)
+    close = _matched(left.join(crowded, GROUP, "left_anti"), right, whole, least, digits)
+    close = close.unionByName(_multiplied(asked.join(crowded, GROUP, "left_semi"), held.join(crowded, GROUP, "left_semi"), whole, top, least, digits))
+    # S1s of one text and state have one list: it is made once, from texts' candidates in the order of their smallest ids
+    lists = units.where("src = 1").select("country", F.col("of").alias("a"), F.col("state").alias("s1_state")).distinct()
+    best = close.join(held, [*GROUP, "b"]).join(lists, ["country", "a"]).where("under = '' or under = s1_state")
+    # of each text and state no more than `top` records can be wanted, those with the smallest ids, and none once `top` are closer
     first = F.row_number().over(W.partitionBy("country", "of", "state").orderBy("id"))
-    c = held.withColumn("_n", first).where(F.col("_n") <= top).select("country", F.col("of").alias("b"), F.col("id").alias("c"), F.col("state").alias("c_state"))
-    found = close.join(s1, ["country", "a"]).join(c, ["country", "b"]).where("c_state is null or s1_state = c_state")
-    rank = F.row_number().over(W.partitionBy("country", "s1").orderBy(F.desc("tf_cos"), "c"))
-    return found.withColumn("tf_rank", rank).where(F.col("tf_rank") <= top).select("country", "s1", "c", "tf_cos", "tf_rank")
+    ids = lambda of: of if copies is None else of.join(copies.select(F.col("rep").alias("id"), F.col("id").alias("_id")), "id").withColumn("id", F.col("_id")).drop("_id")
+    c = ids(units.where("src <> 1")).withColumn("_n", first).where(F.col("_n") <= top).select("country", F.col("of").alias("b"), F.col("state").alias("under"), F.col("id").alias("c"))
+    best = best.join(c.groupBy("country", "under", "b").agg(F.count(F.lit(1)).alias("n")), ["country", "under", "b"])
+    group = W.partitionBy("country", "a", "s1_state")
+    closer = F.sum("n").over(group.orderBy(F.desc("tf_cos")).rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("n").over(W.partitionBy("country", "a", "s1_state", "tf_cos"))
+    best = best.withColumns({"_place": F.row_number().over(group.orderBy(F.desc("tf_cos"), "first")), "_closer": closer}).where((F.col("_place") <= top) & (F.col("_closer") < top))
+    found = best.select("country", "under", "a", "s1_state", "b", "tf_cos").join(c, ["country", "under", "b"])
+    rank = F.row_number().over(group.orderBy(F.desc("tf_cos"), "c"))
+    listed = found.withColumn("tf_rank", rank).where(F.col("tf_rank") <= top).select("country", "a", "s1_state", "c", "tf_cos", "tf_rank")
+    s1 = ids(units.where("src = 1")).select("country", F.col("of").alias("a"), F.col("state").alias("s1_state"), F.col("id").alias("s1"))
+    return s1.join(listed, ["country", "a", "s1_state"]).select("country", "s1", "c", "tf_cos", "tf_rank")
