@@ -187,6 +187,45 @@ def test_a_large_group_of_near_copies_meets_few_pairs(spark, monkeypatch):
     assert sum(df.count() for name, df in met if name == "near_candidates") < 150
 
 
+def test_a_large_group_of_like_texts_costs_rows_for_its_members(spark, monkeypatch):
+    """Some 20 % of the bits differ: pairs share small buckets but few are near copies. Members are rows, pairs are not, and the links are those of brute force."""
+    from weftline.llm import simhash
+    from weftline.llm.components import components
+
+    rng, lanes = np.random.default_rng(3), 12
+    base = rng.integers(0, 2, 64 * lanes, dtype=np.uint8)
+    bits = base ^ (rng.random((500, 64 * lanes)) < 0.11).astype(np.uint8)
+    bits = np.concatenate([bits, bits[:40] ^ (rng.random((40, 64 * lanes)) < 0.03).astype(np.uint8)])  # near copies of some
+    wide = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    prints = spark.createDataFrame([(n, w) for n, w in enumerate(wide.view(np.int64).tolist())], "node long, wide array<bigint>")
+    met, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name, *a: (met.append((name, out := write(df, name, *a))), out)[1])
+    found = {r.node: r.label for r in components(simhash.wide_links(prints, lanes, 16)).collect()}
+    most = int(64 * lanes * simhash.differing(simhash.SIMILARITY))
+    blocks, label = wide.view(np.uint16), list(range(len(wide)))
+    for a in range(len(wide)):
+        for b in np.flatnonzero((np.bitwise_count(wide ^ wide[a]).sum(axis=1) <= most) & (blocks == blocks[a]).any(axis=1)).tolist():
+            if label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert found == {n: x for n, x in enumerate(label) if label.count(x) > 1} and len(found) >= 80
+    rows = {name: df.count() for name, df in met}
+    assert rows["near_candidates"] < len(wide) and rows["near_members"] <= 48 * len(wide)
+
+
+def test_links_of_small_buckets_wherever_batches_end():
+    import pyarrow as pa
+
+    from weftline.llm.simhash import _bucket_links
+
+    rows = [(0, 1, 10, [0, 0]), (0, 1, 11, [1, 0]), (0, 2, 12, [0, 0]), (1, 2, 10, [0, 0]), (1, 2, 11, [1, 0]), (1, 2, 13, [7, 7]), (1, 2, 14, [3, 0]), (1, 3, 15, [0, -1])]
+    batch = pa.table(dict(zip(("block", "key", "node", "wide"), map(list, zip(*rows, strict=True)), strict=True)), pa.schema([("block", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("wide", pa.list_(pa.int64()))]))
+    for size in (1, 2, 3, 8):
+        made = [tuple(r.values()) for out in _bucket_links(iter(batch.to_batches(size)), 1, 2) for r in out.to_pylist()]
+        assert sorted(made) == [(10, 11), (11, 14)], size  # each once, though 10 and 11 share two buckets
+    assert sum(out.num_rows for out in _bucket_links(iter([]), 1, 2)) == 0
+
+
 def test_near_copies_of_awkward_rows(awkward, empty):
     from weftline.llm.simhash import drop_near_duplicates, near_copies
 

@@ -243,10 +243,6 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, lanes: int, words: int) -
     return keyed.mapInArrow(run, schema)
 
 
-def _apart(a: Column, b: Column, lanes: int) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, lanes)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
-
-
 def _spanning(group: pa.Table, most: int) -> pa.Table:
     """Links that connect the members of a bucket which are at most `most` bits apart as all such links do; a member is compared with those not yet reached."""
     nodes = group.column("node").to_numpy()
@@ -264,17 +260,61 @@ def _spanning(group: pa.Table, most: int) -> pa.Table:
     return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
 
+def _forest(roots: dict[int, int], a: list[int], b: list[int]) -> list[int]:
+    """Positions of the pairs that connect what those before them don't; roots: what is connected, kept from call to call."""
+
+    def root(x: int) -> int:
+        while (up := roots.get(x, x)) != x:
+            roots[x] = x = roots.get(up, up)
+        return x
+
+    new = []
+    for at, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            roots[x] = y
+            new.append(at)
+    return new
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], most: int, lanes: int) -> Iterator[pa.RecordBatch]:
+    """Links within small buckets, whose rows (block, key, node, wide) follow each other: all members of a bucket are compared, and as many links are let through as connect a task's nodes the same."""
+    roots: dict[int, int] = {}
+    held = [np.empty(0, np.int64)] * 3 + [np.empty((0, lanes), np.uint64)]
+
+    def links(block: np.ndarray, key: np.ndarray, node: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+        a, b, step = [], [], 1
+        while step < len(node) and len(at := np.flatnonzero((block[step:] == block[:-step]) & (key[step:] == key[:-step]))):
+            at = at[np.bitwise_count(wide[at] ^ wide[at + step]).sum(axis=1) <= most]
+            a += node[at].tolist()
+            b += node[at + step].tolist()
+            step += 1
+        some = _forest(roots, a, b)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        came = [batch.column(batch.schema.names.index(c)) for c in ("block", "key", "node", "wide")]
+        came = [np.concatenate(x) for x in zip(held, [*(c.to_numpy() for c in came[:3]), came[3].flatten().to_numpy().view(np.uint64).reshape(-1, lanes)], strict=True)]
+        last = int(np.argmax((came[0] == came[0][-1]) & (came[1] == came[1][-1])))  # where the last bucket begins, which may go on in the next batch
+        held = [x[last:] for x in came]
+        yield links(*[x[:last] for x in came])
+    yield links(*held)
+
+
 def wide_links(prints: DataFrame, lanes: int, bits: int, similarity: float = SIMILARITY, dense: int = CROWD, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between nodes whose wide fingerprints share a block and differ in no more bits than `similarity` allows. prints: node (long), wide, distinct.
+    """Edges (a, b) between nodes whose wide fingerprints share a block and differ in no more bits than `similarity` allows, or as many as connect the same. prints: node (long), wide, distinct.
 
-    Buckets of over `dense` members come first: they are compared in tiles that a task holds, where a member is compared until it is linked. Small buckets are joined
-    on a 64-bit word outside the block, then whole fingerprints are compared; pairs that the large buckets' links already connect are not met again. No bucket is left out,
-    and a large group of near copies, which many small buckets hold in part as well, doesn't emit its pairs from each of them.
+    Buckets of over `dense` members come first: they are compared in tiles that a task holds, where a member is compared until it is linked. Of small buckets those members
+    stay that are near another, which the large buckets' links don't connect with them, on a 64-bit word outside the block; their whole fingerprints are compared bucket by bucket.
+    No bucket is left out, and none emits pairs: members are rows once for each block, links connect a task's nodes once, so that large groups of like texts cost rows in proportion
+    to their members, near copies or not.
     """
     most, per = int(64 * lanes * differing(similarity)), 64 // bits
     mask = (1 << bits) - 1
     each = [
-        F.struct(F.lit(k * per + j).alias("block"), F.shiftrightunsigned(F.get("wide", F.lit(k)), bits * j).bitwiseAND(F.lit(mask)).alias("key"), F.get("wide", F.lit((k + 1) % lanes)).alias("word"))
+        F.struct(F.lit(k * per + j).cast("long").alias("block"), F.shiftrightunsigned(F.get("wide", F.lit(k)), bits * j).bitwiseAND(F.lit(mask)).cast("long").alias("key"), F.get("wide", F.lit((k + 1) % lanes)).alias("word"))
         for k in range(lanes) for j in range(per)
     ]
     keys = prints.select("node", F.explode(F.array(*each)).alias("k")).select("node", "k.*")
@@ -290,14 +330,13 @@ def wide_links(prints: DataFrame, lanes: int, bits: int, similarity: float = SIM
         tight = materialise(pairs.groupBy("block", "key", "t", "u").applyInArrow(lambda g: _spanning(g, most), "a long, b long").distinct(), "crowd_links")
         labels = materialise(components(tight), "crowd_labels")
         sparse = keys.join(crowded.select("block", "key"), ["block", "key"], "left_anti").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    other = sparse.select("block", "key", F.col("node").alias("b"), F.col("word").alias("word2"), F.col("label").alias("label2"))
     spread = differing(similarity)
     loose = int(64 * spread + 4 * math.sqrt(64 * spread * (1 - spread)))
-    met = sparse.withColumnRenamed("node", "a").join(other, ["block", "key"])
-    met = met.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label2")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= loose))
-    met = materialise(met.select("a", "b").distinct(), "near_candidates")
-    wide = [prints.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")) for x in "ab"]
-    near = met.join(wide[0], "a").join(wide[1], "b").where(_apart(F.col("wa"), F.col("wb"), lanes) <= most).select("a", "b")
+    other = sparse.select(*[F.col(c).alias(f"{c}2") for c in ("block", "key", "word", "label")])
+    like = (F.col("block") == F.col("block2")) & (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= loose)
+    members = materialise(sparse.join(other, like, "left_semi").select("block", "key", "node"), "near_members")
+    buckets = members.join(prints, "node").select("block", "key", "node", "wide").repartition("block", "key").sortWithinPartitions("block", "key", "node")
+    near = materialise(buckets.mapInArrow(lambda batches: _bucket_links(batches, most, lanes), "a long, b long"), "near_candidates")
     return near if tight is None else near.unionByName(tight)
 
 
