@@ -1,10 +1,12 @@
 """Blocking, features, decisions, evaluation, files and streams on worked examples, and laws that must hold on tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT, Pass
-from weftline.operators import blocking, decide, features, learn, metrics, ml, profile, records, tfidf, validate
+from weftline.operators import blocking, decide, features, learn, metrics, ml, nearest, profile, records, tfidf, validate
 from weftline.sources import io, tables
 
 
@@ -75,6 +77,22 @@ def test_decisions(spark):
     assert len(decide.tune_expected(pred, true, base).collect()) == len(DEFAULT.alphas) * len(DEFAULT.floors)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_best_by_numbers(spark, k):
+    """As of all pairs: of records of no, few and many numbers, with ties, and with scores that a record doesn't take."""
+    draw = random.Random(k)
+    rows = [(draw.choice("ab"), i, sorted(draw.sample(range(9), draw.choice([0, 1, 1, 2, 2, 3, 5, 6, 8]))), draw.choice([0.0, 0.25, 0.5])) for i in range(160)]
+    df = spark.createDataFrame(rows, "g string, o long, num array<long>, least double")
+    want = set()
+    for g, w, num, _ in rows[:60]:
+        score = lambda other: len(set(num) & set(other)) * 4 // max(1, len(set(num) | set(other))) / 4  # noqa: B023, E731
+        found = sorted((-score(other), o) for h, o, other, least in rows[60:] if h == g and score(other) >= least)
+        want |= {(w, o, -p) for p, o in found[:k]}
+    wanted = df.where("o < 60").select("g", F.col("o").alias("w"), "num")
+    got = nearest.best(wanted, df.where("o >= 60"), ["g"], lambda j: F.floor(j * 4) / 4, k)
+    assert {(r.w, r.o, r.p) for r in got.collect()} == want
+
+
 def test_scorer(spark):
     base = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y")], "s1 long, country string")
     true = spark.createDataFrame([(1, 47), (1, 812), (2, 4)], "s1 long, c long")

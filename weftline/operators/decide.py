@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
 from weftline.operators.copies import of_copies, sizes
 from weftline.operators.metrics import f_beta, per_entity, summary_columns, true_counts
+from weftline.operators.nearest import best
 
 
 def _owned(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,6 +32,15 @@ def decide(pred: DataFrame, threshold: float, relative: float = 0.0, copies: Dat
     return owned if copies is None else of_copies(owned, copies, ["c"])
 
 
+def owners(s1s: DataFrame, cs: DataFrame, keys: Sequence[str], score: Callable[[Column], Column], threshold: float, relative: float = 0.0) -> DataFrame:
+    """decide() of all pairs with equal keys, whose p is a score of the Jaccard similarity of their numbers, but without these pairs: s1s and cs are the records (id, keys, num)."""
+    wanted, offered = cs.select(F.col("id").alias("w"), *keys, "num"), s1s.select(F.col("id").alias("o"), *keys, "num")
+    if relative > 0:
+        top = best(offered.withColumnRenamed("o", "w"), wanted.withColumnRenamed("w", "o"), keys, score)
+        offered = offered.join(top.select(F.col("w").alias("o"), (relative * F.col("p")).alias("least")), "o")
+    return best(wanted, offered, keys, score).where(F.col("p") >= threshold).select(F.col("o").alias("s1"), F.col("w").alias("c"))
+
+
 def _expected_sets(owned: DataFrame, alpha, keys: Sequence[str] = ()) -> DataFrame:
     """Of each S1 the likeliest candidates, as many as maximise the expected F0.5, where that beats predicting nothing (which is right if no candidate is)."""
     group = W.partitionBy(*keys, "s1")
