@@ -44,9 +44,16 @@ def fit_matcher(features: DataFrame, columns: Sequence[str] = tuple(FEATURES), r
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="x"), trees]).fit(features)
 
 
-def predict(model: PipelineModel, features: DataFrame, least: float = 0.01) -> DataFrame:
-    """s1, c, p of at least `least`."""
-    return model.transform(features).select("s1", "c", vector_to_array("probability")[1].alias("p")).where(F.col("p") >= least)
+def spread(kinds: DataFrame, rows: str, weight: str, most: int = 1024) -> DataFrame:
+    """Each of some kinds of equal rows as many rows as it has, `most` at most, that share its weight: a fit that draws rows and counts them in its leaves does so as with all."""
+    m = F.least(F.col(rows), F.lit(most)).cast("int")
+    each = kinds.where((F.col(rows) > 0) & (F.col(weight) > 0)).coalesce(1).sortWithinPartitions(*kinds.columns)  # in a fixed order, as rows are drawn by it
+    return each.withColumn(weight, F.col(weight) / m).select("*", F.explode(F.sequence(F.lit(1), m)).alias("_i")).drop("_i", rows)
+
+
+def predict(model: PipelineModel, features: DataFrame, least: float = 0.01, keep: Sequence[str] = ("s1", "c")) -> DataFrame:
+    """s1, c (or what else to keep), p of at least `least`."""
+    return model.transform(features).select(*keep, vector_to_array("probability")[1].alias("p")).where(F.col("p") >= least)
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
@@ -64,10 +71,10 @@ def fit_blend(scores: DataFrame, models: Sequence[str], c: float = 1.0, band: tu
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), blend if weight is None else blend.setWeightCol(weight)]).fit(x)
 
 
-def blended(model: PipelineModel, scores: DataFrame, models: Sequence[str], band: tuple[float, float] = DEFAULT.uncertain) -> DataFrame:
-    """s1, c, p with the blend's probability inside the band."""
+def blended(model: PipelineModel, scores: DataFrame, models: Sequence[str], band: tuple[float, float] = DEFAULT.uncertain, keep: Sequence[str] = ("s1", "c")) -> DataFrame:
+    """s1, c (or what else to keep), p with the blend's probability inside the band."""
     x = model.transform(blend_features(scores, models)).withColumn("_b", vector_to_array("probability")[1])
-    return x.select("s1", "c", F.when(F.col("p").between(*band), F.col("_b")).otherwise(F.col("p")).alias("p"))
+    return x.select(*keep, F.when(F.col("p").between(*band), F.col("_b")).otherwise(F.col("p")).alias("p"))
 
 
 def pseudo_labels(scores: DataFrame, sure: float = 0.98, never: float = 0.02, most: int = 300_000, negatives: int = 2, seed: int = 13) -> DataFrame:
